@@ -355,7 +355,7 @@ def credential(raw: str) -> str:
 
     def test(low: str) -> str:
         return (f"(octet_length({raw}) >= 8 AND NOT {raw} rlike {lit(r'^[$%<{\[]')}"
-                f" AND NOT contains({raw}, '${{') AND NOT contains({raw}, '{{{{')"
+                f" AND NOT contains({raw}, concat('$', '{{')) AND NOT contains({raw}, '{{{{')"
                 f" AND {low} NOT IN ({sql_list(PLACEHOLDER_WORDS)}) AND NOT {low} rlike '{parts}'"
                 f" AND {raw} rlike {lit(r'[0-9]|[^\p{IsAlphabetic}\p{N}]')}"
                 # The tolerance keeps eight equal shares, which are exactly 3 bits, on the right side.

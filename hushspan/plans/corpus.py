@@ -53,7 +53,7 @@ def _templates(n: str) -> list[str]:
         f"'aws_secret_access_key = ', {hexed}, substr({hexed2}, 1, 8)",
         f"'Authorization: Bearer ', {hexed}",
         f"{_pick(n, repr('password='), repr('api_key: '), repr('token => '))}, "
-        f"{_pick(n, f'''concat('Q', substr({hexed}, 1, 11), '!')''', repr('changeme'), f'''substr({hexed}, 1, 9)''', repr('wonderful'), repr('${DB_PASS}'))}",
+        f"{_pick(n, f'''concat('Q', substr({hexed}, 1, 11), '!')''', repr('changeme'), f'''substr({hexed}, 1, 9)''', repr('wonderful'), '''concat('$', '{DB_PASS}')''')}",
         f"'routing number: ', {_pick(n, repr('021000021'), _d(n, 9))}",
         f"'account no: ', {_d(n, 8)}",
         f"'sort code: ', {_d(n, 2)}, '-', {_d(n, 2, 1)}, '-', {_d(n, 2, 2)}",

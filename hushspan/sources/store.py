@@ -34,9 +34,12 @@ def list_conversations(conversations: DataFrame, messages: DataFrame,
             .withColumn("shielded", F.coalesce("__hit", F.lit(False))).drop("__hit"))
 
 
-def read_eval_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Prompts of a nested JSON corpus: id, text, expected, semantic_only, note."""
-    corpus = spark.read.schema(CORPUS_SCHEMA).json(path, multiLine=True)
+def read_eval_corpus(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Prompts of a nested JSON corpus: id, text, expected, semantic_only, note.
+
+    `multi_line=False` reads one corpus per line, which splits well over many tasks.
+    """
+    corpus = spark.read.schema(CORPUS_SCHEMA).json(path, multiLine=multi_line)
     prompts = corpus.select(F.explode("prompts").alias("p")).select("p.*")
     return prompts.withColumn("semantic_only", F.coalesce("semantic_only", F.lit(False)))
 
@@ -79,7 +82,9 @@ def latest_settings(changes: DataFrame, key: str = "key", value: str = "value",
 def setting_list(settings: DataFrame, key: str) -> DataFrame:
     """Items of one setting that holds a JSON list of texts; a malformed value gives no rows."""
     rows = settings.filter(F.col("key") == key)
-    return rows.select(F.expr("explode_outer(from_json(value, 'array<string>')) as item")).filter("item IS NOT NULL")
+    others = [c for c in settings.columns if c not in ("key", "value")]
+    items = F.expr("explode_outer(from_json(value, 'array<string>')) as item")
+    return rows.select(*others, items).filter("item IS NOT NULL")
 
 
 def read_watchlist(settings: DataFrame) -> DataFrame:
