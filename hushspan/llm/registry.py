@@ -5,11 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hushspan.llm import mixing, pieces, simhash
+from hushspan.llm import crosspolytope, maxscore, mixing, pieces, simhash
 from hushspan.llm.common import table
 
 
+def op1_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document, as digests of the ids and of the decoded text."""
     want = ["n_tokens", "ids_sha256", "decoded_sha256", "covered_bytes"]
@@ -24,12 +29,19 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op10_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspolytope.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_maxscore": op1_maxscore,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_simhash": op3_simhash,
     "op5_mixing": op5_mixing,
+    "op10_cross_polytope": op10_cross_polytope,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_maxscore": maxscore.ORACLE,
     "op5_mixing": mixing.ORACLE,
 }
