@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushspan.llm import crosspolytope, maxscore, mixing, pieces, simhash
+from hushspan.llm import crosspolytope, langid, maxscore, mixing, pieces, quality, simhash, toxicity
 from hushspan.llm.common import table
 
 
@@ -29,6 +29,18 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosspolytope.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -38,6 +50,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_simhash": op3_simhash,
     "op5_mixing": op5_mixing,
+    "op7_toxicity": op7_toxicity,
+    "op8_language": op8_language,
+    "op9_quality": op9_quality,
     "op10_cross_polytope": op10_cross_polytope,
 }
 
