@@ -34,9 +34,11 @@ def running(
     """Left-to-right pass over an array that carries a state and emits elements.
 
     `step(state, item)` gives the next state and an array of emitted elements.  The pass goes
-    through the array in slices so that appending costs O(n * chunk) and not O(n * n).
+    through the array in slices, whose results are gathered as an array of arrays and joined once, so
+    that appending costs O(n * chunk) and not O(n * n).
     """
     empty = f"cast(array() as array<{out_type}>)"
+    none = f"cast(array() as array<array<{out_type}>>)"
     outer, part, inner, item, joined, index = (name(p) for p in ("o", "p", "a", "x", "j", "i"))
     next_state, emitted = step(f"{inner}.st", item)
     fold = (
@@ -46,13 +48,12 @@ def running(
     return let(items, lambda arr: (
         f"aggregate(transform(sequence(0, greatest(size({arr}) - 1, 0) div {chunk}), "
         f"{index} -> slice({arr}, cast({index} * {chunk} + 1 as int), {chunk})), "
-        f"named_struct('st', {state}, 'out', {empty}), ({outer}, {part}) -> "
+        f"named_struct('st', {state}, 'out', {none}), ({outer}, {part}) -> "
         f"get(transform(array({fold}), {joined} -> named_struct('st', {joined}.st, "
-        f"'out', concat({outer}.out, {joined}.out))), 0), {outer} -> {outer}.out)"
+        f"'out', concat({outer}.out, array({joined}.out)))), 0), {outer} -> flatten({outer}.out))"
     ))
 
 
 def chars(text: str) -> str:
     """The characters of a non-empty string."""
-    var = name("c")
-    return f"transform(sequence(1, length({text})), {var} -> substr({text}, {var}, 1))"
+    return f"split({text}, '')"
