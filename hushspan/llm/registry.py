@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushspan.llm import crosspolytope, langid, maxscore, mixing, pieces, quality, simhash, toxicity
+from hushspan.llm import crosspolytope, langid, maxscore, mixing, pieces, quality, secretscan, simhash, toxicity, urllists
 from hushspan.llm.common import table
 
 
@@ -25,10 +25,18 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urllists.query(spark, sf_dir)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,7 +57,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_maxscore": op1_maxscore,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_simhash": op3_simhash,
+    "op4_url_lists": op4_url_lists,
     "op5_mixing": op5_mixing,
+    "op6_secrets": op6_secrets,
     "op7_toxicity": op7_toxicity,
     "op8_language": op8_language,
     "op9_quality": op9_quality,
@@ -58,5 +68,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_maxscore": maxscore.ORACLE,
+    "op4_url_lists": urllists.ORACLE,
     "op5_mixing": mixing.ORACLE,
 }
