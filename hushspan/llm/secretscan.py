@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from hushspan.functions.arrays import lit, running
 from hushspan.llm.common import id_text, settled
 
-#: Assigned values of eight characters or more, and runs of 16 or more that hold a digit.
+#: Assigned values of eight characters or more, access key ids, and runs of 16 or more that hold a digit.
 CANDIDATE = (
     r"""(?i:pass(?:word|wd)?|pwd|secret|token|api[_-]?key)["']?\s{0,4}[=:]\s{0,4}["']?[^\s"']{8,}+"""
-    r"""|(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}""")
+    r"""|(?<![A-Za-z0-9+/_=-])(?:A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9+/_=-])"""
+    r"""|(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2})""")
 #: What comes before the value in an assignment.
 ASSIGNMENT = r"""^(?i:pass(?:word|wd)?|pwd|secret|token|api[_-]?key)["']?\s{0,4}[=:]\s{0,4}["']?"""
 #: Characters of context that are looked at on either side.

@@ -14,11 +14,11 @@ from hushspan.llm.common import held_out, id_text, settled
 AT_ONCE = 1 << 20
 
 
-def slices(texts: list[str], at_once: int = AT_ONCE) -> Iterator[slice]:
+def slices(texts: list[str | None], at_once: int = AT_ONCE) -> Iterator[slice]:
     """Runs of texts of about `at_once` characters."""
     start, size = 0, 0
     for i, text in enumerate(texts):
-        size += len(text)
+        size += len(text or "")
         if size >= at_once or i + 1 == len(texts):
             yield slice(start, i + 1)
             start, size = i + 1, 0
