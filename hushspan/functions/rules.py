@@ -26,7 +26,7 @@ _NO = r"(?:\s*(?:no|number|#))?\.?[:\s]+"
 RULES: tuple[Rule, ...] = (
     Rule("PRIVATE_KEY",
          r"-----BEGIN (?:[A-Z][A-Z ]{0,24})?PRIVATE KEY-----"
-         r"(?:(?s:.{0,4096}?)-----END (?:[A-Z][A-Z ]{0,24})?PRIVATE KEY-----)?",
+         r"(?:(?s:.*?)-----END (?:[A-Z][A-Z ]{0,24})?PRIVATE KEY-----)?",
          any_of=("-----begin ",)),
     Rule("CREDITCARD", r"\b\d(?:[ \-]?\d){12,18}\b", lead=r"\d(?:[ \-]?\d){12}"),
     Rule("IBAN", r"\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]){11,30}\b", lead=r"[A-Z]{2}\d"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hushspan.functions import arrays as A
 from hushspan.kinds import SPANS_TYPE, label_sql
 from hushspan.operators.ranking import running_total
-from hushspan.operators.scan import explode_array
+from hushspan.operators.scan import computed, explode_array
 
 # The token's brackets, the redaction mark and the mask.
 LEFT, RIGHT = "⟦", "⟧"
@@ -70,7 +70,7 @@ def alias_local_sql(spans: str) -> str:
 
 def mint_per_request(df: DataFrame, spans: str = "spans") -> DataFrame:
     """Fill in aliases that hold inside one request only."""
-    return df.withColumn(spans, F.expr(alias_local_sql(spans)))
+    return computed(df, spans, alias_local_sql(spans))
 
 
 def rewrite_sql(text: str, spans: str) -> str:
@@ -85,7 +85,7 @@ def rewrite_sql(text: str, spans: str) -> str:
 
 def alias_text(df: DataFrame, text: str = "text", spans: str = "spans",
                out: str = "text_aliased") -> DataFrame:
-    return df.withColumn(out, F.expr(rewrite_sql(text, spans)))
+    return computed(df, out, rewrite_sql(text, spans))
 
 
 def apply_vault(messages: DataFrame, vault: DataFrame, msg: str = "msg_id", scope: str = "conv_id",
@@ -93,11 +93,13 @@ def apply_vault(messages: DataFrame, vault: DataFrame, msg: str = "msg_id", scop
     """Put vault aliases into the messages' spans and rewrite the text.
 
     The join is on (scope, kind, value), which spreads a busy scope over its values.  The text takes
-    no part in it and is shuffled once, for the join on the message id.
+    no part in it and is shuffled once, for the join on the message id.  A value that the vault does
+    not know is replaced by the redaction mark, so that nothing raw is left over.
     """
     long = explode_array(messages.select(msg, F.col(scope).alias("scope_id"), "spans"), "spans")
     long = long.drop("alias").withColumn("raw_key", F.lower("raw"))
-    found = long.join(vault.select("scope_id", "kind", "raw_key", "alias"), ["scope_id", "kind", "raw_key"])
+    found = long.join(vault.select("scope_id", "kind", "raw_key", "alias"), ["scope_id", "kind", "raw_key"], "left")
+    found = found.withColumn("alias", F.coalesce("alias", F.lit(REDACTED)))
     span = F.struct("start", "end", "kind", "raw", "alias", "confidence")
     lists = found.groupBy(msg).agg(F.sort_array(F.collect_list(span)).cast(SPANS_TYPE).alias("spans"))
     joined = (messages.drop("spans").join(lists, msg, "left")

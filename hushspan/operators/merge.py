@@ -8,22 +8,48 @@ from pyspark.sql import functions as F
 from hushspan.functions import arrays as A
 from hushspan.kinds import (MODEL_KINDS, SPAN_TYPE, SPANS_TYPE, TOGGLEABLE_PACKS, label_sql,
                             pack_sql, sql_list)
-from hushspan.operators.scan import _CLEAN, _LOW, hits_sql, resolve_sql, with_scan_columns
+from hushspan.operators.scan import _CLEAN, _LOW, computed, hits_sql, resolve_sql, with_scan_columns
 from hushspan.operators.structured import structured_sql
 from hushspan.operators.watchlist import clean_terms, watchlist_sql
 
 
 def merge_sql(primary: str, secondary: str) -> str:
-    """`primary` plus each span of `secondary` that overlaps nothing taken so far, by start."""
-    acc, s, a = A.name("acc"), A.name("s"), A.name("a")
-    return (f"if(size({secondary}) = 0, {primary}, sort_array(aggregate({secondary}, {primary}, "
-            f"({acc}, {s}) -> if(exists({acc}, {a} -> {a}.start < {s}.end AND {s}.start < {a}.end), "
-            f"{acc}, array_append({acc}, {s})))))")
+    """`primary` plus each span of `secondary` that overlaps nothing taken so far, by start.
+
+    Two sweeps over all spans in order of their starts, one from each end, leave the secondary spans
+    that no primary span overlaps.  Only if some of those overlap each other does their order in the
+    list decide, and they are taken one by one.
+    """
+    item = f"struct<start:int,rank:int,at:int,span:{SPAN_TYPE}>"
+    none = f"cast(array() as array<{item}>)"
+    s, i, acc, a, free = (A.name(n) for n in ("s", "i", "acc", "a", "free"))
+
+    def tagged(spans: str, rank: int) -> str:
+        return (f"transform({spans}, ({s}, {i}) -> named_struct('start', {s}.start, 'rank', {rank}, "
+                f"'at', {i}, 'span', {s}))")
+
+    def from_left(upto: str, x: str) -> tuple[str, str]:
+        return (f"if({x}.rank = 0, greatest({upto}, {x}.span.end), {upto})",
+                f"if({x}.rank = 0 OR {x}.start >= {upto}, array({x}), {none})")
+
+    def from_right(first: str, x: str) -> tuple[str, str]:
+        return (f"if({x}.rank = 0, least({first}, {x}.start), {first})",
+                f"if({x}.rank = 1 AND {x}.span.end <= {first}, array({x}), {none})")
+    both = f"sort_array(concat({tagged(primary, 0)}, {tagged(secondary, 1)}))"
+    right = A.running(f"reverse({A.running(both, '-1', from_left, item)})", str(2**31 - 1), from_right, item)
+    alone = (f"NOT exists(sequence(1, greatest(size({free}) - 1, 1)), {i} -> coalesce("
+             f"get({free}, {i}).span.end > get({free}, {i} - 1).start, false))")
+    chosen = (f"aggregate(sort_array(transform({free}, {a} -> named_struct('at', {a}.at, 'span', {a}.span))), "
+              f"cast(array() as {SPANS_TYPE}), ({acc}, {s}) -> if(exists({acc}, {a} -> {a}.start < {s}.span.end "
+              f"AND {s}.span.start < {a}.end), {acc}, array_append({acc}, {s}.span)))")
+    merged = (f"get(transform(array({right}), {free} -> sort_array(concat({primary}, "
+              f"if({alone}, transform({free}, {a} -> {a}.span), {chosen})))), 0)")
+    return f"if(size({secondary}) = 0, {primary}, {merged})"
 
 
 def merge_spans(df: DataFrame, primary: str, secondary: str, out: str = "spans") -> DataFrame:
     """Merge two span-list columns of the same row; the first wins on overlap."""
-    return df.withColumn(out, F.expr(merge_sql(primary, secondary)))
+    return computed(df, out, merge_sql(primary, secondary))
 
 
 def merge_span_tables(primary: DataFrame, secondary: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -91,13 +117,14 @@ def detect_all(df: DataFrame, text: str = "text", out: str = "spans", watchlist=
         "structured": filter_packs_sql(structured_sql(text), disabled_packs),
         "watchlist": watchlist_sql(clean_terms(watchlist), text),
     }
-    named = {f"{out}_{k}": F.expr(f"coalesce({v}, {empty})") for k, v in lists.items()}
-    df = df.withColumns(named).drop(_CLEAN, _LOW)
+    named = [f"{out}_{k}" for k in lists]
+    for name, found in zip(named, lists.values()):
+        df = computed(df, name, f"coalesce({found}, {empty})")
+    df = df.drop(_CLEAN, _LOW)
     merged = f"{out}_pattern"
     for step in ([f"{out}_structured"] + ([f"{out}_watchlist"] if watchlist else [])
                  + ([model_spans] if model_spans else [])):
-        df = df.withColumn("__merged", F.expr(merge_sql(merged, step)))
-        df = df.withColumnRenamed("__merged", f"__m_{step}")
+        df = computed(df, f"__m_{step}", merge_sql(merged, step))
         merged = f"__m_{step}"
-    kept = list(named) if stages else []
+    kept = named if stages else []
     return df.select(*columns, *kept, F.col(merged).alias(out))

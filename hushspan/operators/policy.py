@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hushspan.functions import arrays as A
 from hushspan.kinds import BLOCK_POLICY, CRITICAL_KINDS, sql_list, sql_map
 from hushspan.operators.alias import alias_local_sql, rewrite_sql
+from hushspan.operators.scan import computed
 
 # ---- Fixed values: model routing -----------------------------------------------------------------
 MODEL_PROVIDERS = {
@@ -71,20 +72,26 @@ def classify_endpoint(df: DataFrame, url: str = "base_url") -> DataFrame:
     return df.withColumn("is_local", F.expr(is_local_endpoint_sql(url)))
 
 
-def egress_payload(df: DataFrame, model: str = "model_id", base_url: str = "base_url", text: str = "text",
-                   aliased: str = "text_aliased", spans: str = "spans",
-                   on_device: str = ON_DEVICE_MODEL) -> DataFrame:
-    """Add what is sent: raw text locally, aliased text remotely, nothing when blocked."""
+def egress_decision(df: DataFrame, model: str = "model_id", base_url: str = "base_url", spans: str = "spans",
+                    on_device: str = ON_DEVICE_MODEL) -> DataFrame:
+    """Add `egress` and what it follows from; aliases are not needed, so it comes before minting."""
     df = block_decision(route_model(df, model, on_device), spans)
     local = f"({model} = '{on_device}' OR (startswith({model}, 'ollama:') AND {is_local_endpoint_sql(base_url)}))"
     df = df.withColumn("is_local", F.expr(local))
     df = df.withColumn("blocked", F.col("blocked") & ~F.col("is_local"))
     df = df.withColumn("blocked_kind", F.when(F.col("blocked"), F.col("blocked_kind")))
-    payload = (F.when(F.col("blocked"), F.lit(None).cast("string"))
-               .when(F.col("is_local"), F.col(text)).when(F.col("routable"), F.col(aliased)))
     status = (F.when(F.col("blocked"), "blocked").when(F.col("is_local"), "sent_raw")
               .when(F.col("routable"), "sent_aliased").otherwise("no_provider"))
-    return df.withColumn("payload", payload).withColumn("egress", status)
+    return df.withColumn("egress", status)
+
+
+def egress_payload(df: DataFrame, model: str = "model_id", base_url: str = "base_url", text: str = "text",
+                   aliased: str = "text_aliased", spans: str = "spans",
+                   on_device: str = ON_DEVICE_MODEL) -> DataFrame:
+    """Add what is sent: raw text locally, aliased text remotely, nothing when blocked."""
+    df = egress_decision(df, model, base_url, spans, on_device)
+    payload = (F.when(F.col("egress") == "sent_raw", F.col(text)).when(F.col("egress") == "sent_aliased", F.col(aliased)))
+    return df.withColumn("payload", payload)
 
 
 def content_text_sql(content: str) -> str:
@@ -111,8 +118,8 @@ def flatten_messages(turns: DataFrame, request: str = "request_id", position: st
 
 def prepare_payload(df: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
     """Alias a flat prompt with a fresh scope and decide whether it may go.  Row by row."""
-    df = df.withColumn(spans, F.expr(alias_local_sql(spans)))
-    df = df.withColumn("text_aliased", F.expr(rewrite_sql(text, spans)))
+    df = computed(df, spans, alias_local_sql(spans))
+    df = computed(df, "text_aliased", rewrite_sql(text, spans))
     return block_policy(block_decision(df, spans))
 
 

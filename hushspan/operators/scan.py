@@ -15,6 +15,17 @@ HIT_TYPE = "struct<start:int,neg_len:int,ord:int,kind:string,raw:string>"
 _CLEAN, _LOW = "__clean", "__low"
 
 
+def computed(df: DataFrame, out: str, expression: str) -> DataFrame:
+    """Add (or replace) `out`, kept apart from the steps that follow.
+
+    The one-element `inline_outer` puts a Generate node between the expression and its uses.  Without
+    it the optimizer copies the whole expression, with all rules in it, into every filter and every
+    projection that names the column.
+    """
+    keep = [c for c in df.columns if c != out]
+    return df.select(*keep, F.expr(f"inline_outer(array(named_struct('{out}', {expression})))"))
+
+
 def rules_of(packs=None) -> list[tuple[int, object]]:
     """Numbered rules of the given packs (all packs by default)."""
     return [(i, r) for i, r in enumerate(RULES, 1) if packs is None or KINDS[r.kind][1] in packs]
@@ -80,21 +91,20 @@ def resolve_sql(hits: str) -> str:
 def detect_patterns(df: DataFrame, text: str = "text", out: str = "spans", packs=None) -> DataFrame:
     """Add `out`, the resolved pattern spans of `text`.  One narrow pass, no shuffle."""
     df = with_scan_columns(df, text)
-    df = df.withColumn(out, F.expr(
-        f"coalesce({resolve_sql(hits_sql(text, packs))}, cast(array() as array<{SPAN_TYPE}>))"))
-    return df.drop(_CLEAN, _LOW)
+    found = f"coalesce({resolve_sql(hits_sql(text, packs))}, cast(array() as array<{SPAN_TYPE}>))"
+    return computed(df, out, found).drop(_CLEAN, _LOW)
 
 
 def explode_array(df: DataFrame, column: str) -> DataFrame:
     """One row per struct of an array column.
 
-    The outer form plus a filter gives the rows of `inline`, but keeps Spark from inferring a
+    The outer form plus a filter on the struct gives the rows of `inline`, but keeps Spark from inferring a
     `size(column) > 0` filter, which it would push below the projection and so run the whole
     detection a second time.
     """
     keep = [c for c in df.columns if c != column]
-    field = df.schema[column].dataType.elementType.fieldNames()[0]
-    return df.select(*keep, F.expr(f"inline_outer({column})")).filter(F.col(field).isNotNull())
+    rows = df.select(*keep, F.expr(f"explode_outer({column}) as __item"))
+    return rows.filter(F.col("__item").isNotNull()).select(*keep, "__item.*")
 
 
 def scan_pack(df: DataFrame, packs, text: str = "text") -> DataFrame:

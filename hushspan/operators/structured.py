@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hushspan.functions import arrays as A
 from hushspan.functions.checks import is_valid
 from hushspan.kinds import CRITICAL_KINDS, SPAN_TYPE, SPANS_TYPE, sql_list
+from hushspan.operators.scan import computed
 
 # ---- Fixed values: header names, first match wins.  kind, whole words, parts ---------------------
 HEADERS: tuple[tuple[str, str, tuple[str, ...]], ...] = (
@@ -46,7 +49,6 @@ HEADERS: tuple[tuple[str, str, tuple[str, ...]], ...] = (
 )
 EMPTY_MARKERS = ("null", "none", "n/a", "na", "nil", "-", "--", "unknown", "tbd")
 DELIMITERS = (",", "\t", ";", "|")
-MAX_CELLS = 5000
 CELL_CONFIDENCE = 0.9
 # ---- end of the fixed values ---------------------------------------------------------------------
 
@@ -106,8 +108,8 @@ def _header_sql(line: str) -> str:
     return f"if({line} rlike '(?i){_KEYWORDS}', coalesce({choice}, {none}), {none})"
 
 
-def structured_sql(text: str, max_cells: int | None = MAX_CELLS) -> str:
-    """Spans of the mapped cells of every tabular block in the text, as array<SPAN_TYPE>."""
+def structured_sql(text: str) -> str:
+    """Spans of all mapped cells of every tabular block in the text, as array<SPAN_TYPE>."""
     row_type = "struct<off:int,line:string,delim:string,kinds:array<string>>"
     cell_type = "struct<at:int,cell:string,kind:string>"
 
@@ -136,8 +138,6 @@ def structured_sql(text: str, max_cells: int | None = MAX_CELLS) -> str:
     cells = A.running(f"split({row}.line, concat('[', {row}.delim, ']'))",
                       f"named_struct('at', {row}.off, 'col', 0)", cell_step(row), cell_type)
     mapped = f"flatten(transform({rows}, {row} -> {cells}))"
-    if max_cells is not None:
-        mapped = f"slice({mapped}, 1, {max_cells})"
     lead = f"length(regexp_extract({cell}.cell, {A.lit(r'(?U)^\s*')}, 0))"
     trimmed = _trim(f"{cell}.cell")
     span = (f"named_struct('start', {cell}.at + {lead}, 'end', {cell}.at + {lead} + length({trimmed}),"
@@ -151,11 +151,9 @@ def structured_sql(text: str, max_cells: int | None = MAX_CELLS) -> str:
     return f"if({gate}, {result}, cast(array() as {SPANS_TYPE}))"
 
 
-def detect_structured(df: DataFrame, text: str = "text", out: str = "spans",
-                      max_cells: int | None = MAX_CELLS) -> DataFrame:
-    """Add the spans of tabular blocks inside a text.  One narrow pass."""
-    return df.withColumn(out, F.expr(
-        f"coalesce({structured_sql(text, max_cells)}, cast(array() as {SPANS_TYPE}))"))
+def detect_structured(df: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
+    """Add the spans of tabular blocks inside a text, of any length.  One narrow pass."""
+    return computed(df, out, f"coalesce({structured_sql(text)}, cast(array() as {SPANS_TYPE}))")
 
 
 def classify_columns(df: DataFrame, header: str = "header", out: str = "kind") -> DataFrame:
@@ -163,10 +161,18 @@ def classify_columns(df: DataFrame, header: str = "header", out: str = "kind") -
     return df.withColumn(out, F.expr(header_kind_sql(header)))
 
 
+def header_kind(header: str) -> str | None:
+    """Kind of one header in plain Python, for the few column names of a table."""
+    plain = re.sub("[^a-z0-9]", " ", header.strip().translate(str.maketrans(_UPPER, _LOWER)))
+    for kind, words, parts in HEADERS:
+        if set(words.split()) & set(plain.split(" ")) or any(p in f" {plain} " for p in parts):
+            return kind
+    return None
+
+
 def column_kinds(df: DataFrame) -> dict[str, str]:
-    """Kinds of a DataFrame's own columns; reads the schema only."""
-    names = df.sparkSession.createDataFrame([(c,) for c in df.columns], "header string")
-    return {r.header: r.kind for r in classify_columns(names).collect() if r.kind}
+    """Kinds of a DataFrame's own columns; reads the schema only and runs no job."""
+    return {c: kind for c in df.columns if (kind := header_kind(c))}
 
 
 def scan_table_columns(df: DataFrame, *ids: str) -> DataFrame:

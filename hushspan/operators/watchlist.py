@@ -6,29 +6,40 @@ import json
 import re
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from hushspan.functions import arrays as A
 from hushspan.functions.rules import CLOSE, OPEN
 from hushspan.kinds import SPAN_TYPE, SPANS_TYPE
-from hushspan.operators.scan import _CLEAN, with_scan_columns
+from hushspan.operators.scan import _CLEAN, computed, with_scan_columns
 
-# Limits on the configured terms.
-MAX_TERMS, MIN_BYTES, MAX_BYTES = 200, 2, 120
+# Length of a valid term in bytes.
+MIN_BYTES, MAX_BYTES = 2, 120
+# Terms of one alternation; a longer list becomes several, tried one after the other at a place.
+TERMS_PER_GROUP = 200
 
 
 def clean_terms(setting: str | list[str] | None) -> list[str]:
-    """Usable terms, longest first.  A setting that is not a JSON list of texts gives none."""
+    """Valid terms, longest first.  A setting that is not a JSON list of texts gives none."""
+    return sort_terms(setting)[0]
+
+
+def rejected_terms(setting: str | list[str] | None) -> list[str]:
+    """Terms of a setting that are too short or too long to be valid."""
+    return sort_terms(setting)[1]
+
+
+def sort_terms(setting: str | list[str] | None) -> tuple[list[str], list[str]]:
+    """(valid, rejected) terms of a setting; any number of them is taken."""
     if isinstance(setting, str):
         try:
             setting = json.loads(setting)
         except ValueError:
-            return []
+            return [], []
     if not isinstance(setting, list) or not all(isinstance(t, str) for t in setting):
-        return []
+        return [], []
     terms = [t.strip() for t in setting]
-    terms = [t for t in terms if MIN_BYTES <= len(t.encode()) <= MAX_BYTES][:MAX_TERMS]
-    return sorted(terms, key=lambda t: -len(t.encode()))
+    valid = [t for t in terms if MIN_BYTES <= len(t.encode()) <= MAX_BYTES]
+    return sorted(valid, key=lambda t: -len(t.encode())), [t for t in terms if t not in valid]
 
 
 def _escape(term: str) -> str:
@@ -39,7 +50,10 @@ def watchlist_sql(terms: list[str], text: str) -> str:
     """Spans of the terms as array<SPAN_TYPE>; needs the helper columns of `with_scan_columns`."""
     if not terms:
         return f"cast(array() as {SPANS_TYPE})"
-    body = "|".join(_escape(t) for t in terms)
+    # A group for each leading part of the list keeps the alternations short and the order of the terms.
+    parts = [terms[i:i + TERMS_PER_GROUP] for i in range(0, len(terms), TERMS_PER_GROUP)]
+    body = "|".join(rf"(?=[{''.join(sorted({_escape(c) for t in part for c in (t[0].lower(), t[0].upper())}))}])"
+                    rf"(?:{'|'.join(_escape(t) for t in part)})" for part in parts)
     firsts = "".join(sorted({_escape(t[0]) for t in terms}))
     pattern = rf"(?iU)(?=[{firsts}])(\b(?:{body})\b)" if not any(
         re.match(r"\W", t) for t in terms) else rf"(?iU)(\b(?:{body})\b)"
@@ -59,9 +73,8 @@ def watchlist_sql(terms: list[str], text: str) -> str:
 
 
 def detect_watchlist(df: DataFrame, setting, text: str = "text", out: str = "spans") -> DataFrame:
-    """Add the spans of the user's terms.  At most 200 terms, so one pattern literal holds them."""
+    """Add the spans of all the user's valid terms; one pattern literal holds them."""
     columns = df.columns
     df = with_scan_columns(df, text)
-    df = df.withColumn(out, F.expr(
-        f"coalesce({watchlist_sql(clean_terms(setting), text)}, cast(array() as {SPANS_TYPE}))"))
-    return df.select(*[c for c in columns if c != out], out)
+    found = f"coalesce({watchlist_sql(clean_terms(setting), text)}, cast(array() as {SPANS_TYPE}))"
+    return computed(df, out, found).select(*[c for c in columns if c != out], out)

@@ -16,7 +16,7 @@ CHUNK = 7
 
 def detected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns with pattern spans, written once because aliasing reads them twice."""
-    return materialize(turn_spans(spark, sf_dir), "turn-spans")
+    return materialize(turn_spans(spark, sf_dir))
 
 
 def aliased(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def mint_aliases_by_label(spark, sf_dir):
 
 def mint_aliases_incremental(spark, sf_dir):
     long = S.explode_spans(detected(spark, sf_dir))
-    old = materialize(L.mint_aliases(long.filter("turn < 3")), "vault")
+    old = materialize(L.mint_aliases(long.filter("turn < 3")))
     return L.mint_aliases(long.filter("turn >= 3"), vault=old).select(*_VAULT)
 
 
@@ -83,7 +83,7 @@ def response_chunks(df: DataFrame) -> DataFrame:
 def chunked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     df = L.alias_text(L.mint_per_request(turn_spans(spark, sf_dir))).withColumn(
         "text_aliased", F.concat("text_aliased", F.lit(" ⟦tail")))
-    df = materialize(df.select("conv_id", "turn", "msg_id", "spans", "text_aliased"), "answers")
+    df = materialize(df.select("conv_id", "turn", "msg_id", "spans", "text_aliased"))
     return response_chunks(df), df
 
 

@@ -149,19 +149,13 @@ SELECT concat('c', conv_id) AS conv_id, turn, concat('m', conv_id, '-', turn) AS
 FROM conversations"""
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a small input over the cores.  A table with enough splits is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, raw pages and order notes: (doc_id, text)."""
     load(spark, sf_dir, "documents", "pages", "orders")
-    return spread(spark.sql(texts_sql(SPARK)))
+    return spark.sql(texts_sql(SPARK))
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns: (conv_id, turn, msg_id, role, text)."""
     load(spark, sf_dir, "conversations")
-    return spread(spark.sql(turns_sql(SPARK)))
+    return spark.sql(turns_sql(SPARK))

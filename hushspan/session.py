@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -15,6 +14,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
@@ -33,12 +33,14 @@ def get_spark(app: str = "hushspan", master: str | None = None, **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, for written intermediates and stream checkpoints.
 
-    The cluster names it in `spark.checkpoint.dir`.  A temporary folder is used only when the
-    setting is absent, which is the case in local tests.
+    The cluster names it in `spark.checkpoint.dir`.  Only a local session without the setting, such
+    as a test, gets a temporary folder.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    local = os.environ.get("HUSHSPAN_TEST_DIR") or tempfile.mkdtemp(prefix="hushspan-")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    local = tempfile.mkdtemp(prefix="hushspan-")
     spark.conf.set("spark.checkpoint.dir", local)
     return local

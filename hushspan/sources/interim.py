@@ -1,20 +1,19 @@
-"""Written intermediates, so that a costly result is computed once and survives lost executors."""
+"""Intermediates in the shared folder, so that a costly result is computed once and survives lost executors."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from hushspan.session import shared_dir
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/hushspan/{name}-{uuid.uuid4().hex}"
-
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute once and go on from the files of a reliable checkpoint.
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a result to the shared folder and go on from the written table."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    With spark.cleaner.referenceTracking.cleanCheckpoints Spark deletes them when the result is no
+    longer in use.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint(eager=True)
