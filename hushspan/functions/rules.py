@@ -2,7 +2,8 @@
 
 A rule is `anchor` + `value` + `tail`; only the value is reported.  `any_of` and `lead` never change
 what a rule matches: `any_of` are lower-case texts of which one must occur, `lead` is what has to
-stand where a match starts, so that the costly boundary test runs at few positions.
+stand where a match starts, so that the costly boundary test runs at few positions.  `gate` names one
+of GATES, a pattern that every match contains; each is tried once per text for all its rules.
 """
 
 from __future__ import annotations
@@ -19,6 +20,16 @@ class Rule:
     ignore_case: bool = False
     any_of: tuple[str, ...] = ()
     lead: str = ""
+    gate: str = ""
+
+
+# What a text must hold at all; those after the first are tried only where there is a digit.
+GATES = {
+    "digit": r"(?U)\d",
+    "seven": r"(?U)\d(?:[\s.\-+()]{0,2}\d){6}",
+    "letters": r"(?U)[A-Z]{2}\d",
+    "dotted": r"(?U)\d\.\d",
+}
 
 
 # ---- Fixed values: patterns, in the order that decides ties -----------------------------------
@@ -28,8 +39,8 @@ RULES: tuple[Rule, ...] = (
          r"-----BEGIN (?:[A-Z][A-Z ]{0,24})?PRIVATE KEY-----"
          r"(?:(?s:.*?)-----END (?:[A-Z][A-Z ]{0,24})?PRIVATE KEY-----)?",
          any_of=("-----begin ",)),
-    Rule("CREDITCARD", r"\b\d(?:[ \-]?\d){12,18}\b", lead=r"\d(?:[ \-]?\d){12}"),
-    Rule("IBAN", r"\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]){11,30}\b", lead=r"[A-Z]{2}\d"),
+    Rule("CREDITCARD", r"\b\d(?:[ \-]?\d){12,18}\b", lead=r"\d(?:[ \-]?\d){12}", gate="seven"),
+    Rule("IBAN", r"\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]){11,30}\b", lead=r"[A-Z]{2}\d", gate="letters"),
     Rule("CONNECTION_STRING",
          r"\b(?:postgres(?:ql)?|mysql|mongodb(?:\+srv)?|redis|rediss|amqps?)://"
          r"[^\s:/@]+:[^\s/@]+@[^\s/]+",
@@ -75,7 +86,7 @@ RULES: tuple[Rule, ...] = (
          ignore_case=True, any_of=("driver", "dl"), lead="d[rl]"),
     Rule("MRZ", r"[A-Z0-9<]{9}\d[A-Z<]{3}\d{6}\d[MFX<]\d{6}\d[A-Z0-9<]{14}\d{2}",
          anchor=r"(?:^|[^A-Z0-9<])", tail=r"(?:[^A-Z0-9<]|\z)",
-         lead=r"(?s:.)?[A-Z0-9<]{9}\d"),
+         lead=r"(?s:.)?[A-Z0-9<]{9}\d", gate="seven"),
     Rule("VIN", r"\b[A-HJ-NPR-Z0-9]{17}\b", lead="[A-HJ-NPR-Z0-9]{17}"),
     Rule("US_ITIN", r"9\d{2}-(?:7\d|8[0-8]|9[0-24-9])-\d{4}", anchor=r"\bitin" + _NO, tail=r"\b",
          ignore_case=True, any_of=("itin",), lead="itin"),
@@ -92,16 +103,16 @@ RULES: tuple[Rule, ...] = (
          ignore_case=True, any_of=("tfn", "tax file number"), lead="t[fa]"),
     Rule("AADHAAR", r"\d{4}[ \-]?\d{4}[ \-]?\d{4}", anchor=r"\baadh?aar" + _NO, tail=r"\b",
          ignore_case=True, any_of=("aad",), lead="aad"),
-    Rule("IT_CF", r"\b[A-Z]{6}\d{2}[ABCDEHLMPRST]\d{2}[A-Z]\d{3}[A-Z]\b", lead=r"[A-Z]{6}\d"),
+    Rule("IT_CF", r"\b[A-Z]{6}\d{2}[ABCDEHLMPRST]\d{2}[A-Z]\d{3}[A-Z]\b", lead=r"[A-Z]{6}\d", gate="letters"),
     Rule("ES_DNI", r"\b(?:\d{8}|[XYZ]\d{7})[TRWAGMYFPDXBNJZSQVHLCKE]\b",
-         lead=r"[XYZ\d]\d{7}[A-Z]"),
-    Rule("BR_CPF", r"\b\d{3}\.\d{3}\.\d{3}-\d{2}\b", lead=r"\d{3}\.\d{3}\."),
+         lead=r"[XYZ\d]\d{7}[A-Z]", gate="seven"),
+    Rule("BR_CPF", r"\b\d{3}\.\d{3}\.\d{3}-\d{2}\b", lead=r"\d{3}\.\d{3}\.", gate="seven"),
     Rule("BR_CPF", r"\d{3}\.?\d{3}\.?\d{3}-?\d{2}",
          anchor=r"\bcpf(?:\s*(?:no|number|nº|#))?\.?[:\s]+", tail=r"\b",
          ignore_case=True, any_of=("cpf",), lead="cpf"),
     Rule("PL_PESEL", r"\d{11}", anchor=r"\bpesel" + _NO, tail=r"\b",
          ignore_case=True, any_of=("pesel",), lead="pesel"),
-    Rule("SE_PNR", r"\b\d{6}[-+]\d{4}\b", lead=r"\d{6}[-+]"),
+    Rule("SE_PNR", r"\b\d{6}[-+]\d{4}\b", lead=r"\d{6}[-+]", gate="seven"),
     Rule("NL_BSN", r"\d{9}", anchor=r"\bbsn" + _NO, tail=r"\b",
          ignore_case=True, any_of=("bsn",), lead="bsn"),
     Rule("FR_NIR", r"[12][ .]?\d{2}[ .]?\d{2}[ .]?\d{2}[ .]?\d{3}[ .]?\d{3}[ .]?\d{2}",
@@ -111,7 +122,7 @@ RULES: tuple[Rule, ...] = (
     Rule("DE_STEUER_ID", r"\d{2}[ ]?\d{3}[ ]?\d{3}[ ]?\d{3}|\d{11}",
          anchor=r"\b(?:steuer[- ]?id(?:entifikationsnummer)?|idnr|tax id)\.?[:\s]+", tail=r"\b",
          ignore_case=True, any_of=("steuer", "idnr", "tax id"), lead="[sit]"),
-    Rule("CN_RESIDENT_ID", r"\b\d{6}(?:19|20)\d{9}[\dX]\b", lead=r"\d{6}(?:19|20)"),
+    Rule("CN_RESIDENT_ID", r"\b\d{6}(?:19|20)\d{9}[\dX]\b", lead=r"\d{6}(?:19|20)", gate="seven"),
     Rule("MRN", r"[A-Z0-9\-]{5,12}", anchor=r"\b(?:mrn|medical record)" + _NO, tail=r"\b",
          ignore_case=True, any_of=("mrn", "medical record"), lead="m[re]"),
     Rule("NPI", r"\d{10}", anchor=r"\bnpi" + _NO, tail=r"\b",
@@ -131,24 +142,24 @@ RULES: tuple[Rule, ...] = (
          anchor=r"\b(?:case|docket|matter)\s*(?:no|number|#)?\.?[:\s]+", tail=r"\b",
          ignore_case=True, any_of=("case", "docket", "matter"), lead="[cdm]"),
     Rule("CASE_NO", r"\b\d{1,2}:\d{2}-(?:cv|cr|cm|md|mc|mj|po|sw)-\d{2,6}(?:-[A-Z]{2,4})?\b",
-         lead=r"\d{1,2}:\d{2}-"),
+         any_of=(":",), lead=r"\d{1,2}:\d{2}-", gate="digit"),
     Rule("CRYPTO_WALLET",
          r"\b0x[a-fA-F0-9]{40}\b|\bbc1[ac-hj-np-z02-9]{25,62}\b|"
          r"\b[13][a-km-zA-HJ-NP-Z1-9]{25,34}\b",
-         lead="(?:0x|bc1|[13][a-km-zA-HJ-NP-Z1-9]{25})"),
+         lead="(?:0x|bc1|[13][a-km-zA-HJ-NP-Z1-9]{25})", gate="digit"),
     Rule("JWT", r"\beyJ[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]{10,}",
          any_of=("eyj",), lead="eyJ"),
     Rule("MAC_ADDRESS", r"\b[0-9A-Fa-f]{2}(?:[:\-][0-9A-Fa-f]{2}){5}\b",
-         lead=r"[0-9A-Fa-f]{2}[:\-][0-9A-Fa-f]{2}[:\-]"),
+         any_of=(":", "-"), lead=r"[0-9A-Fa-f]{2}[:\-][0-9A-Fa-f]{2}[:\-]"),
     Rule("IPV6", r"\b[A-Fa-f0-9]{1,4}(?::[A-Fa-f0-9]{0,4}){2,7}\b",
          any_of=(":",), lead=r"[A-Fa-f0-9]{1,4}:[A-Fa-f0-9]{0,4}:"),
     Rule("EMAIL", r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b",
          any_of=("@",), lead=r"[A-Za-z0-9._%+\-]"),
     Rule("PHONE",
          r"\b(?:\+?\d{1,3}[\s.\-]?)?(?:\(?\d{3}\)?[\s.\-]?)\d{3}[\s.\-]?\d{4}\b",
-         lead=r"[+(]?\d(?:[\s.\-()]{0,2}\d){9}"),
-    Rule("SSN", r"\b\d{3}-\d{2}-\d{4}\b", lead=r"\d{3}-\d{2}-"),
-    Rule("IP", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", lead=r"\d{1,3}\.\d"),
+         lead=r"[+(]?\d(?:[\s.\-()]{0,2}\d){9}", gate="seven"),
+    Rule("SSN", r"\b\d{3}-\d{2}-\d{4}\b", lead=r"\d{3}-\d{2}-", gate="seven"),
+    Rule("IP", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", lead=r"\d{1,3}\.\d", gate="dotted"),
     Rule("APIKEY",
          r"\b(?:sk-|sk_live_|sk_test_|pk_|rk_live_|AKIA|ASIA|ghp_|gho_|ghu_|ghs_|ghr_|github_pat_|"
          r"glpat-|xox[baprs]-|xapp-|hf_|npm_|pypi-|glsa_|dop_v1_|shpat_|shpss_|figd_|lin_api_|"
@@ -162,7 +173,7 @@ RULES: tuple[Rule, ...] = (
     Rule("ADDRESS",
          r"\b\d{1,5}\s+[A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+){0,3}\s+"
          r"(?:Street|St|Avenue|Ave|Road|Rd|Blvd|Lane|Ln|Drive|Dr|Court|Ct|Way)\b",
-         lead=r"\d{1,5}\s+[A-Z]"),
+         lead=r"\d{1,5}\s+[A-Z]", gate="digit"),
     Rule("MONEY", r"\$\s?\d{1,3}(?:,\d{3})+(?:\.\d+)?|\$\s?\d{4,}(?:\.\d+)?", any_of=("$",)),
     Rule("EMPID", r"\bEMP-\d{4,6}\b", any_of=("emp-",), lead="EMP-"),
 )

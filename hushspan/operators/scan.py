@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hushspan.functions import arrays as A
 from hushspan.functions.checks import is_valid
-from hushspan.functions.rules import CLOSE, OPEN, RULES, java_pattern
+from hushspan.functions.rules import CLOSE, GATES, OPEN, RULES, java_pattern
 from hushspan.kinds import KINDS, SPAN_TYPE, confidence_sql
 
 # Sort key first: start ascending, longer first, then rule order.
@@ -46,19 +46,25 @@ def with_scan_columns(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn(_LOW, F.expr(f"lower(replace({_CLEAN}, 'ſ', 's'))"))
 
 
-def _tagged(number: int, rule) -> str:
+def _tagged(number: int, rule, gates: str) -> str:
     pattern, replacement = java_pattern(rule)
     call = f"regexp_replace({_CLEAN}, {A.lit(pattern)}, {A.lit(replacement)})"
+    needs = [f"{gates}.{rule.gate}"] if rule.gate else []
     if rule.any_of:
-        gate = " OR ".join(f"contains({_LOW}, {A.lit(w)})" for w in rule.any_of)
-        call = f"CASE WHEN {gate} THEN {call} END"
+        needs.append("(" + " OR ".join(f"contains({_LOW}, {A.lit(w)})" for w in rule.any_of) + ")")
+    if needs:
+        call = f"CASE WHEN {' AND '.join(needs)} THEN {call} END"
     return f"named_struct('ord', {number}, 'kind', '{rule.kind}', 'tagged', {call})"
 
 
 def hits_sql(text: str, packs=None) -> str:
     """Validated hits of all rules of the packs, unordered, as array<HIT_TYPE>."""
     numbered = rules_of(packs)
-    tagged = f"array({', '.join(_tagged(i, r) for i, r in numbered)})"
+    used = sorted({r.gate for _, r in numbered if r.gate} | {"digit"})
+    tests = {g: f"{_CLEAN} rlike {A.lit(GATES[g])}" for g in used}
+    gates = A.let(tests["digit"], lambda digit: "named_struct(" + ", ".join(
+        f"'{g}', {digit}" + (f" AND {t}" if g != "digit" else "") for g, t in tests.items()) + ")")
+    tagged = A.let(gates, lambda g: f"array({', '.join(_tagged(i, r, g) for i, r in numbered)})")
     t, hit, f = A.name("t"), A.name("h"), A.name("f")
 
     def step(st: str, piece: str) -> tuple[str, str]:

@@ -149,13 +149,23 @@ SELECT concat('c', conv_id) AS conv_id, turn, concat('m', conv_id, '-', turn) AS
 FROM conversations"""
 
 
+def over_cores(df: DataFrame) -> DataFrame:
+    """In local mode, deal the rows over the cores: a local table is one file, which one task reads.
+
+    On a cluster the input's own splits stay as they are and nothing is shuffled.
+    """
+    context = df.sparkSession.sparkContext
+    local = context.master.startswith("local") and not context.master.startswith("local-cluster")
+    return df.repartition(context.defaultParallelism) if local else df
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, raw pages and order notes: (doc_id, text)."""
     load(spark, sf_dir, "documents", "pages", "orders")
-    return spark.sql(texts_sql(SPARK))
+    return over_cores(spark.sql(texts_sql(SPARK)))
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns: (conv_id, turn, msg_id, role, text)."""
     load(spark, sf_dir, "conversations")
-    return spark.sql(turns_sql(SPARK))
+    return over_cores(spark.sql(turns_sql(SPARK)))

@@ -95,7 +95,7 @@ def _rows(df: DataFrame, *keys: str) -> DataFrame:
 
 def tabular_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     K.load(spark, sf_dir, "customer", "documents")
-    return spark.sql(TABULAR_TEXTS)
+    return K.over_cores(spark.sql(TABULAR_TEXTS))
 
 
 def turn_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +147,7 @@ def tokenize_words(spark, sf_dir):
 
 def candidate_word_spans(spark, sf_dir):
     K.load(spark, sf_dir, "documents")
-    words = N.tokenize_words(spark.sql("SELECT doc_id, text FROM documents"))
+    words = N.tokenize_words(K.over_cores(spark.sql("SELECT doc_id, text FROM documents")))
     windows = N.candidate_word_spans(words)
     return windows.groupBy("doc_id", "width").agg(
         F.count("*").alias("windows"), F.sum(F.col("end") - F.col("start")).alias("chars"))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hushspan.kinds import BLOCK_POLICY
+from hushspan.operators import alias as L
 from hushspan.operators import policy as P
+from hushspan.operators import scan as S
 from hushspan.operators.merge import detect_all
 from hushspan.plans import corpus as K
 from hushspan.plans import oracle as O
-from hushspan.plans.aliasing import ALIASED, aliased, rewritten_cte, vault_cte
+from hushspan.plans.aliasing import ALIASED, TSPANS, detected, rewritten_cte, vault_cte
 from hushspan.plans.detection import TURN_CTES, turn_spans
 
 MODELS = ["gpt-5", "claude-haiku", "ollama:llama3", "on-device", "mystery-1", "openrouter:x/y"]
@@ -57,10 +59,16 @@ def classify_endpoint(spark, sf_dir):
 
 
 def egress_payload(spark, sf_dir):
-    df = aliased(spark, sf_dir).withColumn("base_url", F.expr(_BASE_URLS))
     models = ", ".join(f"'{m}'" for m in MODELS)
-    df = df.withColumn("model_id", F.expr(f"element_at(array({models}), cast((length(text) + turn) % {len(MODELS)} as int) + 1)"))
-    return P.egress_payload(df).select("msg_id", "model_id", "blocked_kind", "egress", "payload")
+    df = detected(spark, sf_dir).withColumn("base_url", F.expr(_BASE_URLS)).withColumn(
+        "model_id", F.expr(f"element_at(array({models}), cast((length(text) + turn) % {len(MODELS)} as int) + 1)"))
+    decided = P.egress_decision(df)
+    # A blocked turn uses up no alias numbers: it leaves before anything is minted.
+    sent = decided.filter("NOT blocked").select("msg_id", "conv_id", "turn", "text", "spans", "model_id", "base_url")
+    vault = L.mint_aliases(S.explode_spans(sent))
+    out = ("msg_id", "model_id", "blocked_kind", "egress", "payload")
+    held = decided.filter("blocked").withColumn("payload", F.lit(None).cast("string"))
+    return P.egress_payload(L.apply_vault(sent, vault)).select(*out).unionByName(held.select(*out))
 
 
 def _chat(spark, sf_dir):
@@ -78,9 +86,13 @@ def prepare_payload(spark, sf_dir):
 
 
 def fan_out(spark, sf_dir):
-    df = aliased(spark, sf_dir).withColumn("base_url", F.expr(_BASE_URLS))
+    # A turn uses up alias numbers if any of its destinations takes it.
+    turns = detected(spark, sf_dir).withColumn("base_url", F.expr(_BASE_URLS))
+    leaving = P.egress_decision(P.fan_out(turns, MODELS)).filter("NOT blocked").select("msg_id").distinct()
+    minted = S.explode_spans(turns.join(leaving, "msg_id", "left_semi"))
+    df = L.apply_vault(turns, L.mint_aliases(minted))
     sent = P.egress_payload(P.fan_out(df, MODELS))
-    return sent.select("msg_id", "model_no", "model_id", "provider", "egress", F.length("payload").alias("payload_len"))
+    return sent.select("msg_id", "model_no", "model_id", "provider", "egress", "payload")
 
 
 QUERIES = {
@@ -125,10 +137,14 @@ ORACLES = {
     "route_model": f"SELECT *, provider IS NOT NULL AS routable FROM (SELECT *, {_PROVIDER} AS provider FROM ({EVENT_MODELS}))",
     "classify_endpoint": f"SELECT *, {_HOST} IN ('localhost', '127.0.0.1', '::1') AS is_local FROM ({URLS})",
     "egress_payload": f"""
-WITH RECURSIVE {ALIASED}, {BLOCKED}, pairs AS (SELECT t.*, a.text_aliased, b.blocked_kind,
+WITH RECURSIVE {TSPANS}, {BLOCKED}, pairs AS (SELECT t.*, b.blocked_kind,
   {MODELS!r}[((length(t.text) + t.turn) % {len(MODELS)})::INT + 1] AS model_id
-  FROM turns t JOIN rewritten a USING (msg_id) LEFT JOIN blocked b USING (msg_id)), {_EGRESS}
-SELECT msg_id, model_id, CASE WHEN egress = 'blocked' THEN blocked_kind END AS blocked_kind, egress, {_PAYLOAD} AS payload FROM decided""",
+  FROM turns t LEFT JOIN blocked b USING (msg_id)), {_EGRESS},
+stay AS MATERIALIZED (SELECT s.* FROM tspans s JOIN decided d USING (msg_id) WHERE d.egress <> 'blocked'), {vault_cte('stay', 'conv_id')},
+aspans AS MATERIALIZED (SELECT s.*, v.alias FROM stay s JOIN vault v ON v.scope_id = s.conv_id AND v.kind = s.kind
+  AND v.raw_key = lower(s.raw)),
+{rewritten_cte('aspans', 'turns')}
+SELECT msg_id, model_id, CASE WHEN egress = 'blocked' THEN blocked_kind END AS blocked_kind, egress, {_PAYLOAD} AS payload FROM decided JOIN rewritten USING (msg_id)""",
     "flatten_messages": f"WITH {_FLAT} SELECT * FROM flat",
     "prepare_payload": f"""
 WITH RECURSIVE {_FLAT}, {O.hits_ctes('flat', 'request_id')}, {O.spans_ctes('request_id')},
@@ -141,5 +157,5 @@ FROM rewritten LEFT JOIN found USING (request_id)""",
     "fan_out": f"""
 WITH RECURSIVE {ALIASED}, {BLOCKED}, pairs AS (SELECT t.*, a.text_aliased, b.blocked_kind, m.i::INT AS model_no, {MODELS!r}[m.i + 1] AS model_id
   FROM turns t JOIN rewritten a USING (msg_id) LEFT JOIN blocked b USING (msg_id), range(0, {len(MODELS)}) m(i)), {_EGRESS}
-SELECT msg_id, model_no, model_id, provider, egress, length({_PAYLOAD})::INT AS payload_len FROM decided""",
+SELECT msg_id, model_no, model_id, provider, egress, {_PAYLOAD} AS payload FROM decided""",
 }
