@@ -17,7 +17,7 @@ LENGTHS = (4, 5, 6)
 #: n-grams are hashed to this many buckets.
 BUCKETS = 1 << 20
 #: Bounds of the sample to fit on (documents of each class) and of the features that are weighed.
-PER_CLASS, FEATURES = 8_000, 20_000
+PER_CLASS, FEATURES = 5_000, 6_000
 #: A feature must be in so many sampled documents.
 SUPPORT = 8
 THRESHOLD = 0.3
@@ -111,9 +111,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     column[buckets] = np.arange(len(buckets))
     y = np.asarray(rows["y"], float)
     lists = rows["buckets"].combine_chunks()
-    place = column[np.asarray(lists.flatten())]
-    row = np.repeat(np.arange(len(y)), np.diff(np.asarray(lists.offsets)))
-    w, b = _logistic(row, place, ratios[place], y, np.where(y == 1, weight[1], weight[0]), len(buckets))
+    place = column[np.asarray(lists.flatten())].astype(np.int32)
+    row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(np.asarray(lists.offsets)))
+    w, b = _logistic(row, place, ratios[place].astype(np.float32), y, np.where(y == 1, weight[1], weight[0]), len(buckets))
     return Model(buckets, w * ratios, b)
 
 
