@@ -16,8 +16,8 @@ from hushspan.operators.scan import explode_array
 # Start of a chain, rows in a feed, rows in an upload batch.
 GENESIS, FEED_ROWS, BATCH_ROWS = "genesis", 50, 200
 
-# Rows one chain may hold.  A chain is serial, so this bounds the work of one task.
-CHAIN_ROWS = 20_000
+# Chains of one key.  A chain is serial, so a busy key is dealt over a fixed number of them.
+CHAIN_SHARDS = 16
 
 
 def hash_raw(raw: str = "raw") -> Column:
@@ -76,18 +76,24 @@ def signature_sql(prev: str) -> str:
     return f"sha2(concat({prev}, ts, kind, raw_hash, alias, action), 256)"
 
 
-def audit_chain(rows: DataFrame, chain_key: str, seq: str = "seq", max_rows: int = CHAIN_ROWS) -> DataFrame:
+def audit_chain(rows: DataFrame, chain_key: str, seq: str = "seq", shards: int = CHAIN_SHARDS,
+                heads: DataFrame | None = None) -> DataFrame:
     """Sign audit rows (chain_key, seq, ts, kind, raw_hash, alias, action) into hash chains.
 
-    A chain is serial by nature, so a key with more than `max_rows` rows is split over several chains:
-    keys are counted first, and `seq` spreads the rows of a big key evenly.  The fold over one chain
-    then is a bounded array, whatever share of the rows the key holds.
+    A chain is serial by nature.  Its key should bound it (a conversation, a day), and the rows of a
+    key go to a fixed number of chains by `seq`, never by how many there are, so rows that come later
+    change no signature written before.  They go on from `heads` (chain_id, sig), the last signatures
+    stored; a chain without one starts anew.
     """
-    shards = rows.groupBy(chain_key).agg(F.ceil(F.count("*") / max_rows).alias("__shards"))
-    placed = rows.join(shards, chain_key).withColumn(
-        "chain_id", F.concat_ws("/", F.col(chain_key).cast("string"), (F.col(seq) % F.col("__shards")).cast("string")))
+    placed = rows.withColumn("chain_id", F.concat_ws(
+        "/", F.col(chain_key).cast("string"), F.pmod(F.col(seq), F.lit(shards)).cast("string")))
     entry = F.struct("ts", F.col(seq).alias("seq"), "kind", "raw_hash", "alias", "action")
     chains = placed.groupBy(chain_key, "chain_id").agg(F.sort_array(F.collect_list(entry)).alias("__rows"))
+    if heads is None:
+        chains = chains.withColumn("__head", F.lit(GENESIS))
+    else:
+        chains = chains.join(heads.select("chain_id", F.col("sig").alias("__head")), "chain_id", "left").withColumn(
+            "__head", F.coalesce("__head", F.lit(GENESIS)))
 
     def step(prev: str, e: str) -> tuple[str, str]:
         sig = f"sha2(concat({prev}, {e}.ts, {e}.kind, {e}.raw_hash, {e}.alias, {e}.action), 256)"
@@ -97,10 +103,15 @@ def audit_chain(rows: DataFrame, chain_key: str, seq: str = "seq", max_rows: int
         return sig, signed
     out_type = ("struct<ts:string,seq:bigint,kind:string,raw_hash:string,alias:string,action:string,"
                 "prev_hash:string,sig:string>")
-    folded = A.running("__rows", f"'{GENESIS}'", step, out_type)
+    folded = A.running("__rows", "__head", step, out_type)
     return explode_array(chains.select(chain_key, "chain_id", F.expr(folded).alias("__out")), "__out")
 
 
+def chain_heads(chain: DataFrame) -> DataFrame:
+    """Last signature of each chain, to go on from."""
+    return chain.groupBy("chain_id").agg(F.max_by("sig", F.struct("ts", "seq")).alias("sig"))
+
+
 def audit_verify(chain: DataFrame) -> DataFrame:
     """Add `sig_ok` and `link_ok`.  Every row is checked on its own; only `lag` needs its chain."""
     order = W.partitionBy("chain_id").orderBy("ts", "seq")
@@ -156,10 +167,13 @@ def unix_seconds_sql(ts: str) -> str:
 def export_batches(rows: DataFrame, size: int = BATCH_ROWS, ts: str = "ts") -> DataFrame:
     """All pending rows in upload batches: (batch, n, events JSON).  Signatures stay behind.
 
-    Numbering is global, so it is done per hour of `ts` and shifted by the hours before.
+    The oldest come first, those of one second by `seq`; a bad `ts` counts as second 0.  Numbering is
+    global, so it is done in pieces of a second and of 1,000 numbers of `seq`, which are shifted by the
+    pieces before; a busy second or very many bad times are spread over pieces.
     """
     rows = rows.withColumn("__unix", F.expr(unix_seconds_sql(ts))).withColumn("__all", F.lit(1))
-    numbered = running_total(rows, ["__all"], [ts, "seq"], F.floor(F.col("__unix") / 3600), out="__rn")
+    piece = F.col("__unix") * (1 << 24) + F.least(F.floor(F.col("seq") / 1000), F.lit((1 << 24) - 1))
+    numbered = running_total(rows, ["__all"], ["__unix", "seq"], piece, out="__rn")
     event = F.struct("__rn", F.struct(F.col("__unix").alias("ts"), "kind", "source", "action", "raw_hash", "alias")
                      .alias("e"))
     grouped = (numbered.withColumn("batch", F.floor((F.col("__rn") - 1) / size))

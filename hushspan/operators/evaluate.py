@@ -71,6 +71,7 @@ def latency_summary(latencies: DataFrame, ms: str = "ms", by: tuple[str, ...] =
     Values are counted first, so only distinct milliseconds reach the ordered step.
     """
     by = list(by) or ["__all"]
+    latencies = latencies.withColumn(ms, F.col(ms).cast("long"))
     rows = latencies.withColumn("__all", F.lit(1)) if by == ["__all"] else latencies
     histogram = rows.groupBy(*by, ms).agg(F.count("*").alias("c"))
     order = W.partitionBy(*by).orderBy(ms).rowsBetween(W.unboundedPreceding, 0)
@@ -110,6 +111,12 @@ def compare_configs(actual: DataFrame, expected: DataFrame, configs: list[str])
     return precision_recall_f1(per_kind)
 
 
+def compare_totals(per_kind: DataFrame, latencies: DataFrame) -> DataFrame:
+    """Metrics of each configuration over all kinds, with its latencies (config, ms)."""
+    totals = per_kind.groupBy("config").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    return precision_recall_f1(totals).join(latency_summary(latencies, by=("config",)).drop("n"), "config", "left")
+
+
 def compare_table(per_kind: DataFrame, configs: list[str]) -> DataFrame:
     """F1 per kind with one column per configuration; 0 where a configuration has no such kind."""
     return per_kind.groupBy("kind").pivot("config", configs).agg(F.max("f1")).na.fill(0.0)

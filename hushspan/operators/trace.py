@@ -9,12 +9,19 @@ from hushspan.operators.policy import first_critical_sql
 
 
 def message_trace(df: DataFrame, msg: str = "msg_id", text: str = "text",
-                  detector_status: str = "'not_loaded'") -> DataFrame:
-    """One row per message from the stage lists of `detect_all(stages=True)`.  Row by row."""
+                  detector_status: str = "'not_loaded'", model_spans: str | None = None, model: str = "model_id",
+                  provider: str = "provider") -> DataFrame:
+    """One row per message from the stage lists of `detect_all(stages=True)`.  Row by row.
+
+    `model` and `provider` say where the message goes; a column that is missing is given as NULL.
+    """
+    def given(name: str):
+        return F.col(name) if name in df.columns else F.lit(None).cast("string").alias(name)
     return df.select(
         msg, F.expr(f"octet_length({text})").alias("text_len"),
         F.size("spans_pattern").alias("pattern_spans"), F.size("spans_structured").alias("structured_spans"),
         F.size("spans_watchlist").alias("watchlist_spans"), F.size("spans").alias("merged_spans"),
+        (F.size(model_spans) if model_spans else F.lit(0)).alias("model_spans"), given(model), given(provider),
         F.expr(detector_status).alias("detector_status"),
         F.expr(f"{first_critical_sql('spans')}.kind").alias("blocked_kind"), "text_aliased")
 

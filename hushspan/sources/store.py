@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushspan.functions import arrays as A
@@ -13,10 +13,22 @@ CORPUS_SCHEMA = ("version int, prompts array<struct<id:string,text:string,"
                  "expected:array<struct<kind:string,raw:string>>,semantic_only:boolean,note:string>>")
 
 
+BUCKETS = 64
+
+
+def bucket_of(conv_id) -> Column:
+    """The partition that `write_messages` puts a conversation in."""
+    return F.pmod(F.xxhash64(conv_id), F.lit(BUCKETS))
+
+
 def read_messages(messages: DataFrame, conv_id: str | None = None) -> DataFrame:
-    """Messages by conversation and time; with an id, only that conversation's files are read."""
+    """Messages by conversation and time; with an id, only that conversation's partition is read."""
     if conv_id is not None:
-        return messages.filter(F.col("conv_id") == conv_id).orderBy("created_at")
+        found = messages.filter(F.col("conv_id") == conv_id)
+        if "conv_bucket" in messages.columns:
+            # The bucket is a constant, so the scan is pruned to one folder.
+            found = found.filter(F.col("conv_bucket") == bucket_of(F.lit(conv_id)).cast("int"))
+        return found.orderBy("created_at")
     return messages.orderBy("conv_id", "created_at")
 
 
@@ -28,16 +40,16 @@ def list_conversations(conversations: DataFrame, messages: DataFrame,
     """
     newest = conversations.orderBy(F.col("created_at").desc(), "id").limit(limit)
     shielded = (messages.filter(F.col("spans_json") != "[]").select(F.col("conv_id").alias("id"))
-                .join(F.broadcast(newest.select("id")), "id", "left_semi").distinct()
+                .join(newest.select("id"), "id", "left_semi").distinct()
                 .withColumn("__hit", F.lit(True)))
     return (newest.join(shielded, "id", "left")
             .withColumn("shielded", F.coalesce("__hit", F.lit(False))).drop("__hit"))
 
 
-def read_eval_corpus(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+def read_eval_corpus(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Prompts of a nested JSON corpus: id, text, expected, semantic_only, note.
 
-    `multi_line=False` reads one corpus per line, which splits well over many tasks.
+    One corpus per line splits over many tasks; `multi_line=True` reads a file with line breaks inside.
     """
     corpus = spark.read.schema(CORPUS_SCHEMA).json(path, multiLine=multi_line)
     prompts = corpus.select(F.explode("prompts").alias("p")).select("p.*")
@@ -67,10 +79,14 @@ def spans_to_json(df: DataFrame, spans: str = "spans", out: str = "spans_json")
     return df.withColumn(out, F.to_json(spans))
 
 
-def write_messages(df: DataFrame, path: str, partitions: int = 64) -> None:
-    """Append raw text, aliased text and spans together, partitioned by a bucket of the conversation."""
-    rows = spans_to_json(df).withColumn("conv_bucket", F.pmod(F.xxhash64("conv_id"), F.lit(partitions)))
-    (rows.select("msg_id", "conv_id", "role", "text_raw", "text_aliased", "spans_json", "created_at", "conv_bucket")
+def write_messages(df: DataFrame, path: str) -> None:
+    """Append raw text, aliased text and spans together, partitioned by a bucket of the conversation.
+
+    Rows are dealt by bucket first, so a task writes few files; the rebalance lets Spark split a large
+    bucket over several tasks.
+    """
+    rows = spans_to_json(df).withColumn("conv_bucket", bucket_of("conv_id").cast("int"))
+    (rows.hint("rebalance", "conv_bucket").select("msg_id", "conv_id", "role", "text_raw", "text_aliased", "spans_json", "created_at", "conv_bucket")
      .write.mode("append").partitionBy("conv_bucket").parquet(path))
 
 

@@ -37,34 +37,43 @@ def write_split(stream: DataFrame, allowed_path: str, blocked_path: str, checkpo
 class AliasState(StatefulProcessor):
     """Vault of one conversation: (kind, lower-case value) -> number, and a counter per kind."""
 
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.numbers = handle.getMapState("numbers", "kind string, raw_key string", "n int")
-        self.counters = handle.getMapState("counters", "kind string", "n int")
+        self.numbers = handle.getMapState("numbers", "kind string, raw_key string", "n int", self.ttl_ms)
+        self.counters = handle.getMapState("counters", "kind string", "n int", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         # The order of a micro-batch is not given, and numbers follow first appearance.
         batch = pd.concat(list(rows)).sort_values(["turn", "start"], kind="stable")
-        aliases = []
-        for kind, raw in zip(batch["kind"], batch["raw"]):
-            entry = (kind, raw.lower())
+        batch["raw_key"] = batch["raw"].str.lower()
+        known = {}
+        # Each distinct value asks the state once.
+        for kind, raw_key in batch[["kind", "raw_key"]].drop_duplicates().itertuples(index=False):
+            entry = (kind, raw_key)
             if self.numbers.containsKey(entry):
                 n = int(self.numbers.getValue(entry)[0])
             else:
                 n = int(self.counters.getValue((kind,))[0]) + 1 if self.counters.containsKey((kind,)) else 1
                 self.counters.updateValue((kind,), (n,))
                 self.numbers.updateValue(entry, (n,))
-            aliases.append(f"{LEFT}{KINDS[kind][0]}_{n:02d}{RIGHT}")
+            known[entry] = f"{LEFT}{KINDS[kind][0]}_{n:02d}{RIGHT}"
+        aliases = [known[entry] for entry in zip(batch["kind"], batch["raw_key"])]
         yield batch.assign(alias=aliases)[["conv_id", "turn", "start", "kind", "raw", "alias"]]
 
     def close(self) -> None:
         pass
 
 
-def stream_alias(spans: DataFrame) -> DataFrame:
-    """Alias a stream of long spans (conv_id, turn, start, kind, raw); state is kept per conversation."""
+def stream_alias(spans: DataFrame, ttl_ms: int = 30 * 86_400_000) -> DataFrame:
+    """Alias a stream of long spans (conv_id, turn, start, kind, raw).
+
+    State is kept per conversation, until a value was not written for `ttl_ms` (30 days).
+    """
     return (spans.select("conv_id", "turn", "start", "kind", "raw").groupBy("conv_id")
             .transformWithStateInPandas(
-                statefulProcessor=AliasState(), outputMode="Append", timeMode="None",
+                statefulProcessor=AliasState(ttl_ms), outputMode="Append", timeMode="ProcessingTime",
                 outputStructType="conv_id string, turn bigint, start int, kind string, raw string, alias string"))
 
 
@@ -77,11 +86,11 @@ class CarryState(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
         held = self.buffer.get()[0] if self.buffer.exists() else ""
-        emitted = []
+        emitted, done = [], False
         for event, delta, pairs in zip(batch["event"], batch["delta"], batch["reverse"]):
             if event != "Token":
                 emitted.append(held if event == "Done" else "")
-                held = ""
+                held, done = "", True
                 continue
             text = held + delta
             at = text.rfind(LEFT)
@@ -90,7 +99,10 @@ class CarryState(StatefulProcessor):
             for pair in pairs if pairs is not None else ():
                 out = out.replace(pair["alias"], pair["raw"])
             emitted.append(out)
-        self.buffer.update((held,))
+        if done:
+            self.buffer.clear()
+        else:
+            self.buffer.update((held,))
         yield batch.assign(emitted=emitted)[["msg_id", "seq", "event", "emitted"]]
 
     def close(self) -> None:
@@ -108,10 +120,19 @@ def stream_audit_metrics(audit: DataFrame, window: str = "24 hours", slide: str
                          late: str = "1 hour") -> DataFrame:
     """Windowed ALIAS and BLOCK counts of an audit stream with an event-time column `ts`.
 
-    Sliding windows of 24 hours and of 7 days are two runs of this job; state is one row per window.
+    Sliding windows of 24 hours and of 7 days are two calls; state is one row per window, with its kinds.
     """
     return (audit.withWatermark("ts", late).groupBy(F.window("ts", window, slide).alias("w"))
             .agg(F.count_if(F.col("action") == "ALIAS").alias("redactions"),
-                 F.count_if(F.col("action") == "BLOCK").alias("blocks"))
+                 F.count_if(F.col("action") == "BLOCK").alias("blocks"),
+                 F.array_sort(F.collect_set("kind")).alias("kinds"))
             .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-                    "redactions", "blocks"))
+                    "redactions", "blocks", F.size("kinds").alias("classes")))
+
+
+def stream_audit_totals(audit: DataFrame) -> DataFrame:
+    """Lifetime counts by action and kind, kept current; for update or complete output.
+
+    State is one row for each action and kind, at most some 200, so it needs no watermark.
+    """
+    return audit.groupBy("action", "kind").agg(F.count("*").alias("rows"))
