@@ -28,6 +28,19 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of an Arrow batch of texts; with the default of 10,000 a batch alone can take some 100 MB.
+TEXT_ROWS = 1_000
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """The same rows, for a Python step that gets whole texts: its session sends small batches from now on."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= TEXT_ROWS:
+        conf.set(name, str(TEXT_ROWS))
+    return df
+
+
 def id_text(column: Column | str) -> Column:
     """An id as text, for hashes; a null id reads as an empty text."""
     column = F.col(column) if isinstance(column, str) else column

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushspan.llm.common import held_out, id_text, settled
+from hushspan.llm.common import held_out, id_text, settled, text_batches
 from hushspan.llm.pieces import SPACE, default_path
 from hushspan.llm.texts import slices
 
@@ -33,7 +33,7 @@ STRANGE = 1e-7
 #: Weight of the common distribution in each language's own, so that no known piece is impossible.
 SHARED = 1e-3
 #: Words that a Python worker remembers before it starts anew, which changes no result.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _LETTER = re.compile(r"[^\W\d_]")
@@ -196,7 +196,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     draw = F.pmod(F.xxhash64(id_text("id"), F.lit("language")), F.lit(1 << 30)) / (1 << 30)
     sample = settled(known.where(F.col("text").isNotNull() & (draw < share[F.col("lang")])).select("lang", "text"))
     for _ in range(ROUNDS):
-        rows = (sample.mapInArrow(_counted(path, languages, chances), "lang long, piece long, n double")
+        rows = (text_batches(sample).mapInArrow(_counted(path, languages, chances), "lang long, piece long, n double")
                 .groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas())
         used = np.zeros((size, len(languages)))
         used[rows["piece"].to_numpy(int), rows["lang"].to_numpy(int)] = rows["n"].to_numpy(float)
@@ -265,7 +265,7 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
                     ["doc_id", "lang_pred", "score"])
 
     given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return given.mapInArrow(run, f"doc_id {dict(given.dtypes)['doc_id']}, lang_pred string, score double")
+    return text_batches(given).mapInArrow(run, f"doc_id {dict(given.dtypes)['doc_id']}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -301,4 +301,4 @@ def in_known_languages(docs: DataFrame, least: float = 0.5, doc_id: str = "doc_i
                 if kept.num_rows:
                     yield kept
 
-    return renamed.mapInArrow(run, renamed.schema).toDF(*docs.columns)
+    return text_batches(renamed).mapInArrow(run, renamed.schema).toDF(*docs.columns)

@@ -20,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hushspan.llm.common import text_batches
+
 SPACE = "▁"
 #: Words of one generation that a Python worker remembers; a full generation becomes the old one and
 #: the words of the one before it that were not met again are forgotten, which changes no result.
-REMEMBERED = 1 << 18
+REMEMBERED = 200_000
 #: Characters of text that a task encodes at once.
 AT_ONCE = 1 << 20
 
@@ -148,19 +150,19 @@ class Model:
         return _WORD_END.split(text), self.after_spaces
 
     def remember(self, words: set[str], memory: Memory) -> None:
-        """Encode and decode words: (ids, ids as text, decoded)."""
+        """Encode and decode words: (ids, ids as text, decoded); None stands for decoded as it was."""
         todo = sorted(words)
         encoded = self.library.encode(todo, num_threads=1)
         decoded = self.library.decode(encoded, num_threads=1)
         shared = self.id_objects.__getitem__
         for word, ids, back in zip(todo, encoded, decoded):
-            ids = list(map(shared, ids))
+            ids = tuple(map(shared, ids))
             if memory is self.words and word[:1] == "\n":
-                memory[word] = (ids[1:], ",".join(map(str, ids[1:])), back)
+                memory[word] = (ids[1:], ",".join(map(str, ids[1:])), None if back == word else back)
             elif not word:
-                memory[word] = ([self.space_id], str(self.space_id), " ")
+                memory[word] = ((self.space_id,), str(self.space_id), None)
             else:
-                memory[word] = (ids, ",".join(map(str, ids)), " " + back)
+                memory[word] = (ids, ",".join(map(str, ids)), None if back == word else " " + back)
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], str, str]]:
         """(ids, ids as text, decoded) of each text, as the library gives them for the whole text."""
@@ -174,7 +176,11 @@ class Model:
             if parts:
                 found = [parts[1][w] for w in parts[0]]
                 ids = [i for f in found for i in f[0]]
-                out.append((ids, ",".join([f[1] for f in found]), "".join([f[2] for f in found])[1:]))
+                decoded = text
+                if any(f[2] is not None for f in found):
+                    plain = [w if w[:1] == "\n" and parts[1] is self.words else " " + w for w in parts[0]]
+                    decoded = "".join([p if f[2] is None else f[2] for p, f in zip(plain, found)])[1:]
+                out.append((ids, ",".join([f[1] for f in found]), decoded))
             else:
                 ids = self.library.encode(text)
                 out.append((ids, ",".join(map(str, ids)), self.library.decode(ids)))
@@ -278,7 +284,7 @@ def encoded(docs: DataFrame, want: list[str], keys: list[str], text: str = "text
                     [kept.column(i) for i in range(len(names))]
                     + [pa.array(made[w], ARROW[KINDS[w]]) for w in want], names + want)
 
-    return given.mapInArrow(run, schema).withColumnsRenamed(dict(zip(names, keys)))
+    return text_batches(given).mapInArrow(run, schema).withColumnsRenamed(dict(zip(names, keys)))
 
 
 ARROW = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushspan.llm.common import held_out
+from hushspan.llm.common import held_out, text_batches
 from hushspan.llm.texts import code_points, labelled_sample, slices, sums
 
 FOLDS, HELD_OUT = 5, 0
@@ -163,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                 kept = batch.slice(part.start, part.stop - part.start)
                 yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), rows], ["doc_id", "y", "x"])
 
-    rows = sample.mapInArrow(encode, f"doc_id {dict(sample.dtypes)['doc_id']}, y int, x array<float>").toArrow()
+    rows = text_batches(sample).mapInArrow(encode, f"doc_id {dict(sample.dtypes)['doc_id']}, y int, x array<float>").toArrow()
     rows = rows.sort_by("doc_id")
     y = np.asarray(rows["y"], float)
     if len(set(y.tolist())) < 2:
@@ -205,7 +205,7 @@ def score(docs: DataFrame, model: Attention | float, doc_id: str = "doc_id", tex
                     [batch.column(0).slice(part.start, len(some)), pa.array(scores)], ["doc_id", "score"])
 
     given = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return given.mapInArrow(run, f"doc_id {dict(given.dtypes)['doc_id']}, score double")
+    return text_batches(given).mapInArrow(run, f"doc_id {dict(given.dtypes)['doc_id']}, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushspan.llm.common import settled
+from hushspan.llm.common import settled, text_batches
 from hushspan.llm.components import connected_components
 
 BITS = 64
@@ -58,7 +58,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp) of every row; fp holds the 64 bits as a long."""
     given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return given.mapInArrow(_fingerprints, "doc_id long, fp long")
+    return text_batches(given).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
 def _signed(bits: int) -> int:

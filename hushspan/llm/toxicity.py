@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushspan.llm.common import held_out
+from hushspan.llm.common import held_out, text_batches
 from hushspan.llm.texts import code_points, labelled_sample, slices
 
 FOLDS, HELD_OUT = 4, 2
@@ -86,7 +86,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     nothing = np.empty(0, np.int64)
     if len(n) < 2:
         return Model(nothing, nothing.astype(float), 4.0 if n.get(1) else -4.0)
-    counts = given.mapInArrow(_count, "bucket long, clean long, toxic long").groupBy("bucket").agg(
+    counts = text_batches(given).mapInArrow(_count, "bucket long, clean long, toxic long").groupBy("bucket").agg(
         F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     ratio = F.log((F.col("toxic") + 1) / (n[1] + 2)) - F.log((F.col("clean") + 1) / (n[0] + 2))
     sure = F.abs(ratio) / F.sqrt(1 / (F.col("toxic") + 1) + 1 / (F.col("clean") + 1))
@@ -106,7 +106,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                     [batch.column(0).slice(part.start, part.stop - part.start),
                      pa.ListArray.from_arrays(at, pa.array(what.astype(np.int32)))], ["y", "buckets"])
 
-    rows = given.mapInArrow(features, "y int, buckets array<int>").toArrow()
+    rows = text_batches(given).mapInArrow(features, "y int, buckets array<int>").toArrow()
     column = np.full(BUCKETS, -1)
     column[buckets] = np.arange(len(buckets))
     y = np.asarray(rows["y"], float)
@@ -147,7 +147,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
                      pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], ["doc_id", "score"])
 
     given = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return given.mapInArrow(run, f"doc_id {dict(given.dtypes)['doc_id']}, score double")
+    return text_batches(given).mapInArrow(run, f"doc_id {dict(given.dtypes)['doc_id']}, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
