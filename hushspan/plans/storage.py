@@ -189,10 +189,10 @@ _MESSAGES = f"{TURN_CTES}, created AS (SELECT *, {CREATED} AS created_at FROM tu
 def _window(span: str, size: str, slide: int) -> str:
     """Sliding windows: each row belongs to the windows that start up to their length before it."""
     return f"""
-SELECT at AS window_start, at + INTERVAL {size} AS window_end, count(*) FILTER (WHERE action = 'ALIAS') AS redactions,
+SELECT began AS window_start, began + INTERVAL {size} AS window_end, count(*) FILTER (WHERE action = 'ALIAS') AS redactions,
   count(*) FILTER (WHERE action = 'BLOCK') AS blocks, count(DISTINCT kind)::INT AS classes, '{span}' AS span
-FROM (SELECT a.*, make_timestamp(((epoch(ts::TIMESTAMP)::BIGINT // {slide}) - k) * {slide} * 1000000) AS at FROM audit a, range(0, {{n}}) r(k))
-GROUP BY at"""
+FROM (SELECT a.*, make_timestamp(((epoch(ts::TIMESTAMP)::BIGINT // {slide}) - k) * {slide} * 1000000) AS began FROM audit a, range(0, {{n}}) r(k))
+GROUP BY began"""
 
 
 ORACLES = {

@@ -37,7 +37,7 @@ def write_split(stream: DataFrame, allowed_path: str, blocked_path: str, checkpo
 class AliasState(StatefulProcessor):
     """Vault of one conversation: (kind, lower-case value) -> number, and a counter per kind."""
 
-    def __init__(self, ttl_ms: int):
+    def __init__(self, ttl_ms: int | None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -66,14 +66,16 @@ class AliasState(StatefulProcessor):
         pass
 
 
-def stream_alias(spans: DataFrame, ttl_ms: int = 30 * 86_400_000) -> DataFrame:
+def stream_alias(spans: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Alias a stream of long spans (conv_id, turn, start, kind, raw).
 
-    State is kept per conversation, until a value was not written for `ttl_ms` (30 days).
+    State is kept per conversation; with `ttl_ms`, for a long-running stream, a value that was minted
+    so long ago leaves it.
     """
     return (spans.select("conv_id", "turn", "start", "kind", "raw").groupBy("conv_id")
             .transformWithStateInPandas(
-                statefulProcessor=AliasState(ttl_ms), outputMode="Append", timeMode="ProcessingTime",
+                statefulProcessor=AliasState(ttl_ms), outputMode="Append",
+                timeMode="None" if ttl_ms is None else "ProcessingTime",
                 outputStructType="conv_id string, turn bigint, start int, kind string, raw string, alias string"))
 
 
