@@ -89,21 +89,17 @@ def decode_scored_spans(scores: DataFrame, doc: str = "doc_id") -> DataFrame:
     return lists.select(doc, F.expr(f"sort_array({fold})").alias("spans"))
 
 
+# A JSON text, an object of plain values, and one whose values may be such objects; nothing backtracks.
+_TEXT = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_FLAT = rf'\{{[^{{}}"]*+(?:{_TEXT}[^{{}}"]*+)*+\}}'
+_OBJECT = rf'\{{[^{{}}"]*+(?:(?:{_TEXT}|{_FLAT})[^{{}}"]*+)*+\}}'
+
+
 def _salvaged(tail: str) -> str:
-    """The array cut after its last complete object, with a closing bracket put on."""
-    acc, c = A.name("acc"), A.name("c")
-    moved = (
-        f"named_struct('i', {acc}.i + 1, "
-        f"'depth', {acc}.depth + CASE WHEN {acc}.done OR {acc}.esc OR {acc}.str THEN 0 "
-        f"WHEN {c} = '{{' THEN 1 WHEN {c} = '}}' THEN -1 ELSE 0 END, "
-        f"'str', CASE WHEN {acc}.esc OR {c} <> '\"' THEN {acc}.str ELSE NOT {acc}.str END, "
-        f"'esc', {acc}.str AND NOT {acc}.esc AND {c} = {A.lit(chr(92))}, "
-        f"'done', {acc}.done OR (NOT {acc}.str AND {acc}.depth = 0 AND {c} = ']'), "
-        f"'last', if(NOT {acc}.done AND NOT {acc}.str AND {acc}.depth = 1 AND {c} = '}}', "
-        f"{acc}.i + 1, {acc}.last))")
-    end = (f"aggregate({A.chars(tail)}, named_struct('i', 0, 'depth', 0, 'str', false, 'esc', false, "
-           f"'done', false, 'last', 0), ({acc}, {c}) -> {moved}, {acc} -> {acc}.last)")
-    return A.let(end, lambda e: f"if({e} > 0, concat(substr({tail}, 1, {e}), ']'), NULL)")
+    """An array of the complete objects that the text starts with, or NULL if there are none."""
+    leading = f"regexp_extract({tail}, {A.lit(rf'(?s)^\[\s*+(?:{_OBJECT}\s*+,?+\s*+)*+')}, 0)"
+    objects = f"regexp_extract_all({leading}, {A.lit(f'(?s){_OBJECT}')}, 0)"
+    return A.let(objects, lambda o: f"if(size({o}) > 0, concat('[', array_join({o}, ','), ']'), NULL)")
 
 
 def model_output_sql(text: str, output: str) -> str:

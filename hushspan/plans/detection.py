@@ -47,7 +47,11 @@ SELECT concat('cust-', c_custkey) AS doc_id, concat('Export of ', c_name, chr(10
   chr(10), 'see Halcyon Labs') AS text
 FROM customer"""
 
-TABULAR_TEXTS = f"{TABULAR} UNION ALL SELECT concat('doc-', doc_id) AS doc_id, text FROM documents"
+
+
+def tabular_sql(dialect: str) -> str:
+    return f"{TABULAR} UNION ALL {K.texts_sql(dialect)}"
+
 
 HEADERS = """
 SELECT concat(c_mktsegment, CASE c_custkey % 3 WHEN 0 THEN '_' WHEN 1 THEN ' ' ELSE '' END,
@@ -76,10 +80,10 @@ GROUP BY doc_id, word_start, width, label_idx"""
 
 # A model's answer about the first words of a turn; some are wrapped in prose, some are cut off.
 _ITEMS = """concat('{"start":', 3 + turn % 2, ',"end":', 8, ',"kind":"', CASE conv_id % 4 WHEN 0 THEN 'PERSON'
-  WHEN 1 THEN 'organization' WHEN 2 THEN 'Project' ELSE 'THING' END, '"},{"start":', 9, ',"end":', 15 + turn * 40,
+  WHEN 1 THEN 'organization' WHEN 2 THEN 'Project' ELSE 'THING' END, '"},{"start":', 9, ',"end":', CASE turn % 3 WHEN 0 THEN 15 WHEN 1 THEN 21 ELSE 100000000 END,
   ',"kind":"LOCATION"},{"start":7,"end":7,"kind":"NAME"}')"""
 ANSWERS = f"""
-SELECT concat('m', conv_id, '-', turn) AS msg_id, concat('é Jamie Torres number ', conv_id, '.') AS text,
+SELECT concat('m', conv_id, '-', turn) AS msg_id, concat('é Jamie Torres number ', conv_id, '. ', text) AS text,
   CASE turn % 4 WHEN 0 THEN concat('[', {_ITEMS}, ']') WHEN 1 THEN concat('Here: [', {_ITEMS}, '] done')
   WHEN 2 THEN concat('[', {_ITEMS}, ',{{"start":2,"en') ELSE 'no array' END AS model_output
 FROM conversations"""
@@ -94,8 +98,8 @@ def _rows(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def tabular_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    K.load(spark, sf_dir, "customer", "documents")
-    return K.over_cores(spark.sql(TABULAR_TEXTS))
+    K.load(spark, sf_dir, "customer", "documents", "pages", "orders")
+    return K.over_cores(spark.sql(tabular_sql(K.SPARK)))
 
 
 def turn_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,11 +142,15 @@ def watchlist(spark, sf_dir):
     return _rows(detect_watchlist(K.texts(spark, sf_dir), WATCHLIST), "doc_id")
 
 
+def _digest(*columns: str):
+    """Sum of a hash of each row: tells different rows apart whatever their order."""
+    return F.sum(F.conv(F.substring(F.md5(F.concat_ws("|", *columns)), 1, 8), 16, 10).cast("bigint")).alias("digest")
+
+
 def tokenize_words(spark, sf_dir):
     words = N.explode_words(N.tokenize_words(K.texts(spark, sf_dir)))
     return words.groupBy("doc_id").agg(
-        F.count("*").alias("words"), F.sum("start").alias("starts"),
-        F.sum(F.col("end") - F.col("start")).alias("chars"), F.min("word").alias("least"), F.max("word").alias("greatest"))
+        F.count("*").alias("words"), _digest("start", "end", "word"))
 
 
 def candidate_word_spans(spark, sf_dir):
@@ -150,7 +158,7 @@ def candidate_word_spans(spark, sf_dir):
     words = N.tokenize_words(K.over_cores(spark.sql("SELECT doc_id, text FROM documents")))
     windows = N.candidate_word_spans(words)
     return windows.groupBy("doc_id", "width").agg(
-        F.count("*").alias("windows"), F.sum(F.col("end") - F.col("start")).alias("chars"))
+        F.count("*").alias("windows"), _digest("word_start", "start", "end"))
 
 
 def decode_scored_spans(spark, sf_dir):
@@ -310,6 +318,10 @@ watch AS MATERIALIZED (SELECT doc_id, "start", "end", kind, raw, 1.0::FLOAT AS c
   FROM ({O.located_sql('wtagged', 'doc_id')}))"""
 
 
+def _hash_sum(*columns: str) -> str:
+    return f"sum(('0x' || substr(md5(concat_ws('|', {', '.join(columns)})), 1, 8))::BIGINT)::BIGINT AS digest"
+
+
 _W = r"[\p{L}\p{M}\p{Nd}\p{Pc}]"
 _WORD = rf"({_W}+(?:[-_]{_W}+)*|[^\s])"
 
@@ -340,7 +352,7 @@ ORACLES |= {
     "resolve_overlaps": f"WITH RECURSIVE {TURN_CTES} SELECT msg_id, {_SPAN} FROM spans",
     "detect_patterns": f"WITH RECURSIVE {_TEXTS}, {O.hits_ctes('texts', 'doc_id')}, {O.spans_ctes('doc_id')} "
                        f"SELECT doc_id, {_SPAN} FROM spans",
-    "detect_structured": f"WITH RECURSIVE texts AS MATERIALIZED ({TABULAR_TEXTS}), {structured_ctes('texts')} "
+    "detect_structured": f"WITH RECURSIVE texts AS MATERIALIZED ({tabular_sql(K.DUCKDB)}), {structured_ctes('texts')} "
                          f"SELECT * FROM structured",
     "classify_columns": f"SELECT header, count(*) AS n, {_header_case('header')} AS kind FROM ({HEADERS}) GROUP BY header",
     "scan_table_columns": f"""
@@ -355,11 +367,10 @@ SELECT order_id, column_name, {_checked('kind', 'raw')} AS kind, raw, 0.9::FLOAT
     "detect_watchlist": f"WITH {_TEXTS}, {watch_ctes('texts')} SELECT * FROM watch",
     "tokenize_words": f"""
 WITH {_TEXTS}, {word_ctes('texts')}
-SELECT doc_id, count(*) AS words, sum("start")::BIGINT AS starts, sum("end" - "start")::BIGINT AS chars,
-       min(word) AS least, max(word) AS greatest FROM words GROUP BY doc_id""",
+SELECT doc_id, count(*) AS words, {_hash_sum('"start"', '"end"', 'word')} FROM words GROUP BY doc_id""",
     "candidate_word_spans": f"""
 WITH {word_ctes('documents')}
-SELECT a.doc_id, (b.i - a.i + 1)::INT AS width, count(*) AS windows, sum(b."end" - a."start")::BIGINT AS chars
+SELECT a.doc_id, (b.i - a.i + 1)::INT AS width, count(*) AS windows, {_hash_sum('a.i - 1', 'a."start"', 'b."end"')}
 FROM words a JOIN words b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + 11 GROUP BY ALL""",
     "decode_scored_spans": f"""
 WITH RECURSIVE c AS (SELECT *, (1 / (1 + exp(-logit::DOUBLE)))::FLOAT AS prob FROM ({SCORES})),
@@ -396,7 +407,7 @@ WITH RECURSIVE {TURN_CTES} SELECT msg_id, "start", kind, {O.label()} AS label, {
   CASE WHEN {O.confidence()} >= 0.95::FLOAT THEN 'high' WHEN {O.confidence()} >= 0.85::FLOAT THEN 'medium' ELSE 'low' END AS tier,
   'regex' AS source FROM spans""",
     "detect_all": f"""
-WITH RECURSIVE texts AS MATERIALIZED ({TABULAR_TEXTS}), {O.hits_ctes('texts', 'doc_id')}, {O.spans_ctes('doc_id')},
+WITH RECURSIVE texts AS MATERIALIZED ({tabular_sql(K.DUCKDB)}), {O.hits_ctes('texts', 'doc_id')}, {O.spans_ctes('doc_id')},
 {structured_ctes('texts')}, {watch_ctes('texts')},
 l1 AS MATERIALIZED (SELECT doc_id, {_SPAN} FROM spans WHERE {O.pack()} <> 'identity'),
 l2 AS MATERIALIZED (SELECT * FROM l1 UNION ALL SELECT * FROM structured s WHERE {O.pack()} <> 'identity' AND NOT EXISTS (
