@@ -50,5 +50,3 @@ def id_text(column: Column | str) -> Column:
 def held_out(doc_id: str, folds: int, fold: int) -> Column:
     """True for documents of the fold that learning never sees."""
     return (F.crc32(id_text(doc_id).cast("binary")) % folds) == fold
-
-

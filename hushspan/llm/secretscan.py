@@ -153,8 +153,7 @@ def fit(found: DataFrame, labelled: DataFrame) -> Forest:
         return forest
     ready = VectorAssembler(inputCols=list(named), outputCol="features").transform(sample).select("label", "features")
     trained = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, subsamplingRate=0.8).fit(ready)
-    forest.trees = [_tree(t._java_obj.rootNode() if hasattr(t, "_java_obj") else t._call_java("rootNode"), list(named))
-                    for t in trained.trees]
+    forest.trees = [_tree(t._java_obj.rootNode(), list(named)) for t in trained.trees]
     return forest
 
 

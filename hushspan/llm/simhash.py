@@ -14,7 +14,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushspan.llm.common import settled, text_batches
@@ -154,12 +154,6 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     named = docs.where(F.col(doc_id).isNotNull())
     kept = near_duplicates(named, doc_id, text).select(F.col("component_id").alias("__kept")).distinct()
-    order = F.row_number().over(_per_id(doc_id, text))
+    order = F.row_number().over(Window.partitionBy("__kept").orderBy(F.col(text).asc_nulls_last()))
     out = named.join(kept, F.col(doc_id) == F.col("__kept")).withColumn("__copy", order).where("__copy = 1")
     return out.select(*docs.columns).unionByName(docs.where(F.col(doc_id).isNull()))
-
-
-def _per_id(doc_id: str, text: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy("__kept").orderBy(F.col(text).asc_nulls_last())
