@@ -119,7 +119,8 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
     rows = docs.toDF(*names)
     by_name = dict(zip(docs.columns, names))
     rows = rows.withColumn("k", _source_key(by_name[source])).withColumn("h", _hash(by_name[doc_id]))
-    times = F.col("base") + (F.col("h") <= F.col("last")).cast("long")
+    # A document without words weighs nothing, so any threshold would take it once more than twice.
+    times = F.least(F.col("base") + (F.col("h") <= F.col("last")).cast("long"), F.lit(2))
     out = _with_budgets(rows, settled(thresholds(narrow))).withColumn(
         "time", F.explode(F.sequence(F.lit(1), F.greatest(times, F.lit(1)).cast("int")))).where(times >= 1)
     return out.select(*[F.col(n).alias(c) for c, n in by_name.items()])
