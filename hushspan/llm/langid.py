@@ -26,8 +26,11 @@ FOLDS, HELD_OUT = 5, 0
 UNKNOWN = "und"
 #: Bound of the sample to learn from (documents of each language, on average) and rounds of learning.
 PER_LANGUAGE, ROUNDS = 1_000, 3
-#: Longer words are summed in sections of so many characters.
+#: Words of fewer characters are summed together, longer ones each alone.  Learning cuts those into
+#: sections of this size.
 SECTION = 32
+#: Characters of a long word whose pieces are looked up at once, and steps before sums are rescaled.
+STRETCH, RESCALE = 1 << 14, 8
 #: Probability of a character that is no piece, the same in every language.
 STRANGE = 1e-7
 #: Weight of the common distribution in each language's own, so that no known piece is impossible.
@@ -123,6 +126,35 @@ def log_chances(sections: list[str], table: np.ndarray, vocab: Vocabulary) -> np
     return out
 
 
+def long_log_chances(word: str, table: np.ndarray, vocab: Vocabulary) -> np.ndarray:
+    """(languages,) log of the sum over all segmentations of one word of any length.
+
+    Only the sums that a piece can still reach are held, and they are rescaled on the way.
+    """
+    codes, none = _codes([SPACE + word])[0], len(vocab.pieces)
+    ahead, logs = np.zeros((vocab.longest + 1, table.shape[1])), np.zeros(table.shape[1])
+    ahead[0] = 1
+    for at in range(0, len(codes), STRETCH):
+        starts = min(STRETCH, len(codes) - at)
+        pieces, hashes = np.full((vocab.longest, starts), none), np.zeros(starts, np.uint64)
+        for more in range(vocab.longest):
+            inside = min(starts, len(codes) - at - more)
+            if inside <= 0:
+                break
+            hashes = hashes[:inside] * _BASE + codes[at + more:at + more + inside]
+            pieces[more, :inside] = vocab.find(hashes)
+        pieces[0, pieces[0] == none] = none + 1
+        for start in range(starts):
+            if start % RESCALE == 0:
+                logs += np.log(ahead[0])
+                ahead /= ahead[0]
+            known = np.flatnonzero(pieces[:, start] != none)
+            ahead[known + 1] += ahead[0] * table[pieces[known, start]]
+            ahead[:-1] = ahead[1:]
+            ahead[-1] = 0
+    return logs + np.log(ahead[0])
+
+
 def expected_counts(sections: list[str], counts: np.ndarray, table: np.ndarray, vocab: Vocabulary) -> np.ndarray:
     """How often each piece is used in all segmentations, by their probability in one language."""
     used = np.zeros(len(vocab.pieces) + 2)
@@ -225,14 +257,10 @@ class Scorer:
         if len(self.place) + len(new) > REMEMBERED:
             self.clear()
             new = set().union(*words)
-        new = sorted(new)
-        cut = [_sections(w) for w in new]
-        sections = sorted({s for c in cut for s in c})
-        found = log_chances(sections, self.table, self.vocab) if sections else self.logs[:0]
-        number = {s: i for i, s in enumerate(sections)}
-        flat = np.array([number[s] for c in cut for s in c], int)
-        starts = np.r_[0, np.cumsum([len(c) for c in cut])[:-1]].astype(int)
-        fresh = np.add.reduceat(found[flat], starts) if new else found[:0]
+        short, long = sorted(w for w in new if len(w) < SECTION), sorted(w for w in new if len(w) >= SECTION)
+        fresh = log_chances([SPACE + w for w in short], self.table, self.vocab)
+        alone = [long_log_chances(w, self.table, self.vocab)[None] for w in long]
+        new, fresh = short + long, np.concatenate([fresh, *alone])
         self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
         self.logs = np.concatenate([self.logs, fresh])
         place = self.place.__getitem__

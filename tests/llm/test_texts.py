@@ -131,6 +131,16 @@ def test_mix_comes_near_targets_and_repeats_rows(spark):
     assert mixed.groupby("doc_id").size().to_dict() == {i: n for i, n in zip(report.doc_id, times) if n}
 
 
+def test_documents_without_words_are_mixed_twice_at_most(spark):
+    table = docs(spark, [(i, "a b" if i % 3 else "", None, "s") for i in range(60)]
+                 + [(100 + i, "", None, "t") for i in range(9)] + [(200 + i, "c " * 50, None, "u") for i in range(50)])
+    report = mixing.mix_report(table).toPandas()
+    copies = mixing.mixed(table).groupBy("doc_id").count().toPandas().set_index("doc_id")["count"]
+    assert copies.max() <= 2 and (report.taken <= 2 * report["size"]).all()
+    worded = report[report["size"] > 0].set_index("doc_id")
+    assert (copies.reindex(worded.index).fillna(0) == worded.taken // worded["size"]).all()
+
+
 # --- languages
 
 LANGS = {"en": "the house and the garden with three little windows", "de": "das Haus und der Garten mit drei kleinen Fenstern",
@@ -175,10 +185,28 @@ def test_forward_sum_equals_all_segmentations():
     got = langid.log_chances(words, langid._with_strange(chances), vocab)
     for word, logs in zip(words, got):
         assert [math.log(every(word, lang)) for lang in (0, 1)] == pytest.approx(list(logs))
+    for word in ["the", "日ü", "", "ab" * 9]:
+        alone = langid.long_log_chances(word, langid._with_strange(chances), vocab)
+        assert [math.log(every("▁" + word, lang)) for lang in (0, 1)] == pytest.approx(list(alone))
     used = langid.expected_counts(["▁the"], np.array([2.0]), langid._with_strange(chances)[:, 0], vocab)
     assert sum(n * len(vocab.pieces[i]) for i, n in enumerate(used)) == pytest.approx(8)
 
 
+def test_long_words_are_summed_whole(monkeypatch):
+    import numpy as np
+
+    vocab = langid.vocabulary(pieces.default_path())
+    table = langid._with_strange(np.random.default_rng(1).random((len(vocab.pieces), 3)) / 1000)
+    word = "".join(random.Random(2).choices(["stein", "house", "日", "ing", "q9"], k=40))
+    whole = langid.log_chances(["▁" + word], table, vocab)[0]
+    assert langid.long_log_chances(word, table, vocab) == pytest.approx(whole)
+    monkeypatch.setattr(langid, "STRETCH", 7)
+    assert langid.long_log_chances(word, table, vocab) == pytest.approx(whole)
+    scorer = langid.Scorer(langid.Model(["a", "b", "c"], table[:-2], pieces.default_path()))
+    both = scorer.totals([f"{word} the", "", word, "the"])
+    assert both[0] == pytest.approx(both[2] + both[3]) and both[2] == pytest.approx(whole) and not both[1].any()
+
+
 # --- classifiers
 
 @pytest.mark.parametrize("module,label", [(toxicity, "toxic"), (quality, "quality")])
