@@ -146,7 +146,9 @@ def ingest_model_spans(df: DataFrame, text: str = "text", output: str = "model_o
     return computed(df, out, f"coalesce({model_output_sql(text, output)}, cast(array() as {SPANS_TYPE}))")
 
 
-Detector = Callable[[str], list[tuple[int, int, str, float]]]
+Detector = Callable[[list[str]], list[list[tuple[int, int, str, float]]]]
+#: Calls of a detector that a task lets run late before it starts no more of them.
+LATE_CALLS = 4
 
 
 class NotLoaded(Exception):
@@ -154,34 +156,42 @@ class NotLoaded(Exception):
 
 
 def with_detector(df: DataFrame, detector: Detector, doc: str = "doc_id", text: str = "text",
-                  timeout_ms: int = 500) -> DataFrame:
-    """Run a user detector `text -> [(start, end, kind, confidence)]` in Arrow batches.
-
-    Gives doc, status (ok / timeout / not_loaded / error), error and spans.  A detector that fails
-    or is late gives no spans and never fails the job.
+                  timeout_ms: int = 500, size: int = 32) -> DataFrame:
+    """Run a user detector on lists of `size` texts in Arrow batches: a list of (start, end, kind, confidence) each.
+
+    Gives doc, status (ok / timeout / not_loaded / error), error and spans.  A list that fails or takes
+    over `timeout_ms` for each of its texts is tried again text by text, so a bad text costs the
+    others nothing.  One that fails or is late alone gives no spans and never fails the job.  A late
+    call keeps its thread; when LATE_CALLS of them are stuck at once, a task's further texts are late
+    too.  A null text is read as an empty one.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pool = concurrent.futures.ThreadPoolExecutor(1)
+        pool = concurrent.futures.ThreadPoolExecutor(LATE_CALLS)
 
-        def one(value: str):
-            nonlocal pool
+        def some(values: list[str]) -> list[tuple]:
+            call = pool.submit(detector, values)
             try:
-                found = pool.submit(detector, value).result(timeout_ms / 1000)
-            except concurrent.futures.TimeoutError:
-                pool = concurrent.futures.ThreadPoolExecutor(1)  # the late call keeps its thread
-                return "timeout", None, []
-            except NotLoaded as error:
-                return "not_loaded", str(error), []
+                found = call.result(timeout_ms / 1000 * len(values))
+                return [("ok", None, [
+                    {"start": int(s), "end": int(e), "kind": k, "raw": value[s:e], "alias": "", "confidence": float(c)}
+                    for s, e, k, c in spans]) for value, spans in zip(values, found, strict=True)]
             except Exception as error:  # noqa: BLE001 - any detector failure degrades to no spans
-                return "error", str(error), []
-            return "ok", None, [
-                {"start": int(s), "end": int(e), "kind": k, "raw": value[s:e], "alias": "",
-                 "confidence": float(c)} for s, e, k, c in found]
-        for batch in batches:
-            rows = [one(value) for value in batch[text]]
-            yield pd.DataFrame({
-                doc: batch[doc], "status": [r[0] for r in rows], "error": [r[1] for r in rows],
-                "spans": [r[2] for r in rows]})
+                call.cancel()
+                if len(values) > 1:
+                    return [row for value in values for row in some([value])]
+                if isinstance(error, TimeoutError):
+                    return [("timeout", None, [])]
+                return [("not_loaded" if isinstance(error, NotLoaded) else "error", str(error), [])]
+
+        try:
+            for batch in batches:
+                values = ["" if value is None else value for value in batch[text]]
+                rows = [row for at in range(0, len(values), size) for row in some(values[at:at + size])]
+                yield pd.DataFrame({
+                    doc: batch[doc], "status": [r[0] for r in rows], "error": [r[1] for r in rows],
+                    "spans": [r[2] for r in rows]})
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)
     doc_type = df.schema[doc].dataType.simpleString()
     return df.select(doc, text).mapInPandas(
         run, f"{doc} {doc_type}, status string, error string, spans {SPANS_TYPE}")

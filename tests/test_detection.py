@@ -175,3 +175,28 @@ def test_values_missing_in_the_vault_are_redacted(spark):
     old = mint_aliases(S.explode_spans(found.filter("turn = 0")))
     got = {r.msg_id: r.text_aliased for r in apply_vault(found, old).collect()}
     assert got == {"m1": "mail ⟦email_01⟧", "m2": "mail [REDACTED]"}
+
+
+def test_detector_failures_cost_only_their_own_text(spark):
+    import threading
+
+    from hushspan.operators.candidates import NotLoaded, with_detector
+
+    def detector(texts):
+        if "model" in texts:
+            raise NotLoaded("no file")
+        if "bad" in texts:
+            raise ValueError("broken")
+        if "slow" in texts:
+            threading.Event().wait(3)
+        return [[(0, 2, "PERSON_NER", 0.5)] if text.startswith("Al") else [] for text in texts]
+
+    texts = ["Al one", "bad", None, "Al two", "model", "slow", "plain", "Al three"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1)
+    for size in (1, 3, 32):
+        got = {r.doc_id: r for r in with_detector(table, detector, timeout_ms=100, size=size).collect()}
+        assert [got[i].status for i in range(8)] == ["ok", "error", "ok", "ok", "not_loaded", "timeout", "ok", "ok"]
+        assert [[s.raw for s in got[i].spans] for i in (0, 2, 3, 5, 7)] == [["Al"], [], ["Al"], [], ["Al"]]
+    stuck = spark.createDataFrame([(i, "slow") for i in range(6)] + [(9, "Al")], "doc_id int, text string").coalesce(1)
+    assert {r.status for r in with_detector(stuck, detector, timeout_ms=50).collect()} == {"timeout"}
+    assert with_detector(table.limit(0), detector).count() == 0
