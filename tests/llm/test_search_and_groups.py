@@ -97,6 +97,31 @@ def test_one_of_each_keeps_columns_and_one_row(spark):
     assert sorted(i for i in ids if i is not None) == [1, 3, 6, 7, 8, 9, 10, 11] and ids.count(None) == 1
 
 
+def test_near_copies_of_similarity_0_8_leave_one(spark, monkeypatch):
+    from hushspan.llm import shingles
+
+    random.seed(12)
+    made, far = [], []
+    for group in range(30):
+        words = [f"w{random.randrange(10**6)}" for _ in range(200)]
+        made.append((10 * group, " ".join(words)))
+        for copy in range(1, 4):
+            other = list(words)
+            for at in range(20, 20 + 50 * copy, 50):
+                other[at] = f"x{random.randrange(10**6)}"
+            made.append((10 * group + copy, " ".join(other)))
+        changed = [w if i % 9 else f"y{random.randrange(10**6)}" for i, w in enumerate(words)]
+        far.append((10 * group + 5, " ".join(changed)))
+    table = docs(spark, [(i, text, "en", "a") for i, text in made + far])
+    want = sorted([10 * g for g in range(30)] + [i for i, _ in far])
+    assert sorted(r.doc_id for r in shingles.one_of_each(clashing(table)).collect()) == want
+    monkeypatch.setattr(shingles, "ROUNDS", 0)
+    assert sorted(r.doc_id for r in shingles.one_of_each(table).collect()) == want
+    twice = docs(spark, [(1, "a b c d e f", "en", "a"), (1, "g h i j k l", "en", "a"), (2, "g h i j k l", "en", "a"), (None, "a b", "en", "a")])
+    assert sorted((r.doc_id or 0, r.text) for r in shingles.one_of_each(twice).collect()) == [
+        (0, "a b"), (1, "a b c d e f"), (1, "g h i j k l")]
+
+
 def test_empty_tables(spark):
     nothing = awkward(spark).limit(0)
     assert simhash.near_duplicates(nothing).count() == 0
