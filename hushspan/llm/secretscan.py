@@ -16,13 +16,25 @@ from pyspark.sql import functions as F
 from hushspan.functions.arrays import lit, running
 from hushspan.llm.common import id_text, settled
 
-#: Assigned values of eight characters or more, access key ids, and runs of 16 or more that hold a digit.
+#: Words that a name of a secret holds.
+_NAMES = r"(?:key|secret|token|pass|pwd|auth|credential)"
+_SEPARATOR = r"""["'\])]{0,2}\s*+(?:=>|:=|[=:])"""
+#: The name of an assigned value with what follows it.  A name is read once, so long words cost no more.
+NAME = rf"""(?i:(?<![\w.-])(?=[\w.-]*?{_NAMES})[\w.-]++{_SEPARATOR}\s*+(?:(?:bearer|basic)\s++)?+["']?)"""
+#: Scheme and user before the password of a URL.
+USER = r"""(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]*+://[^\s:/@"']*+:"""
+#: Assigned values, passwords in URLs, access key ids, and runs of 16 or more that hold a digit.  A value
+#: that is itself a name with a value is left for that; padded base64 is no name.
 CANDIDATE = (
-    r"""(?i:pass(?:word|wd)?|pwd|secret|token|api[_-]?key)["']?\s{0,4}[=:]\s{0,4}["']?[^\s"']{8,}+"""
-    r"""|(?<![A-Za-z0-9+/_=-])(?:A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9+/_=-])"""
+    rf"""(?<![\w.-])(?!(?=[A-Za-z]*+[0-9])[A-Za-z0-9]{{16,}}+={{1,2}}(?:\s|$)){NAME}"""
+    rf"""(?!(?i:(?=[\w.-]*?{_NAMES})[\w.-]++{_SEPARATOR}\s))[^\s"']++"""
+    rf"""|{USER}[^\s/@"']++(?=@)"""
+    r"""|(?<![A-Za-z0-9+_-])(?:A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9+/_=-])"""
     r"""|(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2})""")
-#: What comes before the value in an assignment.
-ASSIGNMENT = r"""^(?i:pass(?:word|wd)?|pwd|secret|token|api[_-]?key)["']?\s{0,4}[=:]\s{0,4}["']?"""
+#: What comes before the value in an assignment or a URL.
+ASSIGNMENT = rf"""^(?:(?!(?=[A-Za-z]*+[0-9])[A-Za-z0-9]{{16,}}+={{1,2}}$){NAME}|{USER})"""
+#: Names that say what the value is; only these teach the forest what a secret looks like.
+SURE_NAME = rf"""^(?i:[\w.-]*?(?:pass(?:word|wd)?|pwd|secret|token|(?:api|access|secret|private|auth)[_-]?key){_SEPARATOR})"""
 #: Characters of context that are looked at on either side.
 CONTEXT = 80
 #: Bounds: findings to fit on, and words of the dictionary.
@@ -88,9 +100,9 @@ def candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path
 def label_findings(found: DataFrame) -> DataFrame:
     """Findings with `label` where a validator is sure; the tables hold no labels of findings.
 
-    1: an access key id of its known form, or an assigned value that mixes letters and digits and is
-    no placeholder.  0: digits alone, an account number of the form of an IBAN, a UUID, or a value that says that it
-    is an example.  All others stay out of training.
+    1: an access key id of its known form, or a value of eight characters or more that is assigned to a
+    sure name, mixes letters and digits and is no placeholder.  0: digits alone, an account number of the form of an IBAN, a UUID, or a value that says that it
+    is an example, or a plain word where the name does not say password.  All others stay out of training.
     """
     value = _value("hit")
     label = F.expr(f"""case
@@ -99,7 +111,8 @@ def label_findings(found: DataFrame) -> DataFrame:
         when {value} rlike '^[0-9_/+-]+$' then 0
         when {value} rlike '^[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}$' then 0
         when {value} rlike '^[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}$' then 0
-        when hit rlike {lit(ASSIGNMENT)} and {value} rlike '[A-Za-z]' and {value} rlike '[0-9]' then 1 end""")
+        when hit rlike {lit(SURE_NAME)} and length({value}) >= 8 and {value} rlike '[A-Za-z]' and {value} rlike '[0-9]' then 1
+        when {value} rlike '^[A-Za-z][a-z]*[.,;:!?)]*$' and not (hit rlike {lit(SURE_NAME)} and length({value}) >= 8) then 0 end""")
     return found.withColumn("label", label).where("label is not null")
 
 

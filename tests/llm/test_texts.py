@@ -276,6 +276,30 @@ def test_secret_offsets_of_many_candidates(spark):
     assert secretscan.scan(docs(spark, [])).count() == 0 and secretscan.redacted(docs(spark, [])).count() == 0
 
 
+def test_secrets_in_common_leaks_are_candidates(spark):
+    key, long, hexes = "AKIA" + "Q7" * 8, "aB3/" * 10, "0f" * 16
+    leaks = [(f"AWS_ACCESS_KEY_ID={key}", key), (f"AWS_SECRET_ACCESS_KEY={long}", long), (f"private_key={hexes}", hexes),
+             ("secret_key=abcd1234efgh5678", "abcd1234efgh5678"), (f"https://x.example.com/v1?key=AIza{hexes}", f"AIza{hexes}"),
+             ("password         = hunter2abc", "hunter2abc"), ("passwd => s3cretpw99", "s3cretpw99"), ("password: abc1234", "abc1234"),
+             ("postgres://user:pa55word@db.example.com/x", "pa55word"), (f"id={key}", key), (f":/{key}", f"/{key}"),
+             (f"Authorization: Bearer {hexes}", hexes), ("auth:\n  password: hunter2abc", "hunter2abc"), ("{\"api_key\": \"zz9\"}", "zz9"),
+             ("c2VjcmV0a2V5c2VjcmV0a2V5MTIzkey== x", "c2VjcmV0a2V5c2VjcmV0a2V5MTIzkey==")]
+    table = docs(spark, [(i, f"see {text} here", None, "app") for i, (text, _) in enumerate(leaks)])
+    got = secretscan.scan(table).collect()
+    for i, (text, value) in enumerate(leaks):
+        hashes = {r.value_sha256 for r in got if r.doc_id == i}
+        assert hashlib.sha256(value.encode()).hexdigest() in hashes, text
+    trained = secretscan.redacted(secret_docs(spark).union(docs(spark, [(9000 + i, f"see {text} here", None, "app") for i, (text, _) in enumerate(leaks[:4])] + [
+        (9100 + i, f"{name}: {word} of note", None, "app") for i, (name, word) in enumerate(zip(["author", "key", "passage", "monkey"] * 5, ["the", "Anna", "short", "wild"] * 5))])))
+    after = {r.doc_id: r.text for r in trained.collect() if r.doc_id >= 9000}
+    assert [i for i in range(4) if "<SECRET>" not in after[9000 + i]] == [] and [i for i in range(20) if "<SECRET>" in after[9100 + i]] == []
+
+
+def test_long_words_of_names_are_read_once(spark):
+    text = "key" * 60_000 + " " + "a." * 90_000 + " password=hunter2abc"
+    assert [r.hit for r in secretscan.candidates(docs(spark, [(1, text, None, None)])).collect()] == ["password=hunter2abc"]
+
+
 # --- URL lists
 
 def test_url_lists_equal_sql(spark):
