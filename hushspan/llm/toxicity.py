@@ -9,19 +9,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushspan.llm.common import held_out, text_batches
+from hushspan.llm.common import held_out, settled, text_batches
 from hushspan.llm.texts import code_points, labelled_sample, slices
 
 FOLDS, HELD_OUT = 4, 2
 LENGTHS = (4, 5, 6)
 #: n-grams are hashed to this many buckets.
 BUCKETS = 1 << 20
-#: Bounds of the sample to fit on (documents of each class) and of the features that are weighed.
-PER_CLASS, FEATURES = 5_000, 6_000
+#: Bound of the sample to fit on (documents of each class); all n-grams with SUPPORT are weighed.
+PER_CLASS = 8_000
 #: A feature must be in so many sampled documents.
 SUPPORT = 8
 THRESHOLD = 0.3
-STEPS, RATE, RIDGE = 300, 0.5, 1e-4
+STEPS, RIDGE = 100, 1e-4
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -80,6 +80,9 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Model:
     """Learn from a bounded sample; without labels of both classes the model says the share of label 1."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.linalg import SparseVector, VectorUDT
+
     sample, weight = labelled_sample(docs, labels, "toxic", FOLDS, HELD_OUT, PER_CLASS, doc_id, text)
     given = sample.select("y", "text")
     n = {r["y"]: r["n"] for r in given.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -89,10 +92,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     counts = text_batches(given).mapInArrow(_count, "bucket long, clean long, toxic long").groupBy("bucket").agg(
         F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     ratio = F.log((F.col("toxic") + 1) / (n[1] + 2)) - F.log((F.col("clean") + 1) / (n[0] + 2))
-    sure = F.abs(ratio) / F.sqrt(1 / (F.col("toxic") + 1) + 1 / (F.col("clean") + 1))
-    best = (counts.where(F.col("toxic") + F.col("clean") >= SUPPORT).withColumn("r", ratio).withColumn("sure", sure)
-            .orderBy(F.col("sure").desc(), "bucket").limit(FEATURES).select("bucket", "r").toPandas())
-    buckets, ratios = best["bucket"].to_numpy(np.int64), best["r"].to_numpy(float)
+    used = counts.where(F.col("toxic") + F.col("clean") >= SUPPORT).select("bucket", ratio.alias("r")).toPandas().sort_values("bucket")
+    buckets, ratios = used["bucket"].to_numpy(np.int64), used["r"].to_numpy(float)
+    if not len(buckets):
+        share = n[1] * weight[1] / (n[1] * weight[1] + n[0] * weight[0])
+        return Model(nothing, nothing.astype(float), float(np.log(share / (1 - share))))
     wanted = np.zeros(BUCKETS, bool)
     wanted[buckets] = True
 
@@ -106,30 +110,19 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                     [batch.column(0).slice(part.start, part.stop - part.start),
                      pa.ListArray.from_arrays(at, pa.array(what.astype(np.int32)))], ["y", "buckets"])
 
-    rows = text_batches(given).mapInArrow(features, "y int, buckets array<int>").toArrow()
-    column = np.full(BUCKETS, -1)
-    column[buckets] = np.arange(len(buckets))
-    y = np.asarray(rows["y"], float)
-    lists = rows["buckets"].combine_chunks()
-    place = column[np.asarray(lists.flatten())].astype(np.int32)
-    row = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(np.asarray(lists.offsets)))
-    w, b = _logistic(row, place, ratios[place].astype(np.float32), y, np.where(y == 1, weight[1], weight[0]), len(buckets))
-    return Model(buckets, w * ratios, b)
-
-
-def _logistic(row, column, value, y, weight, width) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression on sparse rows, by Adam over all rows."""
-    w, b = np.zeros(width), 0.0
-    weight = weight / weight.sum()
-    m, v = np.zeros(width + 1), np.zeros(width + 1)
-    for step in range(1, STEPS + 1):
-        z = np.bincount(row, value * w[column], len(y)) + b
-        error = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        slope = np.append(np.bincount(column, value * error[row], width) + RIDGE * w, error.sum())
-        m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope * slope
-        move = RATE / (1 + step / 30) * 0.1 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
-        w, b = w - move[:-1], b - move[-1]
-    return w, float(b)
+    width = len(buckets)
+
+    def vector(found: list[int]) -> SparseVector:
+        at = np.searchsorted(buckets, np.asarray(found, np.int64))
+        return SparseVector(width, at, ratios[at])
+
+    rows = text_batches(given).mapInArrow(features, "y int, buckets array<int>")
+    ready = settled(rows.select(
+        F.col("y").cast("double").alias("label"), F.when(F.col("y") == 1, float(weight[1])).otherwise(float(weight[0])).alias("weight"),
+        F.udf(vector, VectorUDT(), useArrow=False)("buckets").alias("features")))
+    # Steps are sums over the executors' rows; the driver holds vectors of one number for each n-gram.
+    fitted = LogisticRegression(maxIter=STEPS, regParam=RIDGE, standardization=False, weightCol="weight").fit(ready)
+    return Model(buckets, fitted.coefficients.toArray() * ratios, float(fitted.intercept))
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import random
+import zlib
 import struct
 from datetime import datetime, timedelta
 
@@ -231,6 +232,22 @@ def test_classifiers_learn_from_labels_alone(spark, module, label):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got.values()) and got[9001].score == got[9002].score
 
 
+def test_toxicity_weighs_every_supported_n_gram(spark):
+    import numpy as np
+
+    random.seed(13)
+    made = [(i, " ".join(f"{'ab'[i % 2]}{random.randrange(3000):04d}" for _ in range(150)), "en", "a") for i in range(600)]
+    labels = spark.createDataFrame([(i, i % 2) for i, *_ in made], "doc_id long, toxic int")
+    table = docs(spark, made)
+    model = toxicity.fit(table, labels)
+    sample = [text for i, text, *_ in made if zlib.crc32(str(i).encode()) % toxicity.FOLDS != toxicity.HELD_OUT]
+    _, what = toxicity._present(sample)
+    want = np.flatnonzero(np.bincount(what, minlength=toxicity.BUCKETS) >= toxicity.SUPPORT)
+    assert len(want) > 6_000 and model.buckets.tolist() == want.tolist()
+    got = toxicity.classify(table, labels).collect()
+    assert all(r.predicted == r.doc_id % 2 for r in got)
+
+
 @pytest.mark.parametrize("module", [toxicity, quality])
 def test_classifiers_without_labels_or_rows(spark, module):
     table = awkward(spark)
