@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import concurrent.futures
+import multiprocessing
+import os
+import threading
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -147,41 +149,87 @@ def ingest_model_spans(df: DataFrame, text: str = "text", output: str = "model_o
 
 
 Detector = Callable[[list[str]], list[list[tuple[int, int, str, float]]]]
-#: Calls of a detector that a task lets run late before it starts no more of them.
-LATE_CALLS = 4
 
 
 class NotLoaded(Exception):
     """Raised by a detector whose model is missing."""
 
 
+def _serve(detector: Detector, calls, mine) -> None:
+    """A child's loop: lists of texts in, found spans or the failure out; it ends with its parent."""
+    mine.close()
+    parent = multiprocessing.parent_process()
+    threading.Thread(target=lambda: (parent.join(), os._exit(1)), daemon=True).start()
+    while True:
+        try:
+            values = calls.recv()
+        except EOFError:
+            return
+        try:
+            found = [[(int(s), int(e), str(k), float(c)) for s, e, k, c in spans] for spans in detector(values)]
+            if len(found) != len(values):
+                raise ValueError(f"{len(found)} lists of spans for {len(values)} texts")
+            calls.send(("ok", found))
+        except NotLoaded as error:
+            calls.send(("not_loaded", str(error)))
+        except Exception as error:  # noqa: BLE001 - any detector failure degrades to no spans
+            calls.send(("error", str(error)))
+
+
+class _Child:
+    """A detector in a process of its own, started when it is called and ended when a call is late."""
+
+    def __init__(self, detector: Detector):
+        self.detector, self.process, self.calls = detector, None, None
+
+    def call(self, values: list[str], seconds: float) -> tuple:
+        if self.process is None:
+            forked = multiprocessing.get_context("fork")
+            self.calls, theirs = forked.Pipe()
+            self.process = forked.Process(target=_serve, args=(self.detector, theirs, self.calls), daemon=True)
+            self.process.start()
+            theirs.close()
+        try:
+            self.calls.send(values)
+            if self.calls.poll(seconds):
+                return self.calls.recv()
+        except (EOFError, OSError):
+            self.end()
+            return "error", "the detector's process ended"
+        self.end()
+        return "timeout", None
+
+    def end(self) -> None:
+        if self.process is not None:
+            self.process.kill()
+            self.process.join()
+            self.calls.close()
+            self.process = None
+
+
 def with_detector(df: DataFrame, detector: Detector, doc: str = "doc_id", text: str = "text",
                   timeout_ms: int = 500, size: int = 32) -> DataFrame:
     """Run a user detector on lists of `size` texts in Arrow batches: a list of (start, end, kind, confidence) each.
 
     Gives doc, status (ok / timeout / not_loaded / error), error and spans.  A list that fails or takes
     over `timeout_ms` for each of its texts is tried again text by text, so a bad text costs the
-    others nothing.  One that fails or is late alone gives no spans and never fails the job.  A late
-    call keeps its thread; when LATE_CALLS of them are stuck at once, a task's further texts are late
-    too.  A null text is read as an empty one.
+    others nothing.  One that fails or is late alone gives no spans and never fails the job.  The
+    detector runs in a child process of the task; a late call is ended with the process and the next
+    call starts another, so every text is tried.  What a detector loads at its first call is loaded
+    again after that, within the time of that call.  A null text is read as an empty one.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pool = concurrent.futures.ThreadPoolExecutor(LATE_CALLS)
+        child = _Child(detector)
 
         def some(values: list[str]) -> list[tuple]:
-            call = pool.submit(detector, values)
-            try:
-                found = call.result(timeout_ms / 1000 * len(values))
+            status, found = child.call(values, timeout_ms / 1000 * len(values))
+            if status == "ok":
                 return [("ok", None, [
-                    {"start": int(s), "end": int(e), "kind": k, "raw": value[s:e], "alias": "", "confidence": float(c)}
+                    {"start": s, "end": e, "kind": k, "raw": value[s:e], "alias": "", "confidence": c}
                     for s, e, k, c in spans]) for value, spans in zip(values, found, strict=True)]
-            except Exception as error:  # noqa: BLE001 - any detector failure degrades to no spans
-                call.cancel()
-                if len(values) > 1:
-                    return [row for value in values for row in some([value])]
-                if isinstance(error, TimeoutError):
-                    return [("timeout", None, [])]
-                return [("not_loaded" if isinstance(error, NotLoaded) else "error", str(error), [])]
+            if len(values) > 1:
+                return [row for value in values for row in some([value])]
+            return [(status, found, [])]
 
         try:
             for batch in batches:
@@ -191,7 +239,7 @@ def with_detector(df: DataFrame, detector: Detector, doc: str = "doc_id", text:
                     doc: batch[doc], "status": [r[0] for r in rows], "error": [r[1] for r in rows],
                     "spans": [r[2] for r in rows]})
         finally:
-            pool.shutdown(wait=False, cancel_futures=True)
+            child.end()
     doc_type = df.schema[doc].dataType.simpleString()
     return df.select(doc, text).mapInPandas(
         run, f"{doc} {doc_type}, status string, error string, spans {SPANS_TYPE}")

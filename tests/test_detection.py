@@ -200,3 +200,24 @@ def test_detector_failures_cost_only_their_own_text(spark):
     stuck = spark.createDataFrame([(i, "slow") for i in range(6)] + [(9, "Al")], "doc_id int, text string").coalesce(1)
     assert {r.status for r in with_detector(stuck, detector, timeout_ms=50).collect()} == {"timeout"}
     assert with_detector(table.limit(0), detector).count() == 0
+
+
+def test_texts_after_hanging_ones_are_tried(spark):
+    import os
+    import time
+
+    from hushspan.operators.candidates import with_detector
+
+    def detector(texts):
+        if "hangs" in texts:
+            time.sleep(600)
+        if "dies" in texts:
+            os._exit(3)
+        return [[(0, 2, "PERSON_NER", 0.5)] for _ in texts]
+
+    texts = ["hangs", "Al", "hangs", "Bo", "hangs", "dies", "hangs", "hangs", "Cy", "Di"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1)
+    for size in (1, 4, 32):
+        got = {r.doc_id: r for r in with_detector(table, detector, timeout_ms=300, size=size).collect()}
+        assert [got[i].status for i in range(10)] == [{"hangs": "timeout", "dies": "error"}.get(t, "ok") for t in texts]
+        assert [s.raw for i in (1, 3, 8, 9) for s in got[i].spans] == ["Al", "Bo", "Cy", "Di"]
