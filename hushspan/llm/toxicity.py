@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushspan.llm.common import held_out, settled, text_batches
+from hushspan.llm.common import held_out, text_batches
 from hushspan.llm.texts import code_points, labelled_sample, slices
 
 FOLDS, HELD_OUT = 4, 2
@@ -17,7 +17,7 @@ LENGTHS = (4, 5, 6)
 #: n-grams are hashed to this many buckets.
 BUCKETS = 1 << 20
 #: Bound of the sample to fit on (documents of each class); all n-grams with SUPPORT are weighed.
-PER_CLASS = 8_000
+PER_CLASS = 5_000
 #: A feature must be in so many sampled documents.
 SUPPORT = 8
 THRESHOLD = 0.3
@@ -117,9 +117,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         return SparseVector(width, at, ratios[at])
 
     rows = text_batches(given).mapInArrow(features, "y int, buckets array<int>")
-    ready = settled(rows.select(
+    ready = rows.select(
         F.col("y").cast("double").alias("label"), F.when(F.col("y") == 1, float(weight[1])).otherwise(float(weight[0])).alias("weight"),
-        F.udf(vector, VectorUDT(), useArrow=False)("buckets").alias("features")))
+        F.udf(vector, VectorUDT(), useArrow=False)("buckets").alias("features"))
     # Steps are sums over the executors' rows; the driver holds vectors of one number for each n-gram.
     fitted = LogisticRegression(maxIter=STEPS, regParam=RIDGE, standardization=False, weightCol="weight").fit(ready)
     return Model(buckets, fitted.coefficients.toArray() * ratios, float(fitted.intercept))
