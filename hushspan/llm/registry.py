@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushspan.llm import crosspolytope, langid, maxscore, mixing, pieces, quality, secretscan, simhash, toxicity, urllists
+from hushspan.llm import (
+    crosspolytope, langid, maxscore, mixing, pieces, quality, secretscan, simhash, toxicity, urllists, warc)
 from hushspan.llm.common import table
 
 
@@ -53,6 +54,10 @@ def op10_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosspolytope.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.query(spark, table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_maxscore": op1_maxscore,
     "op2_sentencepiece": op2_sentencepiece,
@@ -64,10 +69,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_quality": op9_quality,
     "op10_cross_polytope": op10_cross_polytope,
+    "op11_warc": op11_warc,
 }
 
 ORACLES: dict[str, str] = {
     "op1_maxscore": maxscore.ORACLE,
     "op4_url_lists": urllists.ORACLE,
     "op5_mixing": mixing.ORACLE,
+    "op11_warc": warc.ORACLE,
 }
