@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushspan.llm import (
-    crosspolytope, langid, maxscore, mixing, pieces, quality, secretscan, simhash, toxicity, urllists, warc)
+    crosspolytope, hardnegatives, langid, maxscore, mixing, pieces, quality, secretscan, simhash, toxicity, urllists, warc)
 from hushspan.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.query(spark, table(spark, sf_dir, "pages"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardnegatives.query(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_maxscore": op1_maxscore,
     "op2_sentencepiece": op2_sentencepiece,
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_cross_polytope": op10_cross_polytope,
     "op11_warc": op11_warc,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
@@ -77,4 +82,5 @@ ORACLES: dict[str, str] = {
     "op4_url_lists": urllists.ORACLE,
     "op5_mixing": mixing.ORACLE,
     "op11_warc": warc.ORACLE,
+    "op12_hard_negatives": hardnegatives.ORACLE,
 }
