@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushspan.llm import (
-    crosspolytope, hardnegatives, langid, maxscore, mixing, pieces, quality, secretscan, simhash, toxicity, urllists, warc)
+    alignment, crosspolytope, hardnegatives, langid, maxscore, mixing, pieces, quality, secretscan, simhash, toxicity, urllists, warc)
 from hushspan.llm.common import table
 
 
@@ -62,6 +62,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardnegatives.query(table(spark, sf_dir, "embeddings"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_maxscore": op1_maxscore,
     "op2_sentencepiece": op2_sentencepiece,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_cross_polytope": op10_cross_polytope,
     "op11_warc": op11_warc,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLES: dict[str, str] = {
