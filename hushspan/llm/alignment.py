@@ -15,12 +15,15 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import uuid
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +33,8 @@ from hushspan.llm.texts import slices
 
 #: Characters of text that are aligned at once; one longer text is aligned alone.
 AT_ONCE = 1 << 19
+#: Places where white space follows a character that surely is none.
+_CUT = re.compile("(?<=[!-~¡-ɏ])(?=[ \n])")
 
 
 def byte_characters() -> dict[str, int]:
@@ -58,7 +63,8 @@ class Vocabularies:
         for token, i in spec["model"]["vocab"].items():
             if token not in special:
                 self.a_bytes[i] = bytes(to_byte[c] for c in token)
-        self.b = pieces.model(sentence).library
+        model = pieces.model(sentence)
+        self.b = model.library
         self.b_bytes, is_byte = [], []
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
@@ -76,6 +82,18 @@ class Vocabularies:
         plain = [t for t, b in zip(self.b_bytes, is_byte) if not b]
         if len(set(named)) < len(named) or len(set(plain)) < len(plain):
             raise ValueError("two entries of a vocabulary have the same bytes")
+        #: Neither normalises and both know every byte, so tokens are stretches of the text itself, but for
+        #: an escaped space in the text, which B shortens: equal lengths then mean equal bytes.
+        self.lossless = (self.a.normalizer is None and spec["pre_tokenizer"]["type"] == "ByteLevel"
+                         and spec["model"]["type"] == "BPE" and set(to_byte) <= set(spec["model"]["vocab"])
+                         and not model.map.units and not model.squeeze and model.dummy_prefix and sum(is_byte) == 256)
+        #: A's pre-tokenizer ends a piece wherever white space follows anything else, and its merges stay
+        #: inside a piece; no piece of B holds a space or line end after another character.  So what lies
+        #: between such places is encoded once in a task and remembered.
+        self.by_word = (self.lossless and model.by_word and spec["pre_tokenizer"].get("use_regex", True)
+                        and not spec["pre_tokenizer"]["add_prefix_space"] and not spec.get("truncation")
+                        and all(t.get("special") for t in spec.get("added_tokens", [])))
+        self.model, self.words = model, pieces.Memory()
         #: What an id adds to a digest: itself and what follows, for A a comma or bar, for B a comma or semicolon.
         self.texts = [b"%d%s" % (i, mark) for mark, count in ((b",", size), (b"|", size), (b",", len(self.b_bytes)),
                                                              (b";", len(self.b_bytes))) for i in range(count)]
@@ -85,6 +103,35 @@ class Vocabularies:
         la, lb = self.a_length[a], self.b_length[b]
         return np.where(la >= lb, self.a_base[a] + np.where(self.b_is_byte[b], 0, lb), self.b_base[b] + la - 1)
 
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """A's ids of each text with a space before it, and B's of each text."""
+        if not self.by_word:
+            a = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+            return [np.array(e.ids, np.int32) for e in a], [np.array(i, np.int32) for i in self.b.encode(texts, num_threads=1)]
+        # An escaped space in a text is no space: such a text is not given back, whatever its ids.
+        split = [_CUT.split(" " + t) if pieces.SPACE not in t else [] for t in texts]
+        if new := sorted(self.words.unknown(set().union(*split))):
+            # B adds a space itself, in place of the word's own or, before a line end, as a first id too many.
+            for word, a, b in zip(new, self.a.encode_batch_fast(new, add_special_tokens=False),
+                                  self.b.encode([w.removeprefix(" ") for w in new], num_threads=1)):
+                b = b[word[:1] != " ":] if word != " " else [self.model.space_id]
+                self.words[word] = (array("i", a.ids).tobytes(), array("i", b).tobytes())
+        out: tuple[list, list] = ([], [])
+        for words in split:
+            found = [self.words[w] for w in words]
+            for ids, side in zip(out, (0, 1)):
+                ids.append(np.frombuffer(b"".join([f[side] for f in found]), np.int32))
+        return out
+
+    def give_back(self, text: str, a: np.ndarray, b: np.ndarray) -> bool:
+        """Are the bytes of both sides' tokens those of the text?"""
+        if self.lossless:
+            size = len(text) if text.isascii() else len(text.encode())
+            return int(self.a_length[a].sum()) == size == int(self.b_length[b].sum())
+        data = text.encode()
+        return all(b"".join(map(table.__getitem__, ids.tolist())) == data
+                   for table, ids in ((self.a_bytes, a), (self.b_bytes, b)))
+
     def b_of_pairs(self) -> np.ndarray:
         """The id of B in each pair, -1 for numbers that no pair has."""
         out = np.full(self.size, -1, np.int64)
@@ -111,8 +158,9 @@ def default_paths() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
-def terminals(a_ends: np.ndarray, b_ends: np.ndarray) -> np.ndarray:
-    """For each token of A and then of B the last token of its group, by doubling of successors.
+def terminals(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each token of A and then of B the last token of its group, by doubling of successors; and the
+    token of A that covers the last byte of each token of B.
 
     `a_ends` and `b_ends` are where the tokens end, rising to the same last byte.  A token of A points
     to the token of B that covers its last byte.  One of B points back to the token of A that covers its
@@ -125,7 +173,7 @@ def terminals(a_ends: np.ndarray, b_ends: np.ndarray) -> np.ndarray:
     while True:
         after = at[at]
         if np.array_equal(after, at):
-            return at
+            return at, to_a
         at = after
 
 
@@ -136,24 +184,22 @@ class Aligned:
     """
 
     def __init__(self, known: Vocabularies, texts: list[str]):
-        a_ids = [e.ids for e in known.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        b_ids = known.b.encode(texts, num_threads=1)
+        a_ids, b_ids = known.encode(texts)
         for i, text in enumerate(texts):
-            data = (" " + text).encode()
-            if not text or any(b"".join(map(table.__getitem__, ids)) != data
-                               for table, ids in ((known.a_bytes, a_ids[i]), (known.b_bytes, b_ids[i]))):
-                a_ids[i], b_ids[i] = [], []
+            if not text or not known.give_back(" " + text, a_ids[i], b_ids[i]):
+                a_ids[i] = b_ids[i] = np.empty(0, np.int32)
         self.known = known
         self.a_from, self.b_from = _starts(a_ids), _starts(b_ids)
         self.a, self.b = _flat(a_ids), _flat(b_ids)
         self.a_ends, self.b_ends = np.cumsum(known.a_length[self.a]), np.cumsum(known.b_length[self.b])
-        label = terminals(self.a_ends, self.b_ends) - len(self.a)
+        label, to_a = terminals(self.a_ends, self.b_ends)
+        label -= len(self.a)
         last = label[len(self.a):] == np.arange(len(self.b))
         #: The group of each token, and the last token of B and of A of each group.
         number = np.cumsum(last) - 1
         self.a_group, self.b_group = number[label[:len(self.a)]], number[label[len(self.a):]]
         self.b_last = np.flatnonzero(last)
-        self.a_last = np.searchsorted(self.a_ends, self.b_ends[self.b_last])
+        self.a_last = to_a[self.b_last]
         self.group_from = np.searchsorted(self.b_last, self.b_from)
         self.links = known.pair(self.a[self.a_last], self.b[self.b_last])
 
@@ -188,28 +234,35 @@ class Aligned:
             ids, starts = (self.a, self.a_from) if name == "a_ids" else (self.b, self.b_from)
             return _lists(starts, ids)
         if name == "links":
-            return _lists(groups, self.links)
+            data = np.ascontiguousarray(self.links, "<i4").tobytes()
+            return pa.array([data[4 * i:4 * j] for i, j in zip(groups[:-1].tolist(), groups[1:].tolist())], pa.binary())
         base = {"a_upto": (self.a_last + 1, self.a_from), "b_upto": (self.b_last + 1, self.b_from),
                 "byte_ends": (self.b_ends[self.b_last], np.concatenate([[0], self.b_ends])[self.b_from])}[name]
         return _lists(groups, base[0] - np.repeat(base[1][:-1], np.diff(groups)))
 
 
-def _starts(lists: list[list[int]]) -> np.ndarray:
+def _starts(lists: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([[0], np.cumsum([len(ids) for ids in lists])]).astype(np.int64)
 
 
-def _flat(lists: list[list[int]]) -> np.ndarray:
-    return np.fromiter((i for ids in lists for i in ids), np.int64)
+def _flat(lists: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([np.empty(0, np.int64), *lists])
+
+
+def _numbers(links: pa.Array) -> np.ndarray:
+    """The numbers of all rows, one after the other."""
+    return np.frombuffer(b"".join(links.to_pylist()), "<i4")
 
 
 def _lists(starts: np.ndarray, values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values, pa.int32()))
 
 
-#: What can be asked for: counts; the digest; the pairs that end together, by number; the ids; and for
+#: What can be asked for: counts; the digest; the numbers of the pairs that end together, four bytes each,
+#: the low one first, which Spark passes on as they are; the ids; and for
 #: each group how many tokens of A and B, and how many bytes with the space before the text, end with it.
 KINDS = {"n_a": "long", "n_b": "long", "n_groups": "long", "n_links": "long", "groups_sha256": "string",
-         "links": "array<int>", "a_ids": "array<int>", "b_ids": "array<int>", "a_upto": "array<int>",
+         "links": "binary", "a_ids": "array<int>", "b_ids": "array<int>", "a_upto": "array<int>",
          "b_upto": "array<int>", "byte_ends": "array<int>"}
 
 
@@ -243,14 +296,14 @@ def aligned(docs: DataFrame, want: list[str], keys: list[str], text: str = "text
 
 
 def pair_counts(links: DataFrame, size: int) -> np.ndarray:
-    """How many links of the whole table (links array<int>) have each pair's number, `size` of them.
+    """How many links of the whole table (links binary) have each pair's number, `size` of them.
 
     A task sends one row for each pair that it met, and the driver gets one for each pair.
     """
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            total += np.bincount(np.asarray(batch.column(0).flatten()), minlength=size)
+            total += np.bincount(_numbers(batch.column(0)), minlength=size)
         met = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(total[met])], ["pair", "n"])
 
@@ -273,7 +326,8 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", paths: t
     known = vocabularies(*paths)
     names = ["n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
     folder = f"{shared_folder(spark)}/links-{uuid.uuid4().hex}"
-    aligned(docs, [*names, "links"], [doc_id], text, paths).withColumnRenamed(doc_id, "doc_id").write.parquet(folder)
+    aligned(docs, [*names, "links"], [doc_id], text, paths).withColumnRenamed(doc_id, "doc_id").write.option(
+        "compression", "zstd").parquet(folder)
     written = spark.read.parquet(folder)
     counts = pair_counts(written.select("links"), known.size)
     b_ids = known.b_of_pairs()
@@ -288,9 +342,9 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", paths: t
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, best = sent.value
         for batch in batches:
-            lists = batch.column(batch.num_columns - 1)
-            pairs = np.asarray(lists.flatten())
-            bounds = np.concatenate([[0], np.cumsum(np.diff(np.asarray(lists.offsets)))])
+            links = batch.column(batch.num_columns - 1)
+            pairs = _numbers(links)
+            bounds = np.concatenate([[0], np.cumsum(pc.binary_length(links))]) // 4
             sums = [np.concatenate([[0], np.cumsum(v, dtype=np.int64)]) for v in (best[pairs], counts[pairs])]
             more = [pa.array(s[bounds[1:]] - s[bounds[:-1]]) for s in sums]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], ["doc_id", *names, "n_best", "count_sum"])

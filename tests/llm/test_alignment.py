@@ -110,28 +110,54 @@ def test_groups_give_tokens_and_bytes_back(spark, encoders):
         assert row.a_ids == [i for i, _ in one] and row.b_ids == [i for i, _ in two]
         data = (" " + (row.text or "")).encode()
         for low_a, a, low_b, b, low, end, link in zip([0, *row.a_upto], row.a_upto, [0, *row.b_upto], row.b_upto,
-                                                      [0, *row.byte_ends], row.byte_ends, row.links):
+                                                      [0, *row.byte_ends], row.byte_ends, np.frombuffer(row.links, "<i4")):
             assert b"".join(t for _, t in one[low_a:a]) == b"".join(t for _, t in two[low_b:b]) == data[low:end]
             assert b_ids[link] == two[b - 1][0]
         if one:
             assert (row.a_upto[-1], row.b_upto[-1], row.byte_ends[-1]) == (len(one), len(two), len(data))
 
 
+def test_equal_lengths_stand_for_equal_bytes_only_where_that_is_so():
+    known = alignment.vocabularies(*alignment.default_paths())
+    assert known.lossless
+    texts = ["a▁b", "▁", "plain", "é😀", "<0x41>", " ▁ ", "x\u2581\u2581", "\u0000"]
+    ids = [(np.array(known.a.encode(" " + t).ids), np.array(known.b.encode(t))) for t in texts]
+    quick = [known.give_back(" " + t, *i) for t, i in zip(texts, ids)]
+    known.lossless = False
+    try:
+        assert quick == [known.give_back(" " + t, *i) for t, i in zip(texts, ids)]
+    finally:
+        known.lossless = True
+    assert quick == ["▁" not in t for t in texts]
+
+
+def test_words_are_encoded_as_in_their_text():
+    known = alignment.vocabularies(*alignment.default_paths())
+    assert known.by_word
+    random = np.random.default_rng(5)
+    parts = ["a", "word", "I'll", "'s", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\u00a0", "\u2003", "\u3000", "\u0085", "\u200b",
+             "\u180e", "\x1c", "é", "ɏ", "Ω", "日本", "😀", "12", "...", "-", "<|endoftext|>", "\u00ad", "×", "_", "\ufeff", "İ", "\u0000"]
+    texts = ["".join(random.choice(parts, int(n))) for n in random.integers(0, 30, 3000)]
+    for text, a, b in zip(texts, *known.encode(texts)):
+        assert a.tolist() == known.a.encode(" " + text, add_special_tokens=False).ids
+        assert b.tolist() == known.b.encode(text) or not text
+
+
 def test_pointer_jumping_over_long_chains():
     """Tokens of two bytes, one byte apart, overlap in a single chain up to the common end."""
     for length in (2, 10, 4096):
         a = np.arange(2, length + 1, 2)
         b = np.append(np.arange(1, length, 2), length)
-        assert set(alignment.terminals(a, b).tolist()) == {len(a) + len(b) - 1}
+        assert set(alignment.terminals(a, b)[0].tolist()) == {len(a) + len(b) - 1}
     random = np.random.default_rng(1)
     for _ in range(200):
         size = int(random.integers(1, 60))
         a, b = (np.append(np.flatnonzero(random.random(size - 1) < 0.5) + 1, size) for _ in range(2))
         common = np.intersect1d(a, b)
         wanted = np.concatenate([np.searchsorted(common, a), np.searchsorted(common, b)])
-        found = alignment.terminals(a, b)
+        found = alignment.terminals(a, b)[0]
         assert np.searchsorted(common, b[found - len(a)]).tolist() == wanted.tolist()
-    assert alignment.terminals(np.empty(0, int), np.empty(0, int)).tolist() == []
+    assert alignment.terminals(np.empty(0, int), np.empty(0, int))[0].tolist() == []
 
 
 def test_every_pair_of_ids_has_its_own_number():
