@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -76,35 +80,62 @@ def signature_sql(prev: str) -> str:
     return f"sha2(concat({prev}, ts, kind, raw_hash, alias, action), 256)"
 
 
+_SIGNED = ("ts", "kind", "raw_hash", "alias", "action")
+
+
+def sign(prev: str | None, values: tuple) -> str | None:
+    """Signature of an entry behind `prev`, as `signature_sql` gives it; null if a part is missing."""
+    if prev is None or None in values:
+        return None
+    return hashlib.sha256("".join((prev, *values)).encode()).hexdigest()
+
+
+def _sign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    chain, prev = object(), None
+    for batch in batches:
+        names = batch.schema.names
+        ids, heads = (batch.column(names.index(n)).to_pylist() for n in ("chain_id", "__head"))
+        before, sigs = [], []
+        for name, head, *values in zip(ids, heads, *(batch.column(names.index(n)).to_pylist() for n in _SIGNED)):
+            if name != chain:
+                chain, prev = name, head
+            before.append(prev)
+            prev = sign(prev, tuple(values))
+            sigs.append(prev)
+        kept = [i for i, n in enumerate(names) if n != "__head"]
+        yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + [pa.array(before, pa.string()), pa.array(sigs, pa.string())],
+                                         [names[i] for i in kept] + ["prev_hash", "sig"])
+
+
+def placed_in_chains(rows: DataFrame, chain_key: str, seq: str = "seq", shards: int = CHAIN_SHARDS) -> DataFrame:
+    """Add `chain_id`: the rows of a key go to a fixed number of chains by `seq`, never by how many there are."""
+    return rows.withColumn("chain_id", F.concat_ws(
+        "/", F.col(chain_key).cast("string"), F.pmod(F.col(seq), F.lit(shards)).cast("string")))
+
+
 def audit_chain(rows: DataFrame, chain_key: str, seq: str = "seq", shards: int = CHAIN_SHARDS,
                 heads: DataFrame | None = None) -> DataFrame:
     """Sign audit rows (chain_key, seq, ts, kind, raw_hash, alias, action) into hash chains.
 
-    A chain is serial by nature.  Its key should bound it (a conversation, a day), and the rows of a
-    key go to a fixed number of chains by `seq`, never by how many there are, so rows that come later
-    change no signature written before.  They go on from `heads` (chain_id, sig), the last signatures
-    stored; a chain without one starts anew.
+    A chain is serial by nature.  Its key should bound it (a conversation, a day), and rows that come
+    later change no signature written before.  They go on from `heads` (chain_id, sig), the last
+    signatures stored; a chain without one starts anew.  Chains are sorted, which may spill, and signed
+    as they pass, so a long one needs no more memory than a short one.
     """
-    placed = rows.withColumn("chain_id", F.concat_ws(
-        "/", F.col(chain_key).cast("string"), F.pmod(F.col(seq), F.lit(shards)).cast("string")))
-    entry = F.struct("ts", F.col(seq).alias("seq"), "kind", "raw_hash", "alias", "action")
-    chains = placed.groupBy(chain_key, "chain_id").agg(F.sort_array(F.collect_list(entry)).alias("__rows"))
+    placed = placed_in_chains(rows, chain_key, seq, shards)
     if heads is None:
-        chains = chains.withColumn("__head", F.lit(GENESIS))
+        placed = placed.withColumn("__head", F.lit(GENESIS))
     else:
-        chains = chains.join(heads.select("chain_id", F.col("sig").alias("__head")), "chain_id", "left").withColumn(
+        # One head for each chain; Spark splits or broadcasts as their number allows.
+        placed = placed.join(heads.select("chain_id", F.col("sig").alias("__head")), "chain_id", "left").withColumn(
             "__head", F.coalesce("__head", F.lit(GENESIS)))
-
-    def step(prev: str, e: str) -> tuple[str, str]:
-        sig = f"sha2(concat({prev}, {e}.ts, {e}.kind, {e}.raw_hash, {e}.alias, {e}.action), 256)"
-        signed = A.let(sig, lambda v: (
-            f"array(named_struct('ts', {e}.ts, 'seq', {e}.seq, 'kind', {e}.kind, 'raw_hash', {e}.raw_hash,"
-            f" 'alias', {e}.alias, 'action', {e}.action, 'prev_hash', {prev}, 'sig', {v}))"))
-        return sig, signed
-    out_type = ("struct<ts:string,seq:bigint,kind:string,raw_hash:string,alias:string,action:string,"
-                "prev_hash:string,sig:string>")
-    folded = A.running("__rows", "__head", step, out_type)
-    return explode_array(chains.select(chain_key, "chain_id", F.expr(folded).alias("__out")), "__out")
+    entry = placed.select(F.col(chain_key), "chain_id", "ts", F.col(seq).cast("long").alias("seq"), "kind", "raw_hash", "alias",
+                          "action", "__head")
+    kind = entry.schema[chain_key].dataType.simpleString()
+    ordered = entry.repartition("chain_id").sortWithinPartitions("chain_id", "ts", "seq", "kind", "raw_hash", "alias", "action")
+    return ordered.mapInArrow(_sign_batches, (
+        f"{chain_key} {kind}, chain_id string, ts string, seq bigint, kind string, raw_hash string, alias string, "
+        "action string, prev_hash string, sig string"))
 
 
 def chain_heads(chain: DataFrame) -> DataFrame:
@@ -169,11 +200,13 @@ def export_batches(rows: DataFrame, size: int = BATCH_ROWS, ts: str = "ts") -> D
 
     The oldest come first, those of one second by `seq`; a bad `ts` counts as second 0.  Numbering is
     global, so it is done in pieces of a second and of 1,000 numbers of `seq`, which are shifted by the
-    pieces before; a busy second or very many bad times are spread over pieces.
+    pieces before; a busy second or very many bad times are spread over pieces.  Pieces are summed
+    within their second, seconds within their day and days at last, so the largest task meets a piece,
+    a second's pieces, a day's seconds or a row for each day, however many rows there are.
     """
     rows = rows.withColumn("__unix", F.expr(unix_seconds_sql(ts))).withColumn("__all", F.lit(1))
     piece = F.col("__unix") * (1 << 24) + F.least(F.floor(F.col("seq") / 1000), F.lit((1 << 24) - 1))
-    numbered = running_total(rows, ["__all"], ["__unix", "seq"], piece, out="__rn")
+    numbered = running_total(rows, ["__all"], ["__unix", "seq"], piece, out="__rn", levels=(1 << 24, 86_400))
     event = F.struct("__rn", F.struct(F.col("__unix").alias("ts"), "kind", "source", "action", "raw_hash", "alias")
                      .alias("e"))
     grouped = (numbered.withColumn("batch", F.floor((F.col("__rn") - 1) / size))

@@ -117,9 +117,20 @@ def compare_totals(per_kind: DataFrame, latencies: DataFrame) -> DataFrame:
     return precision_recall_f1(totals).join(latency_summary(latencies, by=("config",)).drop("n"), "config", "left")
 
 
-def compare_table(per_kind: DataFrame, configs: list[str]) -> DataFrame:
-    """F1 per kind with one column per configuration; 0 where a configuration has no such kind."""
-    return per_kind.groupBy("kind").pivot("config", configs).agg(F.max("f1")).na.fill(0.0)
+def compare_table(actual: DataFrame, expected: DataFrame, configs: list[str]) -> DataFrame:
+    """One row for each kind, and one for `all`, with the metrics of every configuration side by side.
+
+    Kinds and totals are grouping sets of one pass over the matched spans; columns are named
+    `<config>_tp` and so on.  A configuration without a kind has nulls there.
+    """
+    all_configs = F.array(*[F.lit(c) for c in configs])
+    wanted = expected.select("*", F.explode(all_configs).alias("config"))
+    hits = _matched(actual, wanted, ["config", "prompt_id", "kind", "raw"])
+    sums = [F.sum(c).alias(c) for c in ("tp", "fp", "fn")]
+    sets = hits.groupingSets([["config", "kind"], ["config"]], "config", "kind").agg(F.grouping("kind").alias("whole"), *sums)
+    scores = precision_recall_f1(sets).withColumn("kind", F.when(F.col("whole") == 1, F.lit("all")).otherwise(F.col("kind")))
+    metrics = ("tp", "fp", "fn", "precision", "recall", "f1")
+    return scores.groupBy("kind").pivot("config", configs).agg(*[F.max(m).alias(m) for m in metrics])
 
 
 def map_external_kinds(df: DataFrame, entity: str = "entity_type") -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hushspan.functions import arrays as A
 from hushspan.kinds import (MODEL_KINDS, SPAN_TYPE, SPANS_TYPE, TOGGLEABLE_PACKS, label_sql,
                             pack_sql, sql_list)
+from hushspan.operators.ranking import running_total
 from hushspan.operators.scan import _CLEAN, _LOW, computed, hits_sql, resolve_sql, with_scan_columns
 from hushspan.operators.structured import structured_sql
 from hushspan.operators.watchlist import clean_terms, watchlist_sql
@@ -67,6 +72,57 @@ def merge_span_tables(primary: DataFrame, secondary: DataFrame, doc: str = "doc_
     return both.select(doc, F.expr(merge_sql("__p", "__s")).alias("spans"))
 
 
+#: Characters of a text that meet in one group of `merge_span_rows`.
+BUCKET = 4096
+_COLUMNS = ("start", "end", "kind", "raw", "alias", "confidence")
+
+
+def merge_span_rows(primary: DataFrame, secondary: DataFrame, doc: str = "doc_id", bucket: int = BUCKET) -> DataFrame:
+    """Merge two long span tables (doc, span columns) into one, as `merge_span_tables` does, for dense tables.
+
+    No list of a text's spans is gathered.  The secondary spans that a primary one overlaps are found
+    by a range join on (doc, bucket of characters), where a span stands in each bucket that it touches.
+    The others are taken from the left unless they overlap one that was taken; places that none of them
+    passes over cut a text into runs, which are numbered by two levels of sums, sorted (which may
+    spill) and walked with nothing but the end of the last span taken.
+    """
+    first, second = (t.select(doc, *_COLUMNS) for t in (primary, secondary))
+    touched = F.sequence(F.floor(F.col("start") / bucket), F.floor(F.greatest(F.col("end") - 1, F.col("start")) / bucket))
+    p = first.select(F.col(doc).alias("__d"), F.explode(touched).alias("__b"), F.col("start").alias("__s"), F.col("end").alias("__e"))
+    places = second.select(doc, "start", "end").distinct()
+    s = places.withColumn("__b", F.explode(touched))
+    hit = s.join(p, (F.col(doc) == F.col("__d")) & (s["__b"] == p["__b"]) & (F.col("__s") < F.col("end")) & (F.col("start") < F.col("__e")),
+                 "left_semi").select(doc, "start", "end").distinct()
+    free = second.join(hit, [doc, "start", "end"], "left_anti")
+    # The farthest end before each span: inside its bucket, and in the buckets before it.
+    at = free.withColumn("__b", F.floor(F.col("start") / bucket))
+    buckets = at.groupBy(doc, "__b").agg(F.max("end").alias("__far"))
+    earlier = W.partitionBy(doc).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    buckets = buckets.select(doc, "__b", F.max("__far").over(earlier).alias("__before"))
+    inside = W.partitionBy(doc, "__b").orderBy(*_COLUMNS).rowsBetween(W.unboundedPreceding, -1)
+    far = F.greatest(F.max("end").over(inside), F.col("__before"))
+    opened = at.join(buckets, [doc, "__b"]).withColumn("__new", F.when(F.col("start") < far, 0).otherwise(1))
+    runs = running_total(opened, [doc], list(_COLUMNS), F.col("__b"), F.col("__new"), "__run").drop("__b", "__before", "__new")
+    fields = ", ".join(f"{n} {runs.schema[n].dataType.simpleString()}" for n in (doc, *_COLUMNS))
+    walked = runs.select(doc, *_COLUMNS, "__run").repartition(doc, "__run").sortWithinPartitions(doc, "__run", *_COLUMNS)
+    return first.unionByName(walked.mapInArrow(_take_from_left, fields))
+
+
+def _take_from_left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted spans (doc, start, end, ..., run) those that start behind the last one taken of their run."""
+    run, upto = object(), 0
+    for batch in batches:
+        kept = []
+        for i, (doc, start, end, number) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 1, 2, batch.num_columns - 1)))):
+            if (doc, number) != run:
+                run, upto = (doc, number), start
+            if start >= upto:
+                kept.append(i)
+                upto = max(upto, end)
+        out = batch.take(pa.array(kept, pa.int64()))
+        yield pa.RecordBatch.from_arrays(out.columns[:-1], out.schema.names[:-1])
+
+
 def sanitise_packs(packs) -> list[str]:
     """Only packs that may be switched off at all."""
     return [p for p in packs or () if p in TOGGLEABLE_PACKS]

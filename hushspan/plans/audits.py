@@ -13,8 +13,8 @@ from hushspan.operators.merge import detect_all
 from hushspan.operators.policy import block_decision, route_model
 from hushspan.plans import corpus as K
 from hushspan.plans import oracle as O
-from hushspan.plans.aliasing import CHUNK_CTES, LOCAL, TSPANS, chunked
-from hushspan.plans.detection import TURN_CTES, WATCHLIST, turn_spans
+from hushspan.plans.aliasing import CHUNK_CTES, LOCAL, TSPANS, chunked, rewritten_cte, vault_cte
+from hushspan.plans.detection import TURN_CTES, WATCHLIST, merged_ctes, turn_spans
 from hushspan.sources.interim import materialize
 
 NOW = "2024-01-08 00:00:00"
@@ -222,6 +222,20 @@ SELECT (rn - 1) // 200 AS batch, count(*) AS n, concat('[', string_agg(concat('{
 WITH RECURSIVE {TSPANS}, k AS (SELECT conv_id, kind, count(*) AS spans, max({O.confidence()}) AS confidence FROM tspans GROUP BY ALL)
 SELECT conv_id, kind, {O.label()} AS label, spans, (sum(spans) OVER (PARTITION BY conv_id))::BIGINT AS total, count(*) OVER (PARTITION BY conv_id) AS classes,
   CASE WHEN confidence >= 0.95::FLOAT THEN 'high' WHEN confidence >= 0.85::FLOAT THEN 'medium' ELSE 'low' END AS band FROM k""",
+    "pipeline_trace": f"""
+WITH RECURSIVE texts AS MATERIALIZED (SELECT msg_id AS doc_id, turn, text FROM ({K.turns_sql(K.DUCKDB)})), {merged_ctes('texts')},
+{vault_cte('(SELECT *, 0 AS turn FROM merged)', 'doc_id', 'lv')},
+aspans AS MATERIALIZED (SELECT s.*, v.alias FROM merged s JOIN lv v ON v.scope_id = s.doc_id AND v.kind = s.kind AND v.raw_key = lower(s.raw)),
+{rewritten_cte('aspans', 'texts', key='doc_id')},
+counted AS (SELECT doc_id, count(*) FILTER (WHERE stage = 'p') AS p, count(*) FILTER (WHERE stage = 's') AS s, count(*) FILTER (WHERE stage = 'w') AS w,
+  count(*) FILTER (WHERE stage = 'm') AS m, arg_min(kind, "start") FILTER (WHERE stage = 'm' AND {O.critical()}) AS blocked FROM (
+  SELECT doc_id, 'p' AS stage, kind, "start" FROM l1 UNION ALL SELECT doc_id, 's', kind, "start" FROM structured
+  UNION ALL SELECT doc_id, 'w', kind, "start" FROM watch UNION ALL SELECT doc_id, 'm', kind, "start" FROM merged) GROUP BY doc_id)
+SELECT t.doc_id AS msg_id, strlen(t.text)::INT AS text_len, coalesce(p, 0)::INT AS pattern_spans, coalesce(s, 0)::INT AS structured_spans,
+  coalesce(w, 0)::INT AS watchlist_spans, coalesce(m, 0)::INT AS merged_spans, 0 AS model_spans,
+  CASE t.turn % 3 WHEN 0 THEN 'gpt-5' WHEN 1 THEN 'on-device' ELSE 'unknown' END AS model_id,
+  CASE t.turn % 3 WHEN 0 THEN 'openai' WHEN 1 THEN 'local' END AS provider, 'not_loaded' AS detector_status, c.blocked AS blocked_kind, r.text_aliased
+FROM texts t LEFT JOIN counted c USING (doc_id) JOIN rewritten r USING (doc_id)""",
     "stream_trace": f"WITH RECURSIVE {_TRACE} SELECT * FROM streams",
     "mean_ttft": f"WITH RECURSIVE {_TRACE} SELECT floor(avg(ttft_ms) + 0.5)::BIGINT AS mean_ttft_ms FROM streams",
     "attach_late_trace": f"""

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hushspan.functions import spanscorer
 from hushspan.operators import candidates as N
 from hushspan.operators import merge as M
 from hushspan.operators import scan as S
 from hushspan.operators import structured as T
+from hushspan.operators import windows as X
 from hushspan.operators.audit import audit_rows
 from hushspan.operators.policy import block_decision
+from hushspan.operators.termindex import detect_terms
 from hushspan.operators.watchlist import detect_watchlist
 from hushspan.plans import corpus as K
 from hushspan.plans import oracle as O
@@ -71,6 +74,13 @@ SELECT o_orderkey AS order_id, concat('Name ', o_custkey) AS full_name,
   concat('Tk7$', o_orderkey, 'zQ') AS api_token, o_orderpriority AS priority
 FROM orders"""
 
+# One term for many an order and customer, so the list grows with the tables; case and edges vary.
+TERMS = f"""
+SELECT concat('ORDER ', o_orderkey) AS term FROM orders WHERE o_orderkey % 2 = 0
+UNION ALL SELECT concat(' ref ', o_orderkey, ' ') FROM orders WHERE o_orderkey % 3 = 0
+UNION ALL SELECT concat('User', c_custkey, '@Example', c_custkey % 3, '.com') FROM customer
+UNION ALL SELECT '{"' UNION ALL SELECT '".join(WATCHLIST)}'"""
+
 SCORES = """
 SELECT doc_id, word_start, width, label_idx, max(logit) AS logit, word_start * 6 AS start,
        (word_start + width) * 6 - 1 AS "end", concat('w', word_start, '-', width) AS raw
@@ -154,20 +164,36 @@ def tokenize_words(spark, sf_dir):
 
 
 def candidate_word_spans(spark, sf_dir):
-    K.load(spark, sf_dir, "documents")
-    words = N.tokenize_words(K.over_cores(spark.sql("SELECT doc_id, text FROM documents")))
-    windows = N.candidate_word_spans(words)
+    windows = N.candidate_word_spans(N.tokenize_words(K.texts(spark, sf_dir)))
     return windows.groupBy("doc_id", "width").agg(
         F.count("*").alias("windows"), _digest("word_start", "start", "end"))
 
 
-def decode_scored_spans(spark, sf_dir):
-    K.load(spark, sf_dir, "lineitem")
-    spans = N.decode_scored_spans(spark.sql(_sql(SCORES)))
+def _decoded(spans: DataFrame) -> DataFrame:
     return S.explode_spans(spans).select("doc_id", "start", "end", "kind", "raw",
                                          F.round("confidence", 4).cast("double").alias("confidence"))
 
 
+def decode_stored_scores(spark, sf_dir):
+    K.load(spark, sf_dir, "lineitem")
+    return _decoded(N.decode_scored_spans(spark.sql(_sql(SCORES))))
+
+
+def decode_scored_spans(spark, sf_dir):
+    """Windows of all texts scored into a long table, which is decoded text by text."""
+    return _decoded(N.decode_scored_spans(X.score_windows(K.texts(spark, sf_dir), spanscorer.default_scorer)))
+
+
+def detect_windows(spark, sf_dir):
+    return _decoded(X.detect_windows(K.texts(spark, sf_dir), spanscorer.default_scorer))
+
+
+def terms(spark, sf_dir):
+    texts = K.texts(spark, sf_dir)
+    K.load(spark, sf_dir, "customer", "orders")
+    return _rows(detect_terms(texts, spark.sql(TERMS)), "doc_id")
+
+
 def answers(spark, sf_dir):
     K.load(spark, sf_dir, "conversations")
     return N.ingest_model_spans(spark.sql(ANSWERS))
@@ -234,7 +260,8 @@ QUERIES = {f"scan_{name}": _scan(pack) for name, pack in PACKS.items()} | {
     "detect_structured": detect_structured, "classify_columns": classify_columns,
     "scan_table_columns": scan_table_columns, "detect_watchlist": watchlist,
     "tokenize_words": tokenize_words, "candidate_word_spans": candidate_word_spans,
-    "decode_scored_spans": decode_scored_spans, "ingest_model_spans": ingest_model_spans,
+    "decode_scored_spans": decode_scored_spans, "decode_stored_scores": decode_stored_scores,
+    "detect_windows": detect_windows, "detect_terms": terms, "ingest_model_spans": ingest_model_spans,
     "merge_spans": merge_spans, "filter_packs": filter_packs, "annotate_spans": annotate_spans,
     "detect_all": detect_all, "with_detector": with_detector, "late_scan": late_scan,
     "revalidate_spans": revalidate_spans,
@@ -309,8 +336,8 @@ structured AS MATERIALIZED (SELECT doc_id, "start", ("start" + length(raw))::INT
   raw, 0.9::FLOAT AS confidence FROM found)"""
 
 
-def watch_ctes(source: str) -> str:
-    pattern = r"(?i)(\b(?:Project Helios|example\.com/p|Halcyon Labs|Oak Hill|Halcyon)\b)"
+def watch_ctes(source: str, more: str = "") -> str:
+    pattern = rf"(?i)(\b(?:{more}Project Helios|example\.com/p|Halcyon Labs|Oak Hill|Halcyon)\b)"
     return f"""
 wtagged AS MATERIALIZED (SELECT doc_id, 0 AS ord, 'CUSTOM' AS kind, regexp_replace(text, {O.q(pattern)},
   '{O.OPEN}\\1{O.CLOSE}', 'g') AS tagged FROM {source} WHERE regexp_matches(text, {O.q(pattern)})),
@@ -318,6 +345,17 @@ watch AS MATERIALIZED (SELECT doc_id, "start", "end", kind, raw, 1.0::FLOAT AS c
   FROM ({O.located_sql('wtagged', 'doc_id')}))"""
 
 
+def merged_ctes(source: str, off: str = "nothing", terms: str = "SELECT * FROM watch") -> str:
+    """CTEs l1, structured, watch and merged: all detectors over `source` (doc_id, text), one pack switched off."""
+    return f"""
+{O.hits_ctes(source, 'doc_id')}, {O.spans_ctes('doc_id')}, {structured_ctes(source)}, {watch_ctes(source)},
+l1 AS MATERIALIZED (SELECT doc_id, {_SPAN} FROM spans WHERE {O.pack()} <> '{off}'),
+l2 AS MATERIALIZED (SELECT * FROM l1 UNION ALL SELECT * FROM structured s WHERE {O.pack()} <> '{off}' AND NOT EXISTS (
+  SELECT 1 FROM l1 WHERE l1.doc_id = s.doc_id AND l1."start" < s."end" AND s."start" < l1."end")),
+merged AS MATERIALIZED (SELECT * FROM l2 UNION ALL SELECT * FROM ({terms}) s WHERE NOT EXISTS (
+  SELECT 1 FROM l2 WHERE l2.doc_id = s.doc_id AND l2."start" < s."end" AND s."start" < l2."end"))"""
+
+
 def _hash_sum(*columns: str) -> str:
     return f"sum(('0x' || substr(md5(concat_ws('|', {', '.join(columns)})), 1, 8))::BIGINT)::BIGINT AS digest"
 
@@ -334,6 +372,48 @@ words AS MATERIALIZED (SELECT doc_id, "start", "end", raw AS word,
   row_number() OVER (PARTITION BY doc_id ORDER BY "start") AS i FROM ({O.located_sql('tagged', 'doc_id')}))"""
 
 
+_PROB = "(1 / (1 + exp(-logit::DOUBLE)))::FLOAT AS prob"
+
+
+def window_ctes() -> str:
+    """CTE c: windows of 1 to 12 words of CTE words with the scores of the linear scorer, from running sums."""
+    shape = "CASE " + " ".join(f"WHEN regexp_matches(word, '{p}') THEN '{n}'" for n, p in spanscorer.SHAPES if p) + " ELSE 'other' END"
+
+    def case(column: str, values: dict, rest: int) -> str:
+        whens = "".join(f" WHEN {column} = '{k}' THEN {v}" for k, v in values.items())
+        return f"(CASE WHEN {column} IS NULL THEN 0{whens} ELSE {rest} END)"
+    labels = list(enumerate(spanscorer.LABELS))
+    sums = ", ".join(f"sum({case('shape', label.inside, -30)}) OVER w AS s{n}" for n, label in labels)
+    lead = ", ".join(f"{label.bias} + {case('prev', label.before, 0)} + {case('low', label.first, 0)} - s{n} + {case('shape', label.inside, -30)} AS f{n}"
+                     for n, label in labels)
+    tail = ", ".join(f"s{n} + {case('low', label.last, 0)} AS t{n}" for n, label in labels)
+    scores = " UNION ALL ".join(
+        f"""SELECT a.doc_id, a.i AS word_start, b.i - a.i + 1 AS width, {n} AS label_idx, (a.f{n} + b.t{n}) / 4 AS logit, a."start", b."end"
+  FROM ends a, range(0, 12) k(k) JOIN ends b ON b.doc_id = a.doc_id AND b.i = a.i + k WHERE a.f{n} + b.t{n} > 0""" for n, _ in labels)
+    return f"""
+shaped AS (SELECT doc_id, i, "start", "end", word, {shape} AS shape, lower(word) AS low, lag(lower(word)) OVER (PARTITION BY doc_id ORDER BY i) AS prev
+  FROM words),
+ran AS (SELECT *, {sums} FROM shaped WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+ends AS MATERIALIZED (SELECT doc_id, i, "start", "end", {lead}, {tail} FROM ran),
+c AS MATERIALIZED (SELECT q.*, substr(t.text, q."start" + 1, q."end" - q."start") AS raw, {_PROB} FROM ({scores}) q JOIN texts t USING (doc_id))"""
+
+
+# From CTE c, with a place for each window: the greedy walk, best first.
+_DECODED = """
+r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY prob DESC, word_start, width, label_idx) AS rn
+  FROM c WHERE prob > 0.5),
+w AS (
+  SELECT doc_id, rn, true AS kept, [{'s': "start", 'e': "end"}] AS acc FROM r WHERE rn = 1
+  UNION ALL
+  SELECT doc_id, rn, free, CASE WHEN free THEN list_append(acc, {'s': "start", 'e': "end"}) ELSE acc END
+  FROM (SELECT r.doc_id, r.rn, r."start", r."end", w.acc,
+          len(list_filter(w.acc, lambda a: a.s < r."end" AND r."start" < a.e)) = 0 AS free
+        FROM w JOIN r ON r.doc_id = w.doc_id AND r.rn = w.rn + 1))
+SELECT r.doc_id, r."start"::INT AS "start", r."end"::INT AS "end", CASE label_idx WHEN 1 THEN 'ORG_NER'
+  WHEN 2 THEN 'CODENAME_NER' WHEN 3 THEN 'LOCATION_NER' WHEN 4 THEN 'EMPID_NER' ELSE 'PERSON_NER' END AS kind, r.raw,
+  round(r.prob, 4)::FLOAT::DOUBLE AS confidence
+FROM w JOIN r USING (doc_id, rn) WHERE w.kept"""
+
 _ANSWER_SPANS = f"""
 answers AS ({ANSWERS}),
 items AS (SELECT msg_id, text, generate_subscripts(objects, 1) AS k, unnest(objects) AS o
@@ -368,25 +448,17 @@ SELECT order_id, column_name, {_checked('kind', 'raw')} AS kind, raw, 0.9::FLOAT
     "tokenize_words": f"""
 WITH {_TEXTS}, {word_ctes('texts')}
 SELECT doc_id, count(*) AS words, {_hash_sum('"start"', '"end"', 'word')} FROM words GROUP BY doc_id""",
+    "detect_terms": f"""
+WITH {_TEXTS}, terms AS (SELECT DISTINCT lower(trim(term)) AS term FROM ({TERMS}) WHERE strlen(trim(term)) >= 2),
+{watch_ctes('texts', r"order \d+|ref \d+|user\d+@example\d\.com|")}
+SELECT * FROM watch WHERE lower(raw) IN (SELECT term FROM terms)""",
     "candidate_word_spans": f"""
-WITH {word_ctes('documents')}
+WITH {_TEXTS}, {word_ctes('texts')}
 SELECT a.doc_id, (b.i - a.i + 1)::INT AS width, count(*) AS windows, {_hash_sum('a.i - 1', 'a."start"', 'b."end"')}
 FROM words a JOIN words b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + 11 GROUP BY ALL""",
-    "decode_scored_spans": f"""
-WITH RECURSIVE c AS (SELECT *, (1 / (1 + exp(-logit::DOUBLE)))::FLOAT AS prob FROM ({SCORES})),
-r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY prob DESC, word_start, width, label_idx) AS rn
-  FROM c WHERE prob > 0.5),
-w AS (
-  SELECT doc_id, rn, true AS kept, [{{'s': "start", 'e': "end"}}] AS acc FROM r WHERE rn = 1
-  UNION ALL
-  SELECT doc_id, rn, free, CASE WHEN free THEN list_append(acc, {{'s': "start", 'e': "end"}}) ELSE acc END
-  FROM (SELECT r.doc_id, r.rn, r."start", r."end", w.acc,
-          len(list_filter(w.acc, lambda a: a.s < r."end" AND r."start" < a.e)) = 0 AS free
-        FROM w JOIN r ON r.doc_id = w.doc_id AND r.rn = w.rn + 1))
-SELECT r.doc_id, r."start"::INT AS "start", r."end"::INT AS "end", CASE label_idx WHEN 1 THEN 'ORG_NER'
-  WHEN 2 THEN 'CODENAME_NER' WHEN 3 THEN 'LOCATION_NER' WHEN 4 THEN 'EMPID_NER' ELSE 'PERSON_NER' END AS kind, r.raw,
-  round(r.prob, 4)::FLOAT::DOUBLE AS confidence
-FROM w JOIN r USING (doc_id, rn) WHERE w.kept""",
+    "decode_stored_scores": f"WITH RECURSIVE c AS (SELECT *, {_PROB} FROM ({SCORES})), {_DECODED}",
+    "decode_scored_spans": f"WITH RECURSIVE {_TEXTS}, {word_ctes('texts')}, {window_ctes()}, {_DECODED}",
+    "detect_windows": f"WITH RECURSIVE {_TEXTS}, {word_ctes('texts')}, {window_ctes()}, {_DECODED}",
     "ingest_model_spans": f'WITH {_ANSWER_SPANS} SELECT msg_id, "start"::INT AS "start", "end"::INT AS "end", kind, raw, '
                           f"0.7::FLOAT AS confidence FROM late",
     "merge_spans": f"""
@@ -406,14 +478,7 @@ UNION ALL SELECT msg_id, s, e, 'ORG_NER', concat('w', k), 0.6::FLOAT FROM w WHER
 WITH RECURSIVE {TURN_CTES} SELECT msg_id, "start", kind, {O.label()} AS label, {O.pack()} AS pack,
   CASE WHEN {O.confidence()} >= 0.95::FLOAT THEN 'high' WHEN {O.confidence()} >= 0.85::FLOAT THEN 'medium' ELSE 'low' END AS tier,
   'regex' AS source FROM spans""",
-    "detect_all": f"""
-WITH RECURSIVE texts AS MATERIALIZED ({tabular_sql(K.DUCKDB)}), {O.hits_ctes('texts', 'doc_id')}, {O.spans_ctes('doc_id')},
-{structured_ctes('texts')}, {watch_ctes('texts')},
-l1 AS MATERIALIZED (SELECT doc_id, {_SPAN} FROM spans WHERE {O.pack()} <> 'identity'),
-l2 AS MATERIALIZED (SELECT * FROM l1 UNION ALL SELECT * FROM structured s WHERE {O.pack()} <> 'identity' AND NOT EXISTS (
-  SELECT 1 FROM l1 WHERE l1.doc_id = s.doc_id AND l1."start" < s."end" AND s."start" < l1."end"))
-SELECT * FROM l2 UNION ALL SELECT * FROM watch s WHERE NOT EXISTS (
-  SELECT 1 FROM l2 WHERE l2.doc_id = s.doc_id AND l2."start" < s."end" AND s."start" < l2."end")""",
+    "detect_all": f"WITH RECURSIVE texts AS MATERIALIZED ({tabular_sql(K.DUCKDB)}), {merged_ctes('texts', 'identity')} SELECT * FROM merged",
     "with_detector": f"""
 SELECT msg_id, CASE WHEN contains(text, 'wallet') THEN 'error' WHEN contains(text, 'jwt ') THEN 'not_loaded' ELSE 'ok' END AS status,
   CASE WHEN contains(text, 'wallet') THEN 'no wallets' WHEN contains(text, 'jwt ') THEN 'model file' END AS error,

@@ -89,12 +89,19 @@ def quality_gates(spark, sf_dir):
     return E.quality_gates(row, "fast").unionByName(E.quality_gates(row, "full"))
 
 
-def _per_kind(spark, sf_dir):
+def _configs(spark, sf_dir) -> DataFrame:
     found = materialize(_found(spark, sf_dir))
     model = spark.sql(MODEL)
     first, second = (F.lit(c).alias("config") for c in CONFIGS)
-    actual = (found.select("*", first).unionByName(found.select("*", second)).unionByName(model.select("*", second)))
-    return E.compare_configs(actual, spark.sql(EXPECTED), CONFIGS)
+    return found.select("*", first).unionByName(found.select("*", second)).unionByName(model.select("*", second))
+
+
+def _per_kind(spark, sf_dir):
+    return E.compare_configs(_configs(spark, sf_dir), spark.sql(EXPECTED), CONFIGS)
+
+
+def compare_table(spark, sf_dir):
+    return E.compare_table(_configs(spark, sf_dir), spark.sql(EXPECTED), CONFIGS)
 
 
 def compare_configs(spark, sf_dir):
@@ -119,7 +126,7 @@ def error_listing(spark, sf_dir):
 QUERIES = {
     "score_spans": score_spans, "kind_equivalence": kind_equivalence, "critical_misses": critical_misses,
     "precision_recall_f1": precision_recall_f1, "latency_summary": latency_summary, "quality_gates": quality_gates,
-    "compare_configs": compare_configs, "compare_totals": compare_totals, "map_external_kinds": map_external_kinds,
+    "compare_configs": compare_configs, "compare_totals": compare_totals, "compare_table": compare_table, "map_external_kinds": map_external_kinds,
     "error_listing": error_listing,
 }
 
@@ -184,6 +191,12 @@ SELECT precision, critical_missed, p99_ms, mode, critical_missed = 0 AS misses_o
 WITH RECURSIVE {_KINDS}, t AS (SELECT config, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM per_kind GROUP BY config),
 p AS (SELECT {_PRF} FROM t)), l AS ({_latency(f"SELECT CASE config WHEN 'click' THEN '{CONFIGS[0]}' ELSE '{CONFIGS[1]}' END AS config, ms FROM ({LATENCIES}) WHERE config IN ('click', 'view')")})
 SELECT p.*, avg_ms, p95_ms, p99_ms FROM p LEFT JOIN l USING (config)""",
+    "compare_table": f"""
+WITH RECURSIVE {_KINDS}, sets AS (SELECT config, kind, tp, fp, fn FROM per_kind
+  UNION ALL SELECT config, 'all', sum(tp)::BIGINT, sum(fp)::BIGINT, sum(fn)::BIGINT FROM per_kind GROUP BY config),
+scored AS (SELECT {_PRF} FROM sets))
+SELECT kind, {', '.join(f"max({m}) FILTER (WHERE config = '{c}') AS \"{c}_{m}\"" for c in CONFIGS for m in ('tp', 'fp', 'fn', 'precision', 'recall', 'f1'))}
+FROM scored GROUP BY kind""",
     "map_external_kinds": f"""
 SELECT * FROM (SELECT *, CASE entity_type WHEN 'EMAIL_ADDRESS' THEN 'EMAIL' WHEN 'PHONE_NUMBER' THEN 'PHONE' WHEN 'US_SSN' THEN 'SSN'
   WHEN 'IP_ADDRESS' THEN 'IP' WHEN 'URL' THEN 'URL' WHEN 'PERSON' THEN 'PERSON_NER' WHEN 'LOCATION' THEN 'LOCATION_NER'

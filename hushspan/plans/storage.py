@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hushspan.kinds import TOGGLEABLE_PACKS, sql_list
 from hushspan.operators import alias as L
 from hushspan.operators import scan as S
-from hushspan.operators.merge import merge_span_tables
+from hushspan.operators.merge import merge_span_rows, merge_span_tables
 from hushspan.plans import corpus as K
 from hushspan.plans import oracle as O
 from hushspan.plans.aliasing import ALIASED, CHUNK_CTES, TSPANS, aliased, chunked, detected
@@ -99,17 +99,26 @@ def read_disabled_packs(spark, sf_dir):
     return store.read_disabled_packs(_settings(spark, sf_dir)).select("seq", "owner", "item")
 
 
-def merge_tables(spark, sf_dir):
-    """Pattern spans of the turns merged with a table of spans from elsewhere."""
+def _elsewhere(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Pattern spans of the turns, and a table of spans from elsewhere."""
     turns = turn_spans(spark, sf_dir)
     first = S.explode_spans(turns)
     second = turns.select("msg_id", F.expr("inline(transform(sequence(0, 5), k -> named_struct('start', cast(turn * 7 + k * 11 as int), "
                                            "'end', cast(turn * 7 + k * 11 + 8 as int), 'kind', 'ORG_NER', 'raw', concat('w', k), 'alias', '', "
                                            "'confidence', cast(0.6 as float))))"))
-    merged = merge_span_tables(first, second, "msg_id")
+    return first, second
+
+
+def merge_tables(spark, sf_dir):
+    merged = merge_span_tables(*_elsewhere(spark, sf_dir), "msg_id")
     return S.explode_spans(merged).select("msg_id", "start", "end", "kind", "raw")
 
 
+def merge_rows(spark, sf_dir):
+    """The same tables merged without lists, in small buckets."""
+    return merge_span_rows(*_elsewhere(spark, sf_dir), "msg_id", 64).select("msg_id", "start", "end", "kind", "raw")
+
+
 # ---- streams ---------------------------------------------------------------------------------------
 def _stream(spark: SparkSession, df: DataFrame) -> DataFrame:
     """The rows as a stream over files."""
@@ -177,7 +186,7 @@ def stream_audit_totals(spark, sf_dir):
 QUERIES = {
     "read_messages": read_messages, "list_conversations": list_conversations, "read_eval_corpus": read_eval_corpus,
     "load_spans_json": load_spans_json, "write_messages": write_messages, "latest_settings": latest_settings,
-    "read_watchlist": read_watchlist, "read_disabled_packs": read_disabled_packs, "merge_span_tables": merge_tables,
+    "read_watchlist": read_watchlist, "read_disabled_packs": read_disabled_packs, "merge_span_tables": merge_tables, "merge_span_rows": merge_rows,
     "stream_detect": stream_detect, "stream_alias": stream_alias, "stream_rehydrate": stream_rehydrate,
     "stream_audit_metrics": stream_audit_metrics, "stream_audit_totals": stream_audit_totals,
 }
@@ -228,3 +237,4 @@ WITH RECURSIVE {TURN_CTES}, {BLOCKED} SELECT t.msg_id, blocked_kind IS NOT NULL
     "stream_audit_metrics": f"WITH RECURSIVE {AUDIT} " + _window("24h", "24 HOUR", 21_600).format(n=4) + " UNION ALL " + _window("7d", "7 DAY", 86_400).format(n=7),
     "stream_audit_totals": f"WITH RECURSIVE {AUDIT} SELECT action, kind, count(*) AS rows FROM audit GROUP BY ALL",
 }
+ORACLES["merge_span_rows"] = ORACLES["merge_span_tables"]

@@ -109,3 +109,42 @@ def test_query_equals_its_sql(spark, name):
 
 def test_every_oracle_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_levels_of_sums_number_like_one(spark):
+    from hushspan.operators.ranking import running_total
+
+    rows = [(k, (n * 7919) % 5000 - 900, n % 3 + 1) for k in "ab" for n in range(400)]
+    df = spark.createDataFrame(rows, "k string, at long, v long")
+    base = spark.createDataFrame([("b", 1000)], "k string, n long")
+    for before in (None, base):
+        one = running_total(df, ["k"], ["at", "v"], F.floor(F.col("at") / 10), F.col("v"), base=before)
+        many = running_total(df, ["k"], ["at", "v"], F.floor(F.col("at") / 10), F.col("v"), base=before, levels=(4, 5))
+        assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
+
+
+def test_a_chain_is_signed_over_batch_ends_and_missing_parts(spark):
+    import hashlib
+
+    rows = audit(spark, range(3000)).unionByName(audit(spark, [5000]).withColumn("alias", F.lit(None).cast("string")))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = U.audit_chain(rows, "chain", shards=1).orderBy("ts", "seq").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    prev = "genesis"
+    for r in got[:-1]:
+        assert r.prev_hash == prev
+        prev = hashlib.sha256("".join([prev, r.ts, r.kind, r.raw_hash, r.alias, r.action]).encode()).hexdigest()
+        assert r.sig == prev
+    assert got[-1].seq == 5000 and got[-1].prev_hash == prev and got[-1].sig is None
+
+
+def test_the_comparison_has_each_kind_and_all(spark):
+    actual = spark.createDataFrame([(1, "EMAIL", "a", "x"), (1, "EMAIL", "b", "x"), (1, "SSN", "c", "y"), (2, "SSN", "c", "y")],
+                                   "prompt_id int, kind string, raw string, config string")
+    expected = spark.createDataFrame([(1, "EMAIL", "a"), (1, "SSN", "c")], "prompt_id int, kind string, raw string")
+    got = {r.kind: r for r in E.compare_table(actual, expected, ["x", "y"]).collect()}
+    assert set(got) == {"EMAIL", "SSN", "all"}
+    assert (got["EMAIL"].x_tp, got["EMAIL"].x_fp, got["EMAIL"].x_fn, got["EMAIL"].y_fn) == (1, 1, 0, 1)
+    assert (got["all"].x_tp, got["all"].x_fp, got["all"].x_fn, got["all"].y_precision, got["all"].y_recall) == (1, 1, 1, 0.5, 0.5)
