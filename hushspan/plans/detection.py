@@ -345,12 +345,17 @@ watch AS MATERIALIZED (SELECT doc_id, "start", "end", kind, raw, 1.0::FLOAT AS c
   FROM ({O.located_sql('wtagged', 'doc_id')}))"""
 
 
-def merged_ctes(source: str, off: str = "nothing", terms: str = "SELECT * FROM watch") -> str:
-    """CTEs l1, structured, watch and merged: all detectors over `source` (doc_id, text), one pack switched off."""
+def merged_ctes(source: str, off: str = "nothing", terms: str = "SELECT * FROM watch", l1: str = "", packs: str = "") -> str:
+    """CTEs l1, structured, watch and merged: all detectors over `source` (doc_id, text), one pack switched off.
+
+    `l1` may choose other pattern spans, `packs` may say for a structured span which pack is off.
+    """
+    l1 = l1 or f"SELECT * FROM spans WHERE {O.pack()} <> '{off}'"
+    packs = packs or f"'{off}'"
     return f"""
 {O.hits_ctes(source, 'doc_id')}, {O.spans_ctes('doc_id')}, {structured_ctes(source)}, {watch_ctes(source)},
-l1 AS MATERIALIZED (SELECT doc_id, {_SPAN} FROM spans WHERE {O.pack()} <> '{off}'),
-l2 AS MATERIALIZED (SELECT * FROM l1 UNION ALL SELECT * FROM structured s WHERE {O.pack()} <> '{off}' AND NOT EXISTS (
+l1 AS MATERIALIZED (SELECT doc_id, {_SPAN} FROM ({l1})),
+l2 AS MATERIALIZED (SELECT * FROM l1 UNION ALL SELECT * FROM structured s WHERE {O.pack()} <> {packs} AND NOT EXISTS (
   SELECT 1 FROM l1 WHERE l1.doc_id = s.doc_id AND l1."start" < s."end" AND s."start" < l1."end")),
 merged AS MATERIALIZED (SELECT * FROM l2 UNION ALL SELECT * FROM ({terms}) s WHERE NOT EXISTS (
   SELECT 1 FROM l2 WHERE l2.doc_id = s.doc_id AND l2."start" < s."end" AND s."start" < l2."end"))"""

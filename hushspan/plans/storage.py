@@ -7,19 +7,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushspan.kinds import TOGGLEABLE_PACKS, sql_list
+from hushspan.kinds import SPANS_TYPE, TOGGLEABLE_PACKS, sql_list
 from hushspan.operators import alias as L
 from hushspan.operators import scan as S
 from hushspan.operators.merge import merge_span_rows, merge_span_tables
+from hushspan.operators.policy import block_decision
 from hushspan.plans import corpus as K
 from hushspan.plans import oracle as O
 from hushspan.plans.aliasing import ALIASED, CHUNK_CTES, TSPANS, aliased, chunked, detected
-from hushspan.plans.audits import AUDIT, log
-from hushspan.plans.detection import TURN_CTES, turn_spans
+from hushspan.plans.audits import AUDIT, TS, log
+from hushspan.plans.audits import ORACLES as AUDIT_ORACLES
+from hushspan.plans.detection import TURN_CTES, _ANSWER_SPANS, answers, merged_ctes, turn_spans
 from hushspan.plans.policies import BLOCKED
 from hushspan.plans.quality import EXPECTED, PROMPTS
 from hushspan.session import shared_dir
 from hushspan.sources import store
+from hushspan.sources.interim import materialize
 from hushspan.streaming import jobs
 
 CREATED = "concat('2024-01-', lpad(concat('', 1 + cast(substr(conv_id, 2) AS BIGINT) % 28), 2, '0'), 'T00:00:', lpad(concat('', turn), 2, '0'))"
@@ -122,18 +125,49 @@ def merge_rows(spark, sf_dir):
 # ---- streams ---------------------------------------------------------------------------------------
 def _stream(spark: SparkSession, df: DataFrame) -> DataFrame:
     """The rows as a stream over files."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    _states(spark)
     folder = new_folder(spark)
     df.write.parquet(folder)
     return spark.readStream.schema(df.schema).parquet(folder)
 
 
+def _states(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def _batches(spark: SparkSession, folder: str, df: DataFrame, batch: str, numbers) -> None:
+    """Append the rows of each batch number to a folder, one file for each, in the order of the numbers."""
+    for number in numbers:
+        df.where(F.expr(batch) == number).coalesce(1).write.mode("append").parquet(folder)
+
+
+def _by_file(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """A stream over the files of a folder, each a micro-batch."""
+    _states(spark)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def _run(stream: DataFrame, folder: str) -> None:
+    (stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+     .outputMode("append").trigger(availableNow=True).start().awaitTermination())
+
+
 def _written(spark: SparkSession, stream: DataFrame) -> DataFrame:
     """What a stream gives for all files that are there."""
     folder = new_folder(spark)
-    (stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
-     .outputMode("append").trigger(availableNow=True).start().awaitTermination())
+    _run(stream, folder)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def _restarted(spark: SparkSession, df: DataFrame, batch: str, count: int, job) -> DataFrame:
+    """What `job` makes of `count` micro-batches, stopped half way and started again from its checkpoint."""
+    files, folder = new_folder(spark), new_folder(spark)
+    df = materialize(df)
+    for numbers in (range(count // 2), range(count // 2, count)):
+        _batches(spark, files, df, batch, numbers)
+        stream = job(_by_file(spark, files, df.schema))
+        _run(stream, folder)
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
@@ -145,15 +179,62 @@ def stream_detect(spark, sf_dir):
     return both[0].unionByName(both[1]).select("msg_id", "blocked", "blocked_kind")
 
 
+SETTING_CHANGES = [(1, "custom_watchlist", '["Project Helios"]'), (2, "disabled_packs", '["core","payment"]'),
+                   (3, "custom_watchlist", '["Halcyon Labs","Project Helios","example.com/p"]'), (4, "disabled_packs", '["identity"]')]
+
+
+def stream_settings(spark, sf_dir):
+    """Turns in micro-batches of two each; the settings change after the first."""
+    turns = materialize(K.turns(spark, sf_dir).select("msg_id", "turn", "text"))
+    files, settings, folder = (new_folder(spark) for _ in range(3))
+    for changes, numbers in ((SETTING_CHANGES[:2], [0]), (SETTING_CHANGES[2:], [1, 2])):
+        spark.createDataFrame(changes, "seq long, key string, value string").write.mode("append").parquet(settings)
+        _batches(spark, files, turns, "least(turn div 2, 2)", numbers)
+        jobs.write_detected(_by_file(spark, files, turns.schema), lambda session: session.read.parquet(settings),
+                            f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    rows = S.explode_spans(spark.read.parquet(f"{folder}/out/batch=*"))
+    return rows.select("msg_id", "start", "end", "kind", "raw", "blocked", "blocked_kind")
+
+
 def stream_alias(spark, sf_dir):
+    """Spans by turn in four micro-batches, with a restart after the second."""
     long = S.explode_spans(detected(spark, sf_dir)).select("conv_id", "turn", "start", "kind", "raw")
-    return _written(spark, jobs.stream_alias(_stream(spark, long)))
+    return _restarted(spark, long, "least(turn, 3)", 4, jobs.stream_alias)
 
 
 def stream_rehydrate(spark, sf_dir):
+    """Chunks dealt over five micro-batches whatever their order, the map of some after their chunks; one restart."""
     chunks, messages = chunked(spark, sf_dir)
-    reverse = messages.select("msg_id", F.expr(L.reverse_sql("spans")).alias("reverse"))
-    return _written(spark, jobs.stream_rehydrate(_stream(spark, chunks.join(reverse, "msg_id"))))
+    reverse = messages.select("msg_id", F.lit(jobs.MAP_SEQ).alias("seq"), F.lit("Map").alias("event"), F.lit("").alias("delta"),
+                              F.expr(L.reverse_sql("spans")).alias("reverse"))
+    rows = reverse.unionByName(chunks, allowMissingColumns=True)
+    return _restarted(spark, rows, "pmod(xxhash64(msg_id, seq), 5)", 5, jobs.stream_rehydrate)
+
+
+def stream_audit_chain(spark, sf_dir):
+    """The log by day in micro-batches, with a restart."""
+    rows = log(spark, sf_dir).select("conv_id", "seq", "ts", "kind", "raw_hash", "alias", "action")
+    signed = _restarted(spark, rows, "(cast(substr(ts, 9, 2) as int) - 1) div 4", 4, lambda s: jobs.stream_audit_chain(s, "conv_id", shards=4))
+    return signed.select("chain_id", "ts", "seq", "prev_hash", "sig")
+
+
+LATE = "CASE turn % 4 WHEN 0 THEN 5 WHEN 1 THEN 600 WHEN 2 THEN 601 ELSE -1 END"
+
+
+def stream_late_scan(spark, sf_dir):
+    """Model answers 5 seconds, 10 minutes, a second more, or one second before the sending; some arrive twice."""
+    sent = block_decision(turn_spans(spark, sf_dir)).withColumn("sent_at", F.expr(f"cast({TS} as timestamp)"))
+    at = F.timestamp_add("second", F.expr(f"cast({LATE} as int)"), F.col("sent_at"))
+    late = answers(spark, sf_dir).select("msg_id", F.col("spans").alias("late")).join(
+        sent.select("msg_id", "turn", "sent_at"), "msg_id").select("msg_id", at.alias("found_at"), F.col("late").alias("spans"), "turn")
+    late = late.unionByName(late.where("turn % 3 = 0")).drop("turn")
+    # A last row of each, years later, moves the watermarks so that every list is decided.
+    end = spark.range(1).select(F.lit("END").alias("msg_id"), F.lit("2030-01-01").cast("timestamp").alias("found_at"),
+                                F.expr(f"cast(array() as {SPANS_TYPE})").alias("spans"))
+    sent = sent.where("NOT blocked").select("msg_id", "sent_at", "spans").unionByName(end.withColumnRenamed("found_at", "sent_at"))
+    found = jobs.stream_late_scan(_stream(spark, late.unionByName(end)), _stream(spark, sent), "10 minutes", "30 days")
+    rows = _written(spark, found).where("msg_id <> 'END'")
+    return rows.select("msg_id", "status", "start", "kind", "raw_hash", "alias", "action", "source")
 
 
 def _audit_stream(spark, sf_dir) -> DataFrame:
@@ -188,6 +269,7 @@ QUERIES = {
     "load_spans_json": load_spans_json, "write_messages": write_messages, "latest_settings": latest_settings,
     "read_watchlist": read_watchlist, "read_disabled_packs": read_disabled_packs, "merge_span_tables": merge_tables, "merge_span_rows": merge_rows,
     "stream_detect": stream_detect, "stream_alias": stream_alias, "stream_rehydrate": stream_rehydrate,
+    "stream_settings": stream_settings, "stream_audit_chain": stream_audit_chain, "stream_late_scan": stream_late_scan,
     "stream_audit_metrics": stream_audit_metrics, "stream_audit_totals": stream_audit_totals,
 }
 
@@ -237,4 +319,21 @@ WITH RECURSIVE {TURN_CTES}, {BLOCKED} SELECT t.msg_id, blocked_kind IS NOT NULL
     "stream_audit_metrics": f"WITH RECURSIVE {AUDIT} " + _window("24h", "24 HOUR", 21_600).format(n=4) + " UNION ALL " + _window("7d", "7 DAY", 86_400).format(n=7),
     "stream_audit_totals": f"WITH RECURSIVE {AUDIT} SELECT action, kind, count(*) AS rows FROM audit GROUP BY ALL",
 }
+_EARLY = """SELECT w.* FROM watch w JOIN texts t USING (doc_id) WHERE CASE WHEN t.turn < 2 THEN lower(w.raw) = 'project helios'
+  ELSE lower(w.raw) IN ('project helios', 'halcyon labs', 'example.com/p') END"""
+ORACLES["stream_settings"] = f"""
+WITH RECURSIVE texts AS MATERIALIZED (SELECT msg_id AS doc_id, turn, text FROM ({K.turns_sql(K.DUCKDB)})),
+{merged_ctes('texts', terms=_EARLY, l1="SELECT s.* FROM spans s JOIN texts t USING (doc_id) WHERE " + O.pack('s.kind') + " <> CASE WHEN t.turn < 2 THEN 'payment' ELSE 'identity' END",
+             packs="CASE WHEN (SELECT turn FROM texts t WHERE t.doc_id = s.doc_id) < 2 THEN 'payment' ELSE 'identity' END")},
+b AS (SELECT doc_id, arg_min(kind, "start") AS blocked_kind FROM merged WHERE {O.critical()} GROUP BY doc_id)
+SELECT m.doc_id AS msg_id, m."start", m."end", m.kind, m.raw, b.doc_id IS NOT NULL AS blocked, b.blocked_kind FROM merged m LEFT JOIN b USING (doc_id)"""
+ORACLES["stream_audit_chain"] = AUDIT_ORACLES["audit_chain"]
+ORACLES["stream_late_scan"] = f"""
+WITH RECURSIVE {TURN_CTES}, {_ANSWER_SPANS}, {BLOCKED},
+timed AS (SELECT t.msg_id, CASE WHEN b.msg_id IS NULL AND {LATE} BETWEEN 0 AND 600 THEN 'audited' ELSE 'unmatched' END AS status
+  FROM turns t LEFT JOIN blocked b USING (msg_id))
+SELECT t.msg_id, t.status, l."start"::INT AS "start", l.kind, sha256(l.raw) AS raw_hash, '' AS alias, 'PARANOID' AS action, 'llm' AS source
+FROM timed t JOIN late l USING (msg_id) WHERE t.status = 'audited' AND NOT EXISTS (
+  SELECT 1 FROM spans p WHERE p.msg_id = t.msg_id AND p."start" < l."end" AND l."start" < p."end")
+UNION ALL SELECT msg_id, status, NULL, NULL, NULL, NULL, NULL, NULL FROM timed WHERE status = 'unmatched'"""
 ORACLES["merge_span_rows"] = ORACLES["merge_span_tables"]

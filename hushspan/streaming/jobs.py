@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from hushspan.kinds import KINDS
 from hushspan.operators.alias import LEFT, RIGHT
-from hushspan.operators.merge import detect_all
+from hushspan.operators.audit import CHAIN_SHARDS, GENESIS, placed_in_chains, sign
+from hushspan.operators.merge import detect_all, merge_spans
 from hushspan.operators.policy import block_decision
+from hushspan.operators.termindex import detect_terms
+from hushspan.sources import store
+from hushspan.streaming.ordering import in_order
 
 
 def stream_detect(messages: DataFrame, watchlist=None, disabled_packs=()) -> DataFrame:
@@ -34,6 +38,27 @@ def write_split(stream: DataFrame, allowed_path: str, blocked_path: str, checkpo
             .trigger(availableNow=True).start())
 
 
+def write_detected(messages: DataFrame, settings: Callable[[SparkSession], DataFrame], path: str, checkpoint: str):
+    """Detect and block a message stream under settings that may change while it runs.
+
+    `settings` reads the table of changes (key, value, seq); it is read anew for every micro-batch, so a
+    term added or a pack switched off between two batches counts from the second one.  The last value
+    of `custom_watchlist` and `disabled_packs` holds; a malformed one switches nothing off and names no
+    terms.  Terms reach the texts through the term index, not through the plan.  A batch that is run
+    again overwrites its own output, with the settings of then.
+    """
+    def sink(batch: DataFrame, epoch: int) -> None:
+        latest = store.latest_settings(settings(batch.sparkSession))
+        # At most the packs that exist.
+        packs = [r["item"] for r in store.read_disabled_packs(latest).select("item").distinct().collect()]
+        found = detect_all(batch, disabled_packs=packs)
+        found = detect_terms(found, store.read_watchlist(latest), term="item", out="__terms")
+        merged = merge_spans(found, "spans", "__terms").drop("__terms")
+        block_decision(merged).write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+    return (messages.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
 class AliasState(StatefulProcessor):
     """Vault of one conversation: (kind, lower-case value) -> number, and a counter per kind."""
 
@@ -43,24 +68,28 @@ class AliasState(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.numbers = handle.getMapState("numbers", "kind string, raw_key string", "n int", self.ttl_ms)
         self.counters = handle.getMapState("counters", "kind string", "n int", self.ttl_ms)
+        self.held = handle.getMapState("held", "part int", "rows binary", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        # The order of a micro-batch is not given, and numbers follow first appearance.
-        batch = pd.concat(list(rows)).sort_values(["turn", "start"], kind="stable")
-        batch["raw_key"] = batch["raw"].str.lower()
-        known = {}
-        # Each distinct value asks the state once.
-        for kind, raw_key in batch[["kind", "raw_key"]].drop_duplicates().itertuples(index=False):
-            entry = (kind, raw_key)
-            if self.numbers.containsKey(entry):
-                n = int(self.numbers.getValue(entry)[0])
-            else:
-                n = int(self.counters.getValue((kind,))[0]) + 1 if self.counters.containsKey((kind,)) else 1
-                self.counters.updateValue((kind,), (n,))
-                self.numbers.updateValue(entry, (n,))
-            known[entry] = f"{LEFT}{KINDS[kind][0]}_{n:02d}{RIGHT}"
-        aliases = [known[entry] for entry in zip(batch["kind"], batch["raw_key"])]
-        yield batch.assign(alias=aliases)[["conv_id", "turn", "start", "kind", "raw", "alias"]]
+        # The order of a micro-batch is not given, and numbers follow first appearance.  Frames come one
+        # after the other; what stays in memory are the distinct values of the batch.
+        known: dict[tuple[str, str], str] = {}
+        for frame in in_order(rows, ["turn", "start"], self.held):
+            entries = list(zip(frame["kind"], frame["raw"].str.lower()))
+            for entry in dict.fromkeys(entries):
+                if entry not in known:
+                    known[entry] = f"{LEFT}{KINDS[entry[0]][0]}_{self._number(entry):02d}{RIGHT}"
+            yield frame.assign(alias=[known[e] for e in entries])[["conv_id", "turn", "start", "kind", "raw", "alias"]]
+
+    def _number(self, entry: tuple[str, str]) -> int:
+        """The number of a value: the stored one, or the next of its kind."""
+        if self.numbers.containsKey(entry):
+            return int(self.numbers.getValue(entry)[0])
+        kind = entry[:1]
+        n = int(self.counters.getValue(kind)[0]) + 1 if self.counters.containsKey(kind) else 1
+        self.counters.updateValue(kind, (n,))
+        self.numbers.updateValue(entry, (n,))
+        return n
 
     def close(self) -> None:
         pass
@@ -69,8 +98,9 @@ class AliasState(StatefulProcessor):
 def stream_alias(spans: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """Alias a stream of long spans (conv_id, turn, start, kind, raw).
 
-    State is kept per conversation; with `ttl_ms`, for a long-running stream, a value that was minted
-    so long ago leaves it.
+    State is kept per conversation and read back by every later batch, so a value keeps its token;
+    with `ttl_ms`, for a long-running stream, a value that was minted so long ago leaves it.  New values
+    are numbered by batch, turn and place.  A hot conversation is sorted and handled frame by frame.
     """
     return (spans.select("conv_id", "turn", "start", "kind", "raw").groupBy("conv_id")
             .transformWithStateInPandas(
@@ -79,45 +109,177 @@ def stream_alias(spans: DataFrame, ttl_ms: int | None = None) -> DataFrame:
                 outputStructType="conv_id string, turn bigint, start int, kind string, raw string, alias string"))
 
 
+#: Place of the row that brings a response's alias map, before its first chunk.
+MAP_SEQ = -1
+
+
 class CarryState(StatefulProcessor):
-    """Held-back tail of one response and its alias map."""
+    """One response: the chunk that comes next, the held-back tail, the alias map, and chunks that came too early."""
+
+    def __init__(self, patience_ms: int | None):
+        self.patience_ms = patience_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.buffer = handle.getValueState("buffer", "text string")
+        self.handle = handle
+        self.place = handle.getValueState("place", "next int, tail string, waiting int, timer bigint")
+        self.reverse = handle.getMapState("reverse", "alias string", "raw string")
+        self.early = handle.getMapState("early", "seq int", "event string, delta string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        held = self.buffer.get()[0] if self.buffer.exists() else ""
-        emitted, done = [], False
-        for event, delta, pairs in zip(batch["event"], batch["delta"], batch["reverse"]):
-            if event != "Token":
-                emitted.append(held if event == "Done" else "")
-                held, done = "", True
-                continue
-            text = held + delta
-            at = text.rfind(LEFT)
-            cut = len(text) if at < 0 or RIGHT in text[at:] else at
-            out, held = text[:cut], text[cut:]
-            for pair in pairs if pairs is not None else ():
-                out = out.replace(pair["alias"], pair["raw"])
-            emitted.append(out)
+        following, tail, waiting, timer = self.place.get() if self.place.exists() else (MAP_SEQ, "", 0, None)
+        pairs = {a[0]: r[0] for a, r in self.reverse.iterator()} if following > MAP_SEQ else {}
+        done = False
+        for frame in rows:
+            arrived = {}
+            for seq, event, delta, given in zip(frame["seq"], frame["event"], frame["delta"], frame["reverse"]):
+                # A chunk that comes again, after its place was passed, says nothing new.
+                if seq >= following:
+                    arrived[int(seq)] = (event, delta, given)
+            out = []
+            while not done:
+                if following in arrived:
+                    event, delta, given = arrived.pop(following)
+                elif waiting and self.early.containsKey((following,)):
+                    (event, delta), given = self.early.getValue((following,)), None
+                    self.early.removeKey((following,))
+                    waiting -= 1
+                else:
+                    break
+                if following == MAP_SEQ:
+                    for pair in given if given is not None else ():
+                        pairs[pair["alias"]] = pair["raw"]
+                        self.reverse.updateValue((pair["alias"],), (pair["raw"],))
+                else:
+                    emitted, tail, done = _carried(event, delta, tail, pairs)
+                    out.append((key[0], following, event, emitted))
+                following += 1
+            for seq, (event, delta, _) in arrived.items():
+                if not done and not self.early.containsKey((seq,)):
+                    self.early.updateValue((seq,), (event, delta))
+                    waiting += 1
+            yield pd.DataFrame(out, columns=["msg_id", "seq", "event", "emitted"])
+        if timer is not None:
+            self.handle.deleteTimer(timer)
         if done:
-            self.buffer.clear()
-        else:
-            self.buffer.update((held,))
-        yield batch.assign(emitted=emitted)[["msg_id", "seq", "event", "emitted"]]
+            self._forget()
+            return
+        timer = None
+        if self.patience_ms is not None:
+            timer = max(timer_values.getCurrentWatermarkInMs(), 0) + self.patience_ms
+            self.handle.registerTimer(timer)
+        self.place.update((following, tail, waiting, timer))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """What waited too long is given out as it is, aliases and all: nothing raw leaves with a gap before it."""
+        following, tail, waiting, _ = self.place.get()
+        out = [(key[0], following, "Expired", tail)] if tail else []
+        if waiting:
+            early = sorted((s[0], delta) for s, (event, delta) in self.early.iterator())
+            out += [(key[0], seq, "Expired", delta) for seq, delta in early]
+        self._forget()
+        yield pd.DataFrame(out, columns=["msg_id", "seq", "event", "emitted"])
+
+    def _forget(self) -> None:
+        self.place.clear()
+        self.reverse.clear()
+        self.early.clear()
 
     def close(self) -> None:
         pass
 
 
-def stream_rehydrate(chunks: DataFrame) -> DataFrame:
-    """Restore a chunk stream (msg_id, seq, event, delta, reverse array<struct<alias, raw>>)."""
+def _carried(event: str, delta: str, tail: str, pairs: dict[str, str]) -> tuple[str, str, bool]:
+    """(text given out, tail held back, was it the last chunk) of one chunk."""
+    if event != "Token":
+        return (tail if event == "Done" else ""), "", True
+    text = tail + delta
+    at = text.rfind(LEFT)
+    cut = len(text) if at < 0 or RIGHT in text[at:] else at
+    out = text[:cut]
+    for alias, raw in pairs.items():
+        out = out.replace(alias, raw)
+    return out, text[cut:], False
+
+
+def stream_rehydrate(chunks: DataFrame, patience_ms: int | None = None) -> DataFrame:
+    """Restore a chunk stream (msg_id, seq, event, delta, reverse array<struct<alias, raw>>).
+
+    A response's alias map comes once, in a row with seq -1 (event `Map`), and stays in state; chunks
+    are numbered from 0.  A chunk that comes before one of its predecessors, or before the map, waits in
+    state, over as many micro-batches as it takes; one that comes again is passed over.  `Done` and
+    `Error` end a response and free its state.  With `patience_ms` the stream needs a watermark: a
+    response without a new chunk for so long in event time is given out as it is, as `Expired`.
+    """
     return chunks.groupBy("msg_id").transformWithStateInPandas(
-        statefulProcessor=CarryState(), outputMode="Append", timeMode="None",
+        statefulProcessor=CarryState(patience_ms), outputMode="Append",
+        timeMode="None" if patience_ms is None else "EventTime",
         outputStructType="msg_id string, seq int, event string, emitted string")
 
 
+class ChainState(StatefulProcessor):
+    """Head of one hash chain; rows are signed in the order of their batch, time and number."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.head = handle.getValueState("head", "sig string")
+        self.held = handle.getMapState("held", "part int", "rows binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        prev = self.head.get()[0] if self.head.exists() else GENESIS
+        for frame in in_order(rows, ["ts", "seq"], self.held):
+            before, sigs = [], []
+            for values in frame[["ts", "kind", "raw_hash", "alias", "action"]].itertuples(index=False, name=None):
+                before.append(prev)
+                prev = sign(prev, tuple(None if v is None or v != v else v for v in values))
+                sigs.append(prev)
+            yield frame.assign(prev_hash=before, sig=sigs)[
+                ["chain_id", "ts", "seq", "kind", "raw_hash", "alias", "action", "prev_hash", "sig"]]
+        self.head.update((prev,))
+
+    def close(self) -> None:
+        pass
+
+
+def stream_audit_chain(rows: DataFrame, chain_key: str, seq: str = "seq", shards: int = CHAIN_SHARDS) -> DataFrame:
+    """Sign a stream of audit rows (chain_key, seq, ts, kind, raw_hash, alias, action) into hash chains.
+
+    The chains are those of `audit_chain` over rows that arrive in the order of time; state is the last
+    signature of each chain, and no list of a chain is held.
+    """
+    placed = placed_in_chains(rows, chain_key, seq, shards)
+    return (placed.select("chain_id", "ts", F.col(seq).cast("long").alias("seq"), "kind", "raw_hash", "alias", "action")
+            .groupBy("chain_id").transformWithStateInPandas(
+                statefulProcessor=ChainState(), outputMode="Append", timeMode="None",
+                outputStructType=("chain_id string, ts string, seq bigint, kind string, raw_hash string, alias string, "
+                                  "action string, prev_hash string, sig string")))
+
+
+def stream_late_scan(late: DataFrame, sent: DataFrame, within: str = "10 minutes", delay: str = "1 hour",
+                     msg: str = "msg_id") -> DataFrame:
+    """Audit the spans that a second pass finds after a message was sent.
+
+    `late` is a stream (msg, found_at, spans), `sent` one of what left (msg, sent_at, spans).  A late list
+    is joined with its message if it was found at most `within` after the sending; lists that arrive
+    again count once, and spans that overlap one the message was sent with are no news.  Gives (msg,
+    found_at, status, start, kind, raw_hash, alias, action, source): `audited` rows as the batch form
+    writes them, and one `unmatched` row, with nulls, for a list without a message in time, once the
+    watermarks (`delay` behind the newest row) are past it.
+    """
+    once = (late.withColumn("__list", F.xxhash64("spans")).withWatermark("found_at", delay)
+            .dropDuplicatesWithinWatermark([msg, "__list"]).select(F.col(msg), "found_at", F.col("spans").alias("__late")))
+    known = sent.withWatermark("sent_at", delay).select(F.col(msg).alias("__msg"), "sent_at", F.col("spans").alias("__sent"))
+    near = ((F.col(msg) == F.col("__msg")) & (F.col("found_at") >= F.col("sent_at"))
+            & (F.col("found_at") <= F.col("sent_at") + F.expr(f"interval {within}")))
+    joined = once.join(known, near, "leftOuter")
+    news = F.filter("__late", lambda s: ~F.exists("__sent", lambda p: (p["start"] < s["end"]) & (s["start"] < p["end"])))
+    entry = F.transform(news, lambda s: F.struct(
+        F.lit("audited").alias("status"), s["start"].alias("start"), s["kind"].alias("kind"),
+        F.sha2(s["raw"], 256).alias("raw_hash"), s["alias"].alias("alias"), F.lit("PARANOID").alias("action"), F.lit("llm").alias("source")))
+    nothing = F.array(F.struct(F.lit("unmatched").alias("status"), F.lit(None).cast("int").alias("start"), *[
+        F.lit(None).cast("string").alias(c) for c in ("kind", "raw_hash", "alias", "action", "source")]))
+    rows = F.when(F.col("__msg").isNull(), nothing).otherwise(entry)
+    return joined.select(msg, "found_at", F.explode(rows).alias("__row")).select(msg, "found_at", "__row.*")
+
+
 def stream_audit_metrics(audit: DataFrame, window: str = "24 hours", slide: str = "1 hour",
                          late: str = "1 hour") -> DataFrame:
     """Windowed ALIAS and BLOCK counts of an audit stream with an event-time column `ts`.
