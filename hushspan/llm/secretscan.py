@@ -24,21 +24,23 @@ NAME = rf"""(?i:(?<![\w.-])(?=[\w.-]*?{_NAMES})[\w.-]++{_SEPARATOR}\s*+(?:(?:bea
 #: Scheme and user before the password of a URL.
 USER = r"""(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]*+://[^\s:/@"']*+:"""
 #: Assigned values, passwords in URLs, access key ids, and runs of 16 or more that hold a digit.  A value
-#: that is itself a name with a value is left for that; padded base64 is no name.
+#: that is itself a name with a value is left for that; padded base64 is no name.  An assigned value ends at
+#: white space or a quote, outside quotes also at ; , & ) ] or }.  A run is read from its front only: what
+#: it lacks there, length or a digit, no later part of it has.
 CANDIDATE = (
     rf"""(?<![\w.-])(?!(?=[A-Za-z]*+[0-9])[A-Za-z0-9]{{16,}}+={{1,2}}(?:\s|$)){NAME}"""
-    rf"""(?!(?i:(?=[\w.-]*?{_NAMES})[\w.-]++{_SEPARATOR}\s))[^\s"']++"""
+    rf"""(?!(?i:(?=[\w.-]*?{_NAMES})[\w.-]++{_SEPARATOR}\s))(?:(?<=["'])[^\s"']++|(?<!["'])[^\s"';,&)\]}}]++)"""
     rf"""|{USER}[^\s/@"']++(?=@)"""
-    r"""|(?<![A-Za-z0-9+_-])(?:A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9+/_=-])"""
-    r"""|(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2})""")
+    r"""|(?<![A-Za-z0-9+_-])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9+/_=-])"""
+    r"""|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+={0,2}""")
 #: What comes before the value in an assignment or a URL.
 ASSIGNMENT = rf"""^(?:(?!(?=[A-Za-z]*+[0-9])[A-Za-z0-9]{{16,}}+={{1,2}}$){NAME}|{USER})"""
 #: Names that say what the value is; only these teach the forest what a secret looks like.
 SURE_NAME = rf"""^(?i:[\w.-]*?(?:pass(?:word|wd)?|pwd|secret|token|(?:api|access|secret|private|auth)[_-]?key){_SEPARATOR})"""
 #: Characters of context that are looked at on either side.
 CONTEXT = 80
-#: Bounds: findings to fit on, and words of the dictionary.
-SAMPLE, DICTIONARY = 20_000, 500
+#: Bounds: findings of each label to fit on, and words of the dictionary.
+SAMPLE, DICTIONARY = 10_000, 500
 THRESHOLD, TREES, DEPTH, SEED = 0.5, 20, 6, 11
 PLACEHOLDER = "<SECRET>"
 
@@ -146,7 +148,8 @@ def _tree(node, names: list[str]) -> str:
 
 
 def fit(found: DataFrame, labelled: DataFrame) -> Forest:
-    """Train on at most SAMPLE labelled findings, those with the smallest hashes.
+    """Train on at most SAMPLE labelled findings of each label, those with the smallest hashes, each
+    weighed by how many it stands for.
 
     The dictionary is the most frequent words around all findings.  Without labels of both kinds no
     candidate can be told from another, and all are reported.
@@ -160,12 +163,15 @@ def fit(found: DataFrame, labelled: DataFrame) -> Forest:
     forest = Forest([], words)
     named = features("hit", "before", "after", "path", forest.dictionary())
     order = F.xxhash64("hit", "before", id_text("doc_id"), "start")
-    sample = settled(labelled.withColumn("h", order).orderBy("h", "hit", "start").limit(SAMPLE).select(
-        F.col("label").cast("double").alias("label"), *[F.expr(v).alias(k) for k, v in named.items()]).coalesce(1))
-    if sample.agg(F.countDistinct("label")).first()[0] < 2:
+    counts = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if len(counts) < 2:
         return forest
-    ready = VectorAssembler(inputCols=list(named), outputCol="features").transform(sample).select("label", "features")
-    trained = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, subsamplingRate=0.8).fit(ready)
+    parts = [labelled.where(F.col("label") == label).withColumn("h", order).orderBy("h", "hit", "start").limit(SAMPLE)
+             .withColumn("weight", F.lit(n / min(n, SAMPLE))) for label, n in sorted(counts.items())]
+    sample = settled(parts[0].union(parts[1]).select(
+        F.col("label").cast("double").alias("label"), "weight", *[F.expr(v).alias(k) for k, v in named.items()]).coalesce(1))
+    ready = VectorAssembler(inputCols=list(named), outputCol="features").transform(sample).select("label", "weight", "features")
+    trained = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, subsamplingRate=0.8, weightCol="weight").fit(ready)
     forest.trees = [_tree(t._java_obj.rootNode(), list(named)) for t in trained.trees]
     return forest
 

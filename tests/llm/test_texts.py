@@ -241,7 +241,7 @@ def test_toxicity_weighs_every_supported_n_gram(spark):
     table = docs(spark, made)
     model = toxicity.fit(table, labels)
     sample = [text for i, text, *_ in made if zlib.crc32(str(i).encode()) % toxicity.FOLDS != toxicity.HELD_OUT]
-    _, what = toxicity._present(sample)
+    what = np.concatenate([np.unique(toxicity.grams(t)) for t in sample])
     want = np.flatnonzero(np.bincount(what, minlength=toxicity.BUCKETS) >= toxicity.SUPPORT)
     assert len(want) > 6_000 and model.buckets.tolist() == want.tolist()
     got = toxicity.classify(table, labels).collect()
@@ -256,6 +256,46 @@ def test_classifiers_without_labels_or_rows(spark, module):
     assert module.classify(table.limit(0), labels).count() == 0
 
 
+def test_toxicity_fit_equals_plain_code(spark, monkeypatch):
+    """Ratios by plain counts of n-grams, and no slope left at the weights found, by a loss written out."""
+    import math
+
+    monkeypatch.setattr(toxicity, "SUPPORT", 2)
+    random.seed(31)
+    words = [["good", "calm", "nice", "day", "sun"], ["vile", "scum", "rage", "day", "hate"]]
+    given = [(i, " ".join(random.choice(words[i % 2]) for _ in range(6)), None, None) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    model = toxicity.fit(docs(spark, given), labels)
+    seen = [(t, y) for (i, t, _, _), y in zip(given, (i % 2 for i in range(60))) if zlib.crc32(str(i).encode()) % 4 != 2]
+
+    def plain_grams(text):
+        text = f" {' '.join(text.lower().split())} "
+        return {text[i:i + n] for n in (4, 5, 6) for i in range(len(text) - n + 1)}
+
+    def bucket(gram):
+        rolled = 0
+        for c in gram:
+            rolled = (rolled * 0x100000001B3 + ord(c) * 0x9E3779B97F4A7C15) % 2**64
+        return ((rolled ^ rolled >> 29) * 0xBF58476D1CE4E5B9 % 2**64) >> 44
+    sets = [({bucket(g) for g in plain_grams(t)}, y) for t, y in seen]
+    totals = [sum(y == k for _, y in sets) for k in (0, 1)]
+    counts = {b: [sum(b in s for s, y in sets if y == k) for k in (0, 1)] for b in set().union(*(s for s, _ in sets))}
+    ratio = {b: math.log((c[1] + 1) / (totals[1] + 2)) - math.log((c[0] + 1) / (totals[0] + 2)) for b, c in counts.items() if sum(c) >= 2}
+    assert sorted(ratio) == model.buckets.tolist()
+    beta = {b: w / ratio[b] if ratio[b] else 0.0 for b, w in zip(model.buckets.tolist(), model.weights)}
+    errors = [(s, 1 / (1 + math.exp(-model.intercept - sum(ratio[b] * beta[b] for b in s if b in beta))) - y) for s, y in sets]
+    slopes = [sum(e for s, e in errors if b in s) * ratio[b] / len(sets) + toxicity.RIDGE * beta[b] for b in beta]
+    at_zero = [sum(0.5 - y for s, y in sets if b in s) * ratio[b] / len(sets) for b in beta]
+    assert max(map(abs, slopes)) < 0.02 * max(map(abs, at_zero)) and abs(sum(e for _, e in errors)) / len(sets) < 0.01
+
+
+def test_features_are_packed_whole():
+    import numpy as np
+
+    for values in ([], [0], [5, 6, 70_000, 70_001, 1 << 20], list(range(0, 1 << 20, 65_535)), [0xFFFE, 2 * 0xFFFF]):
+        assert toxicity.unpack(toxicity.pack(np.array(values, np.int64))).tolist() == values
+
+
 # --- secrets
 
 def secret_docs(spark):
@@ -281,7 +321,7 @@ def test_secrets_are_told_from_other_numbers(spark):
     clean = secretscan.redacted(table)
     assert clean.dtypes == table.dtypes and clean.count() == table.count()
     after = {r.doc_id: r for r in clean.collect()}
-    assert after[15].text == "we deploy with <SECRET> on the host" and after[2003].text == "set password=<SECRET> done"
+    assert after[15].text == "we deploy with <SECRET> on the host" and after[2003].text == "set password=<SECRET>; done"
     assert after[1007].text == texts[1007] and after[15].n_chars == len(after[15].text) and after[3].text is None
     assert after[7].text == texts[7]
 
@@ -317,6 +357,37 @@ def test_long_words_of_names_are_read_once(spark):
     assert [r.hit for r in secretscan.candidates(docs(spark, [(1, text, None, None)])).collect()] == ["password=hunter2abc"]
 
 
+def test_paths_without_a_digit_are_read_once(spark):
+    import time
+
+    text = "a/" * 500_000
+    table = docs(spark, [(1, text, None, None), (2, text + "x/9 password=hunter2abc", None, None)])
+    secretscan.candidates(docs(spark, [(1, "warm up", None, None)])).collect()
+    began = time.perf_counter()
+    assert [r.hit for r in secretscan.candidates(table.where("doc_id = 1")).collect()] == []
+    assert time.perf_counter() - began < 5
+    assert [r.hit for r in secretscan.candidates(table.where("doc_id = 2")).collect()] == [text + "x/9", "password=hunter2abc"]
+
+
+def test_values_end_at_delimiters_outside_quotes(spark):
+    cases = [("password=a1b2c3,user=b", "a1b2c3"), ("?key=X1y2z3&page=2", "X1y2z3"), ("(token=abc123)", "abc123"), ("[secret: q9w8]", "q9w8"),
+             ("{pwd=zz99}", "zz99"), ("pass=hunter2;next", "hunter2"), ("password='a,b;c&d)'", "a,b;c&d)"), ('"api_key": "k1,]k2"', "k1,]k2")]
+    got = {r.doc_id: r for r in secretscan.scan(docs(spark, [(i, t, None, None) for i, (t, _) in enumerate(cases)])).collect()}
+    for i, (text, value) in enumerate(cases):
+        r = got[i]
+        assert text[r.start:r.start + r.length] == value and r.value_sha256 == hashlib.sha256(value.encode()).hexdigest(), text
+
+
+def test_a_rare_label_is_learned_from(spark, monkeypatch):
+    """One label's findings do not crowd out the other's, and count as many as they stand for."""
+    monkeypatch.setattr(secretscan, "SAMPLE", 15)
+    random.seed(21)
+    made = [(i, f"order {random.randrange(10**15, 10**16)} here", None, "app") for i in range(600)]
+    made += [(10_000 + i, f"password=x{random.getrandbits(64):016x}9 here", None, "app") for i in range(20)]
+    got = secretscan.scan(docs(spark, made)).toPandas().set_index("doc_id").secret
+    assert got[[10_000 + i for i in range(20)]].all() and not got[list(range(600))].any()
+
+
 # --- URL lists
 
 def test_url_lists_equal_sql(spark):
@@ -336,6 +407,28 @@ def test_url_lists_equal_sql(spark):
     assert urllists.as_of(urllists.captures_of(p.limit(0)), urllists.entries_of(e, p)).count() == 0
 
 
+def plain_copies(texts, similarity=0.8):
+    """{id: smallest id reachable by links} over all pairs, from sets of five lower-case words."""
+    def shingles(text):
+        words = "".join(c.lower() if c.isascii() else c for c in text or "").encode().split()
+        return frozenset(tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+    sets = {i: shingles(t) for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+    ids = sorted(texts)
+    for n, i in enumerate(ids):
+        for j in ids[n + 1:]:
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or (both and both >= similarity * (len(sets[i]) + len(sets[j]) - both)):
+                a, b = top(i), top(j)
+                root[max(a, b)] = min(a, b)
+    return {i: top(i) for i in ids}
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test data")
 def test_pipeline_equals_its_stages(spark):
     import corpus_pipeline
@@ -343,10 +436,8 @@ def test_pipeline_equals_its_stages(spark):
     got = corpus_pipeline.run(spark, SF).toPandas()
     table = spark.read.parquet(f"{SF}/documents.parquet")
     known = {r.doc_id for r in langid.identify(table).collect() if r.lang_pred != "und" and r.score >= 0.5}
-    from hushspan.llm import simhash
-
     first = table.where(F.col("doc_id").isin(list(known)))
-    groups = {r.doc_id for r in simhash.near_duplicates(first).collect() if r.doc_id == r.component_id}
+    groups = set(plain_copies({r.doc_id: r.text for r in first.collect()}).values())
     texts = {r.doc_id: r for r in secretscan.redacted(first.where(F.col("doc_id").isin(list(groups)))).collect()}
     library = pieces.Model(pieces.default_path()).library
     mixed = mixing.mix_report(spark.createDataFrame(list(texts.values()), table.schema)).toPandas()
