@@ -115,7 +115,7 @@ def test_near_copies_of_similarity_0_8_leave_one(spark, monkeypatch):
     table = docs(spark, [(i, text, "en", "a") for i, text in made + far])
     want = sorted([10 * g for g in range(30)] + [i for i, _ in far])
     assert sorted(r.doc_id for r in shingles.one_of_each(clashing(table)).collect()) == want
-    monkeypatch.setattr(shingles, "ROUNDS", 0)
+    monkeypatch.setattr(shingles, "CROWD", 1)
     assert sorted(r.doc_id for r in shingles.one_of_each(table).collect()) == want
     twice = docs(spark, [(1, "a b c d e f", "en", "a"), (1, "g h i j k l", "en", "a"), (2, "g h i j k l", "en", "a"), (None, "a b", "en", "a")])
     assert sorted((r.doc_id or 0, r.text) for r in shingles.one_of_each(twice).collect()) == [
