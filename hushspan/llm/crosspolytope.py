@@ -226,7 +226,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, vec_id: st
               .withColumn("piece", F.pmod(F.xxhash64("rep", F.lit(29)), F.col("pieces")).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
               .select("key", F.least("piece", "other").alias("i"), F.greatest("piece", "other").alias("j"), "piece", "rep"))
-    rows = placed.join(hashed.join(classes, "rep"), "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
+    # Vectors given in single precision travel in it, and are compared in double precision as before.
+    kind = "array<float>" if dict(vectors.dtypes)[embedding] == "array<float>" else "array<double>"
+    sent = classes.select("rep", "copies", F.col("embedding").cast(kind).alias("embedding"))
+    rows = placed.join(hashed.join(sent, "rep"), "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
     found = settled(rows.select("key", "i", "j", "piece", "rep", "copies", "embedding", "keys").mapInArrow(
         _verify(threshold), "rep long, n long, near long"))
     roots = connected_components(found.select(F.col("rep").alias("a"), F.col("near").alias("b")))
