@@ -56,6 +56,19 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _KEYWORDS = "|".join(sorted(
     {w for _, words, _ in HEADERS for w in words.split()}
     | {p.replace(" ", ".") for _, _, parts in HEADERS for p in parts}))
+def _block(delim: str) -> str:
+    """Two lines that a block may start with: a header's first and last cell, of 1 to 40 characters and
+    white space around them, a known name as a word of its own, and the same delimiter in the line below."""
+    words = "|".join(sorted({w for _, words, _ in HEADERS for w in words.split()}))
+    parts = "|".join(sorted({p.replace(" ", ".") for _, _, parts in HEADERS for p in parts}))
+    other, blank = rf"[^\n{delim}]", rf"[\p{{IsWhite_Space}}&&[^\n{delim}]]"
+    return (rf"(?mid)^(?={blank}*+{other}{{1,40}}{blank}*{delim}[^\n]*?\n{other}*+{delim})"
+            rf"(?=[^\n]*?(?:(?<![a-z0-9])(?:{words})(?![a-z0-9])|{parts}))"
+            rf"[^\n]*{delim}{blank}*+{other}{{1,40}}{blank}*\n")
+
+
+#: What every block starts with and few other texts hold; a line is read a bounded number of times.
+_BLOCKS = tuple(map(_block, (",", r"\t", ";", r"\|")))
 _CHECKED = {kind for kind, _, _ in HEADERS if kind in CRITICAL_KINDS}
 
 
@@ -145,9 +158,8 @@ def structured_sql(text: str) -> str:
             f" 'confidence', cast({CELL_CONFIDENCE} as float))")
     wanted = f"filter({mapped}, {s} -> NOT {cell_is_empty_sql(f'{s}.cell')})"
     result = f"transform({wanted}, {cell} -> {span})"
-    # A block needs two lines, a delimiter and a known header word; most texts stop here.
-    gate = (f"contains({text}, {A.lit(chr(10))}) AND {text} rlike '[,;|\\t]' "
-            f"AND {text} rlike '(?i){_KEYWORDS}'")
+    gate = f"contains({text}, {A.lit(chr(10))}) AND (" + " OR ".join(
+        f"contains({text}, {A.lit(d)}) AND {text} rlike {A.lit(p)}" for d, p in zip(DELIMITERS, _BLOCKS)) + ")"
     return f"if({gate}, {result}, cast(array() as {SPANS_TYPE}))"
 
 

@@ -340,3 +340,22 @@ def test_dense_tables_merge_without_lists(spark):
         wanted = sorted(tuple(r) for r in S.explode_spans(M.merge_span_tables(a, b)).collect())
         for bucket in (16, 4096):
             assert sorted(tuple(r) for r in M.merge_span_rows(a, b, bucket=bucket).collect()) == wanted
+
+
+def test_the_table_gate_loses_no_block(spark, monkeypatch):
+    import random
+
+    random.seed(9)
+    some = ["ssn", "Name", "e-mail", " ip ", " dob ", "tip", "n" * 40, "x" * 41, "é" * 20 + " ip", "", "123-45-6789", "licence", "a@b.co",
+            "social security", "cc\r", "😀 iban"]
+
+    def line():
+        return random.choice([",", ",", "\t", ";", "|", ", "]).join(random.choices(some, k=random.randint(1, 4)))
+
+    given = ["\n".join(line() for _ in range(random.randint(1, 5))) for _ in range(3000)]
+    given += ["ssn,ip\n" * 20_000, "name" + ",a" * 100_000 + "\nb" + ",c" * 100_000, None, ""]
+    table = spark.createDataFrame(list(enumerate(given)), "doc_id int, text string")
+    gated = T.detect_structured(table).select("doc_id", "spans").collect()
+    monkeypatch.setattr(T, "_BLOCKS", ("",) * len(T.DELIMITERS))
+    assert gated == T.detect_structured(table).select("doc_id", "spans").collect()
+    assert sum(bool(r.spans) for r in gated) > 100
