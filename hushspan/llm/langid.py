@@ -8,6 +8,7 @@ vocabulary never crosses the front of a word, hence a word's score is computed o
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -26,9 +27,8 @@ FOLDS, HELD_OUT = 5, 0
 UNKNOWN = "und"
 #: Bound of the sample to learn from (documents of each language, on average) and rounds of learning.
 PER_LANGUAGE, ROUNDS = 1_000, 3
-#: Words of fewer characters are summed together, longer ones each alone.  Learning cuts those into
-#: sections of this size.
-SECTION = 32
+#: Words of fewer characters are summed together, longer ones each alone.
+LONG = 32
 #: Characters of a long word whose pieces are looked up at once, and steps before sums are rescaled.
 STRETCH, RESCALE = 1 << 14, 8
 #: Probability of a character that is no piece, the same in every language.
@@ -95,11 +95,6 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _sections(word: str) -> list[str]:
-    word = SPACE + word
-    return [word[i:i + SECTION] for i in range(0, len(word), SECTION)]
-
-
 def _by_length(sections: list[str]) -> dict[int, list[int]]:
     found: dict[int, list[int]] = {}
     for i, section in enumerate(sections):
@@ -173,6 +168,62 @@ def expected_counts(sections: list[str], counts: np.ndarray, table: np.ndarray,
     return used[:-2]
 
 
+def _edges(codes: np.ndarray, at: int, chance: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, piece) of the possible pieces that start in one stretch of a word, by start."""
+    starts, none = min(STRETCH, len(codes) - at), len(vocab.pieces)
+    pieces, hashes = np.full((vocab.longest, starts), none), np.zeros(starts, np.uint64)
+    for more in range(vocab.longest):
+        inside = min(starts, len(codes) - at - more)
+        if inside <= 0:
+            break
+        hashes = hashes[:inside] * _BASE + codes[at + more:at + more + inside]
+        pieces[more, :inside] = vocab.find(hashes)
+    pieces[0, pieces[0] == none] = none + 1
+    start, more = np.nonzero(chance[pieces.T] > 0)
+    return start + at, more + 1, pieces[more, start]
+
+
+def long_expected_counts(word: str, chance: np.ndarray, vocab: Vocabulary) -> np.ndarray:
+    """How often each piece is used in all segmentations of one word of any length, in one language.
+
+    Held are the logarithms of the sums up to and from every character; pieces are looked up stretch
+    by stretch, and the sums that a piece can still reach are rescaled on the way.
+    """
+    codes = _codes([SPACE + word])[0]
+    size = len(codes)
+    upto, onward = np.zeros(size + 1), np.zeros(size + 1)
+    ahead, scale, here = [1.0] + [0.0] * vocab.longest, 0.0, 0
+    for at in range(0, size, STRETCH):
+        start, length, piece = _edges(codes, at, chance, vocab)
+        for s, n, p in zip(start.tolist(), length.tolist(), chance[piece].tolist()):
+            if s != here:
+                ahead, here = [*ahead[1:], 0.0], s
+                if s % RESCALE == 0:
+                    scale += math.log(ahead[0])
+                    ahead = [v / ahead[0] for v in ahead]
+                upto[s] = scale + math.log(ahead[0])
+            ahead[n] += ahead[0] * p
+    upto[size] = scale + math.log(ahead[1])
+    # The sums from a character on, of the characters behind the one at hand.
+    behind, scale = [1.0] + [0.0] * (vocab.longest - 1), 0.0
+    used = np.zeros(len(vocab.pieces) + 2)
+    for at in reversed(range(0, size, STRETCH)):
+        start, length, piece = _edges(codes, at, chance, vocab)
+        first = np.searchsorted(start, np.arange(at, min(at + STRETCH, size) + 1)).tolist()
+        steps, chances = length.tolist(), chance[piece].tolist()
+        for s in reversed(range(at, at + len(first) - 1)):
+            total = 0.0
+            for i in range(first[s - at], first[s - at + 1]):
+                total += chances[i] * behind[steps[i] - 1]
+            behind = [total, *behind[:-1]]
+            if s % RESCALE == 0:
+                scale += math.log(total)
+                behind = [v / total for v in behind]
+            onward[s] = scale + math.log(behind[0])
+        used += np.bincount(piece, np.exp(upto[start] + np.log(chance[piece]) + onward[start + length] - upto[size]), len(used))
+    return used[:-2]
+
+
 def _counted(path: str, languages: list[str], chances: np.ndarray):
     """Expected piece counts of each language's texts in a partition."""
 
@@ -187,13 +238,12 @@ def _counted(path: str, languages: list[str], chances: np.ndarray):
                 for name, text in zip(names[part], texts[part]):
                     words.setdefault(name, Counter()).update(text.split())
                 for name, found in words.items():
-                    sections: Counter = Counter()
-                    for word, n in found.items():
-                        for section in _sections(word):
-                            sections[section] += n
-                    keys = list(sections)
+                    chance, keys = table[:, number[name]], [w for w in found if len(w) < LONG]
                     totals[number[name]] += expected_counts(
-                        keys, np.array([sections[k] for k in keys], float), table[:, number[name]], vocab)
+                        [SPACE + w for w in keys], np.array([found[w] for w in keys], float), chance, vocab)
+                    for word, n in found.items():
+                        if len(word) >= LONG:
+                            totals[number[name]] += n * long_expected_counts(word, chance, vocab)
         lang, piece = np.nonzero(totals)
         yield pa.RecordBatch.from_arrays(
             [pa.array(lang), pa.array(piece), pa.array(totals[lang, piece])], ["lang", "piece", "n"])
@@ -257,7 +307,7 @@ class Scorer:
         if len(self.place) + len(new) > REMEMBERED:
             self.clear()
             new = set().union(*words)
-        short, long = sorted(w for w in new if len(w) < SECTION), sorted(w for w in new if len(w) >= SECTION)
+        short, long = sorted(w for w in new if len(w) < LONG), sorted(w for w in new if len(w) >= LONG)
         fresh = log_chances([SPACE + w for w in short], self.table, self.vocab)
         alone = [long_log_chances(w, self.table, self.vocab)[None] for w in long]
         new, fresh = short + long, np.concatenate([fresh, *alone])

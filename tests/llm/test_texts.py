@@ -208,6 +208,40 @@ def test_long_words_are_summed_whole(monkeypatch):
     assert both[0] == pytest.approx(both[2] + both[3]) and both[2] == pytest.approx(whole) and not both[1].any()
 
 
+def test_learning_sums_long_words_whole(monkeypatch):
+    import numpy as np
+
+    vocab = langid.vocabulary(pieces.default_path())
+    chance = langid._with_strange(np.random.default_rng(3).random((len(vocab.pieces), 1)) / 1000)[:, 0]
+    for stretch in (1 << 14, 7):
+        monkeypatch.setattr(langid, "STRETCH", stretch)
+        for n in (0, 1, 8, 40):
+            word = "".join(random.Random(n).choices(["stein", "house", "日", "ing", "q9"], k=n))
+            whole = langid.expected_counts(["▁" + word], np.array([1.0]), chance, vocab)
+            assert langid.long_expected_counts(word, chance, vocab) == pytest.approx(whole)
+    monkeypatch.setattr(langid, "STRETCH", 1 << 14)
+    word = "donaudampfschiff" * 5_000
+    used = langid.long_expected_counts(word, chance, vocab)
+    assert sum(n * len(vocab.pieces[i]) for i, n in enumerate(used)) == pytest.approx(len(word) + 1)
+
+
+def test_learned_chances_count_long_words(spark):
+    """A language whose words are all long learns the same pieces as plain counts over whole words."""
+    import numpy as np
+
+    word = "donaudampfschifffahrtsgesellschaft"
+    table = docs(spark, [(i, f"{word} {word}", "de", "s") for i in range(8)])
+    model = langid.fit(table)
+    vocab = langid.vocabulary(pieces.default_path())
+    chance = np.full((len(vocab.pieces), 1), 1 / len(vocab.pieces))
+    for _ in range(langid.ROUNDS):
+        used = langid.expected_counts(["▁" + word], np.array([1.0]), langid._with_strange(chance)[:, 0], vocab)
+        n = 2 * sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(8)) * used
+        own, common = (n + 1e-9) / (n + 1e-9).sum(), (n + 0.1) / (n + 0.1).sum()
+        chance = np.float32((1 - langid.SHARED) * own + langid.SHARED * common).astype(float)[:, None]
+    assert model.chances[:, 0] == pytest.approx(chance[:, 0], rel=1e-4)
+
+
 # --- classifiers
 
 @pytest.mark.parametrize("module,label", [(toxicity, "toxic"), (quality, "quality")])
