@@ -39,6 +39,11 @@ class CharacterMap:
             length = struct.unpack_from("<I", blob)[0]
             self.units = struct.unpack_from(f"<{length // 4}I", blob, 4)
             self.pool = blob[4 + length:]
+        #: The bytes that some prefix in the map starts with.
+        self.fronts = np.zeros(256, bool)
+        for byte in range(256) if self.units else ():
+            place = self._offset(self.units[0]) ^ byte
+            self.fronts[byte] = place < len(self.units) and self.units[place] & 0x800000FF == byte
 
     def longest(self, data: bytes, at: int) -> tuple[int, bytes]:
         """Bytes read at `at`, and what they become; one character as it is if no prefix is known."""
@@ -46,7 +51,8 @@ class CharacterMap:
         if units:
             node = units[0]
             place = self._offset(node)
-            for length, byte in enumerate(data[at:], 1):
+            for length in range(1, len(data) - at + 1):
+                byte = data[at + length - 1]
                 place ^= byte
                 if place >= len(units) or units[place] & 0x800000FF != byte:
                     break
@@ -105,9 +111,8 @@ class Model:
         pieces = [p.piece for p in spec.pieces]
         is_byte = [p.type == proto.ModelProto.SentencePiece.BYTE for p in spec.pieces]
         self.space_id = self.library.piece_to_id(SPACE)
-        #: Characters and bytes of each piece, an escaped space as one; byte pieces are not counted.
+        #: Characters of each piece; byte pieces are not counted.
         self.n_chars = np.array([0 if b else len(p) for p, b in zip(pieces, is_byte)])
-        self.n_bytes = np.array([0 if b else len(p.replace(SPACE, " ").encode()) for p, b in zip(pieces, is_byte)])
         #: For a byte piece the length of the character that it opens, 0 if it goes on with one.
         self.opens = np.array([_opened(int(p[1:-1], 16)) if b else -1 for p, b in zip(pieces, is_byte)])
         #: Merges stay inside a word only if no piece holds an escaped space after another character,
@@ -118,9 +123,24 @@ class Model:
         #: One object for each id, shared by all remembered words.
         self.id_objects = list(range(len(pieces)))
 
-    def normalize(self, text: str) -> tuple[str, list[int]]:
-        """The normalised text; for each of its characters, and its end, the source byte read so far."""
-        data, out, starts, at = text.encode(), [], [], 0
+    def normalize(self, text: str) -> tuple[str, np.ndarray]:
+        """The normalised text; for each of its characters, and its end, the source byte read so far.
+
+        Where no character can start a prefix of the map and no space is dropped, all characters stay and
+        their places are read off at once.
+        """
+        data = text.encode()
+        raw = np.frombuffer(data, np.uint8)
+        opening = np.flatnonzero(raw & 0xC0 != 0x80)
+        drops = self.squeeze and ("  " in text or SPACE in text or text[:1] == " " or text[-1:] == " ")
+        if not drops and not self.map.fronts[raw[opening]].any():
+            front = [SPACE] * bool(text and self.dummy_prefix)
+            return "".join(front) + text.replace(" ", SPACE), np.concatenate([np.zeros(len(front), np.int64), opening, [len(data)]])
+        return self.walk(data)
+
+    def walk(self, data: bytes) -> tuple[str, np.ndarray]:
+        """`normalize` step by step through the map."""
+        out, starts, at = [], [], 0
         while at < len(data):
             width, new = self.map.longest(data, at)
             for char in new.decode():
@@ -136,7 +156,7 @@ class Model:
         if out and self.dummy_prefix:
             out.insert(0, SPACE)
             starts.insert(0, starts[0])
-        return "".join(out), [*starts, end]
+        return "".join(out), np.array([*starts, end], np.int64)
 
     def split(self, text: str) -> tuple[list[str], Memory]:
         """Words that the library encodes independently of each other, and where they are remembered.
@@ -193,18 +213,9 @@ class Model:
         """
         taken = np.asarray(ids, np.int64)
         opens = self.opens[taken]
-        if self.by_word and SPACE not in text:
-            ends = np.cumsum(self.n_bytes[taken] + np.maximum(opens, 0)) - 1
-            widths = np.where(opens < 0, self.n_bytes[taken], 0)
-            starts = ends - widths
-            if (opens >= 0).any():
-                firsts = np.maximum.accumulate(np.where(opens > 0, np.arange(len(taken)), 0))
-                starts = np.where(opens >= 0, ends - np.maximum(opens, 0)[firsts], starts)
-            return np.maximum(starts, 0), ends
-        normal, starts = self.normalize(text)
-        places = np.asarray(starts, np.int64)
+        normal, places = self.normalize(text)
         upto = np.cumsum(self.n_chars[taken] + (opens > 0))
-        if len(taken) and upto[-1] != len(normal):
+        if (upto[-1] if len(taken) else 0) != len(normal):
             raise ValueError("the pieces do not cover the normalised text")
         first = upto - np.where(opens < 0, self.n_chars[taken], 1)
         return places[first], places[upto]

@@ -95,8 +95,25 @@ def test_character_map_takes_the_longest_prefix_and_keeps_places():
     assert table.longest("aé".encode(), 0) == (1, b"a") and table.longest("é".encode(), 0) == (2, b"e")
     model = pieces.Model(pieces.default_path())
     model.map, model.squeeze = table, True
-    assert model.normalize("  ﬁ-abc é ") == ("▁fiYZ▁e", [2, 2, 2, 6, 6, 9, 10, 12])
-    assert model.normalize("") == ("", [0]) and model.normalize("   ")[0] == ""
+    text, places = model.normalize("  ﬁ-abc é ")
+    assert (text, places.tolist()) == ("▁fiYZ▁e", [2, 2, 2, 6, 6, 9, 10, 12])
+    assert model.normalize("")[0] == "" and model.normalize("")[1].tolist() == [0] and model.normalize("   ")[0] == ""
+    for text in odd_texts() + ["ab", "x abc  ﬁ", "日é"]:
+        for squeeze in (False, True):
+            model.squeeze = squeeze
+            at_once, by_steps = model.normalize(text), model.walk(text.encode())
+            assert at_once[0] == by_steps[0] and at_once[1].tolist() == by_steps[1].tolist()
+    long = "q" * 300_000 + "abc"
+    assert model.normalize(long)[0] == "▁" + "q" * 300_000 + "YZ"
+
+
+def test_a_wrong_character_map_shows_in_the_spans():
+    model = pieces.Model(pieces.default_path())
+    ids = model.encode(["grab a cab"])[0][0]
+    assert model.spans("grab a cab", ids)[1][-1] == 10
+    model.map = pieces.CharacterMap(double_array({b"ab": "X"}))
+    with pytest.raises(ValueError):
+        model.spans("grab a cab", ids)
 
 
 def test_encoded_rows(spark):
