@@ -1,7 +1,8 @@
 """Quality classifier: gated-attention multiple-instance learning over a document's passages.
 
-Every passage of a document is encoded; an attention learned from document labels alone says how much
-each passage counts, and the weighted mean of the encodings is scored.
+Every passage of a document is encoded from its form (18 shares and counts) and its words (the mean of
+learned vectors of their hashes); an attention learned from document labels alone says how much each
+passage counts, and the weighted mean of the encodings is scored.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,10 @@ FOLDS, HELD_OUT = 5, 0
 PASSAGE = 48
 #: Bound of the sample to fit on: documents of each class.
 PER_CLASS = 4_000
+#: Bound of what is fitted of one document: this many of its passages, evenly spread.  All are scored.
+PASSAGES_FIT = 16
+#: Hash buckets of words, each with a vector.
+BUCKETS = 1 << 13
 THRESHOLD = 0.3
 HIDDEN, GATE = 16, 8
 EPOCHS, BATCH, RATE, RIDGE, SEED = 30, 64, 0.01, 1e-4, 7
@@ -45,8 +51,12 @@ FEATURES = ("words", "length", "length_spread", "letters", "upper", "digits", "m
             "long_words", "short_words")
 
 
-def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(features, owner) of the passages of all texts, in order; a text without words has one of zeros."""
+def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(features, owner, words, buckets) of the passages of all texts, in order.
+
+    `words` says how many of `buckets`, the hashes of all words one after the other, are a passage's.  A
+    text without words has one passage of zeros without words.
+    """
     codes, bounds = code_points(texts)
     kind = KINDS[np.minimum(codes, KNOWN)]
     owner_of = np.repeat(np.arange(len(texts)), np.diff(bounds))
@@ -55,7 +65,8 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     new_text[bounds[:-1][np.diff(bounds) > 0]] = True
     starts = np.flatnonzero(~blank & (np.r_[True, blank][:-1] | new_text))
     if not len(starts):
-        return np.zeros((len(texts), len(FEATURES))), np.arange(len(texts))
+        none = np.zeros(0, np.int64)
+        return np.zeros((len(texts), len(FEATURES))), np.arange(len(texts)), np.zeros(len(texts), np.int64), none
     stop = ~blank & (np.r_[blank[1:], True] | np.r_[new_text[1:], True])
     ends = np.flatnonzero(stop) + 1
     length = (ends - starts).astype(float)
@@ -102,8 +113,22 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     empty = np.flatnonzero(np.bincount(owner, minlength=len(texts)) == 0)
     out = np.concatenate([out, np.zeros((len(empty), len(FEATURES)))])
     owner = np.concatenate([owner, empty])
+    words = np.concatenate([np.diff(edge), np.zeros(len(empty), np.int64)])
     order = np.argsort(owner, kind="stable")
-    return out[order], owner[order]
+    return out[order], owner[order], words[order], bucket(word)
+
+
+def bucket(word: np.ndarray) -> np.ndarray:
+    """The bucket of each word's hash."""
+    mixed = (word ^ (word >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (mixed >> np.uint64(64 - (BUCKETS.bit_length() - 1))).astype(np.int64)
+
+
+def spread_out(owner: np.ndarray, most: int) -> np.ndarray:
+    """Which passages are fitted: all of a document with at most `most`, else `most` evenly spread ones."""
+    first, total = np.searchsorted(owner, owner), np.bincount(owner)[owner]
+    place = (np.arange(len(owner)) - first) * most // np.maximum(total, most)
+    return (total <= most) | (np.r_[-1, place[:-1]] != place) | (np.arange(len(owner)) == first)
 
 
 class Attention:
@@ -114,13 +139,17 @@ class Attention:
         size = lambda *shape: random.standard_normal(shape) / np.sqrt(shape[0])
         self.mean, self.spread = mean, spread
         self.p = {"E": size(len(mean), HIDDEN), "e": np.zeros(HIDDEN), "V": size(HIDDEN, GATE), "U": size(HIDDEN, GATE),
-                  "w": size(GATE, 1)[:, 0], "c": size(HIDDEN, 1)[:, 0], "d": np.zeros(1)}
+                  "w": size(GATE, 1)[:, 0], "c": size(HIDDEN, 1)[:, 0], "d": np.zeros(1),
+                  "W": np.zeros((BUCKETS, HIDDEN))}
 
-    def forward(self, x: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> tuple:
+    def forward(self, x: np.ndarray, starts: np.ndarray, owner: np.ndarray, words: np.ndarray, buckets: np.ndarray) -> tuple:
         """Passages of documents one after the other; `starts` is where each document begins."""
         p = self.p
         x = np.clip((x - self.mean) / self.spread, -5, 5)
-        h = np.tanh(x @ p["E"] + p["e"])
+        means, some = np.zeros((len(x), HIDDEN)), np.flatnonzero(words)
+        if len(some):
+            means[some] = np.add.reduceat(p["W"][buckets], np.r_[0, np.cumsum(words[some])[:-1]]) / words[some, None]
+        h = np.tanh(x @ p["E"] + p["e"] + means)
         t, g = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-h @ p["U"]))
         a = (t * g) @ p["w"]
         a = np.exp(a - np.maximum.reduceat(a, starts)[owner])
@@ -128,27 +157,35 @@ class Attention:
         z = np.add.reduceat(a[:, None] * h, starts)
         return x, h, t, g, a, z, 1 / (1 + np.exp(-np.clip(z @ p["c"] + p["d"], -30, 30)))
 
-    def slopes(self, x, starts, owner, y, weight) -> dict[str, np.ndarray]:
+    def slopes(self, x, starts, owner, words, buckets, y, weight) -> dict[str, np.ndarray]:
+        """Of the weighted mean of the logistic loss, by each parameter."""
         p = self.p
-        x, h, t, g, a, z, score = self.forward(x, starts, owner)
+        x, h, t, g, a, z, score = self.forward(x, starts, owner, words, buckets)
         error = weight * (score - y) / weight.sum()
         dz = (error[:, None] * p["c"])[owner]
         da = (dz * h).sum(axis=1)
         ds = a * (da - np.add.reduceat(a * da, starts)[owner])
         dt, dg = ds[:, None] * p["w"] * g * (1 - t * t), ds[:, None] * p["w"] * t * g * (1 - g)
         dh = (a[:, None] * dz + dt @ p["V"].T + dg @ p["U"].T) * (1 - h * h)
+        by = np.argsort(buckets, kind="stable")
+        met, dw = buckets[by], np.zeros_like(p["W"])
+        first = np.flatnonzero(np.diff(met, prepend=-1))
+        if len(met):
+            passage = np.repeat(np.arange(len(words)), words)[by]
+            dw[met[first]] = np.add.reduceat((dh / np.maximum(words, 1)[:, None])[passage], first)
         return {"E": x.T @ dh, "e": dh.sum(axis=0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ ds,
-                "c": z.T @ error, "d": error.sum(keepdims=True)}
+                "c": z.T @ error, "d": error.sum(keepdims=True), "W": dw}
 
     def score(self, texts: list[str]) -> np.ndarray:
-        x, owner = passages(texts)
-        return self.forward(x, np.searchsorted(owner, np.arange(len(texts))), owner)[-1]
+        x, owner, words, buckets = passages(texts)
+        return self.forward(x, np.searchsorted(owner, np.arange(len(texts))), owner, words, buckets)[-1]
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Attention | float:
     """Learn from a bounded sample, whose passages are encoded where the texts lie.
 
-    Without labels of both classes there is nothing to learn and the share of label 1 is returned.
+    The driver gets at most PASSAGES_FIT passages of 18 numbers and 48 buckets of each document.  Without
+    labels of both classes there is nothing to learn and the share of label 1 is returned.
     """
     sample, weight = labelled_sample(docs, labels, "quality", FOLDS, HELD_OUT, PER_CLASS, doc_id, text)
     width = len(FEATURES)
@@ -157,20 +194,27 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for part in slices(texts):
-                x, owner = passages(texts[part])
-                at = np.searchsorted(owner, np.arange(part.stop - part.start + 1)).astype(np.int32) * width
-                rows = pa.ListArray.from_arrays(at.astype(np.int32), pa.array(x.ravel().astype(np.float32)))
+                x, owner, words, buckets = passages(texts[part])
+                taken = spread_out(owner, PASSAGES_FIT)
+                x, owner, buckets, words = x[taken], owner[taken], buckets[np.repeat(taken, words)], words[taken]
+                at = np.searchsorted(owner, np.arange(part.stop - part.start + 1)).astype(np.int32)
+                lists = [(at * width, x.ravel(), np.float32), (at, words, np.int16),
+                         (np.r_[0, np.cumsum(words)][at], buckets, np.int16)]
                 kept = batch.slice(part.start, part.stop - part.start)
-                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), rows], ["doc_id", "y", "x"])
+                yield pa.RecordBatch.from_arrays(
+                    [kept.column(0), kept.column(1)]
+                    + [pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(values.astype(kind))) for ends, values, kind in lists],
+                    ["doc_id", "y", "x", "words", "buckets"])
 
-    rows = text_batches(sample).mapInArrow(encode, f"doc_id {dict(sample.dtypes)['doc_id']}, y int, x array<float>").toArrow()
-    rows = rows.sort_by("doc_id")
+    schema = f"doc_id {dict(sample.dtypes)['doc_id']}, y int, x array<float>, words array<short>, buckets array<short>"
+    rows = text_batches(sample).mapInArrow(encode, schema).toArrow().sort_by("doc_id")
     y = np.asarray(rows["y"], float)
     if len(set(y.tolist())) < 2:
         return float(y.mean()) if len(y) else 0.5
-    lists = rows["x"].combine_chunks()
-    x = np.asarray(lists.flatten(), float).reshape(-1, width)
-    bounds = np.r_[0, np.cumsum(np.diff(np.asarray(lists.offsets)) // width)]
+    x, words, buckets = (np.asarray(rows[name].combine_chunks().flatten()) for name in ("x", "words", "buckets"))
+    x, words = x.astype(float).reshape(-1, width), words.astype(np.int64)
+    bounds = np.r_[0, np.cumsum(np.asarray(pc.list_value_length(rows["words"])))]
+    word_at = np.r_[0, np.cumsum(words)]
     model = Attention(x.mean(axis=0), x.std(axis=0) + 1e-3)
     each = np.where(y == 1, weight.get(1, 1.0), weight.get(0, 1.0))
     random = np.random.default_rng(SEED)
@@ -181,9 +225,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         for start in range(0, len(y), BATCH):
             docs_at = order[start:start + BATCH]
             take = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in docs_at])
+            found = np.concatenate([buckets[word_at[bounds[i]]:word_at[bounds[i + 1]]] for i in docs_at])
             counts = bounds[docs_at + 1] - bounds[docs_at]
             owner, step = np.repeat(np.arange(len(docs_at)), counts), step + 1
-            slope = model.slopes(x[take], np.r_[0, np.cumsum(counts)[:-1]], owner, y[docs_at], each[docs_at])
+            slope = model.slopes(x[take], np.r_[0, np.cumsum(counts)[:-1]], owner, words[take], found, y[docs_at], each[docs_at])
             for k, s in slope.items():
                 s = s + RIDGE * model.p[k]
                 m[k], v[k] = 0.9 * m[k] + 0.1 * s, 0.999 * v[k] + 0.001 * s * s

@@ -283,6 +283,81 @@ def test_classifiers_learn_from_labels_alone(spark, module, label):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got.values()) and got[9001].score == got[9002].score
 
 
+def test_attention_equals_plain_code(monkeypatch):
+    """Scores by loops over documents, passages and words; slopes by differences of a loss written out."""
+    import math
+    import numpy as np
+
+    monkeypatch.setattr(quality, "BUCKETS", 64)
+    draw = random.Random(21)
+    texts = [" ".join(draw.choice("alder birch cedar elm fir 12 , Oak\n".split(" ")) for _ in range(n)) for n in (130, 1, 0, 50, 48, 97)]
+    x, owner, words, buckets = quality.passages(texts)
+    assert np.bincount(owner).tolist() == [max(1, -(-len(t.split()) // quality.PASSAGE)) for t in texts]
+    assert words.sum() == len(buckets) == sum(len(t.split()) for t in texts) and words[list(owner).index(2)] == 0
+    number = {}
+    for word, at in zip((w for t in texts for w in t.split()), buckets.tolist()):
+        assert number.setdefault(word, at) == at and 0 <= at < 64
+    model = quality.Attention(x.mean(axis=0), x.std(axis=0) + 1e-3)
+    random_state = np.random.default_rng(5)
+    for name, value in model.p.items():
+        model.p[name] = random_state.standard_normal(value.shape) / 3
+    y, weight = np.array([1.0, 0, 1, 0, 0, 1]), np.array([1.0, 2, 1, 2, 2, 1])
+
+    def plain():
+        p, out, at = {k: v.tolist() for k, v in model.p.items()}, [], 0
+        passages = []
+        for row, n in zip(x, words):
+            z = [min(5, max(-5, (a - b) / c)) for a, b, c in zip(row, model.mean, model.spread)]
+            mine = buckets[at:at + n].tolist()
+            at += n
+            h = [math.tanh(sum(z[i] * p["E"][i][j] for i in range(len(z))) + p["e"][j] + sum(p["W"][b][j] for b in mine) / max(1, len(mine)))
+                 for j in range(quality.HIDDEN)]
+            gate = [math.tanh(sum(h[j] * p["V"][j][k] for j in range(len(h)))) / (1 + math.exp(-sum(h[j] * p["U"][j][k] for j in range(len(h)))))
+                    for k in range(quality.GATE)]
+            passages.append((h, math.exp(sum(g * w for g, w in zip(gate, p["w"])))))
+        for d in range(len(texts)):
+            mine = [q for q, o in zip(passages, owner) if o == d]
+            total = sum(a for _, a in mine)
+            out.append(1 / (1 + math.exp(-p["d"][0] - sum(a / total * sum(u * c for u, c in zip(h, p["c"])) for h, a in mine))))
+        return out
+
+    starts = np.searchsorted(owner, np.arange(len(texts)))
+    assert model.forward(x, starts, owner, words, buckets)[-1].tolist() == pytest.approx(plain())
+    assert model.score(texts).tolist() == pytest.approx(plain())
+
+    def loss():
+        return sum(w * -math.log(s if t else 1 - s) for s, t, w in zip(plain(), y, weight)) / weight.sum()
+
+    slopes = model.slopes(x, starts, owner, words, buckets, y, weight)
+    for name, slope in slopes.items():
+        for place in draw.sample(list(np.ndindex(slope.shape)), min(6, slope.size)) + ([(int(buckets[0]), 3)] if name == "W" else []):
+            kept, found = model.p[name][place], []
+            for by in (1e-5, -1e-5):
+                model.p[name][place] = kept + by
+                found.append(loss())
+            model.p[name][place] = kept
+            assert slope[place] == pytest.approx((found[0] - found[1]) / 2e-5, rel=1e-4, abs=1e-9), (name, place)
+
+
+def test_fitted_passages_are_spread_evenly():
+    import numpy as np
+
+    owner = np.repeat([0, 1, 2, 3], [1, 16, 100, 17])
+    taken = quality.spread_out(owner, 16)
+    assert np.bincount(owner[taken]).tolist() == [1, 16, 16, 16]
+    assert np.diff(np.flatnonzero(taken[17:117])).max() <= 7 and taken[17]
+    assert quality.spread_out(np.zeros(0, np.int64), 16).tolist() == []
+
+
+def test_quality_tells_words_of_equal_shape_apart(spark):
+    random.seed(17)
+    made = [(i, " ".join(random.choice([["lorem", "amber", "field"], ["vodka", "crass", "spams"]][i % 2] + ["plain", "words"]) for _ in range(150)), "en", "a")
+            for i in range(300)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    got = quality.classify(docs(spark, made), labels).collect()
+    assert all(r.predicted == r.doc_id % 2 for r in got if r.held_out)
+
+
 def test_toxicity_weighs_every_supported_n_gram(spark):
     import numpy as np
 
