@@ -146,10 +146,9 @@ class Attention:
         """Passages of documents one after the other; `starts` is where each document begins."""
         p = self.p
         x = np.clip((x - self.mean) / self.spread, -5, 5)
-        means, some = np.zeros((len(x), HIDDEN)), np.flatnonzero(words)
-        if len(some):
-            means[some] = np.add.reduceat(p["W"][buckets], np.r_[0, np.cumsum(words[some])[:-1]]) / words[some, None]
-        h = np.tanh(x @ p["E"] + p["e"] + means)
+        passage = np.repeat(np.arange(len(x)), words)
+        means = np.stack([np.bincount(passage, column[buckets], len(x)) for column in p["W"].T.copy()], axis=1)
+        h = np.tanh(x @ p["E"] + p["e"] + means / np.maximum(words, 1)[:, None])
         t, g = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-h @ p["U"]))
         a = (t * g) @ p["w"]
         a = np.exp(a - np.maximum.reduceat(a, starts)[owner])
@@ -167,12 +166,8 @@ class Attention:
         ds = a * (da - np.add.reduceat(a * da, starts)[owner])
         dt, dg = ds[:, None] * p["w"] * g * (1 - t * t), ds[:, None] * p["w"] * t * g * (1 - g)
         dh = (a[:, None] * dz + dt @ p["V"].T + dg @ p["U"].T) * (1 - h * h)
-        by = np.argsort(buckets, kind="stable")
-        met, dw = buckets[by], np.zeros_like(p["W"])
-        first = np.flatnonzero(np.diff(met, prepend=-1))
-        if len(met):
-            passage = np.repeat(np.arange(len(words)), words)[by]
-            dw[met[first]] = np.add.reduceat((dh / np.maximum(words, 1)[:, None])[passage], first)
+        each = np.repeat((dh / np.maximum(words, 1)[:, None]).T, words, axis=1)
+        dw = np.stack([np.bincount(buckets, column, BUCKETS) for column in each], axis=1)
         return {"E": x.T @ dh, "e": dh.sum(axis=0), "V": h.T @ dt, "U": h.T @ dg, "w": (t * g).T @ ds,
                 "c": z.T @ error, "d": error.sum(keepdims=True), "W": dw}
 
