@@ -21,7 +21,10 @@ def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8) stays, the one with the smallest id."""
+    """One document of each group of near copies stays, the one with the smallest id.
+
+    Links are those of SimHash fingerprints (pivot distance tables) and of five-word shingles (similarity 0.8).
+    """
     return shingles.one_of_each(docs)
 
 

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from hushspan.llm.common import settled, shared_folder, text_batches
 from hushspan.llm.components import connected_components
+from hushspan.llm.simhash import near_duplicates
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5
@@ -197,15 +198,31 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
         "doc_id", "text_hash", F.coalesce("root", "whole").alias("root"))
 
 
+def joined_with(rows: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """The groups `rows` (doc_id, text_hash, root) of `docs`, joined by the links of SimHash fingerprints as well.
+
+    SimHash counts repeats and sets of shingles do not, so each finds copies that the other misses.
+    """
+    rows = settled(rows)
+    alike = near_duplicates(docs.select(F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")), "text_hash", "text")
+    roots = rows.select("text_hash", "root").distinct()
+    links = (alike.select(F.col("doc_id").alias("text_hash"), "component_id").where("text_hash != component_id").distinct()
+             .join(roots.withColumnRenamed("root", "a"), "text_hash")
+             .join(roots.select(F.col("text_hash").alias("component_id"), F.col("root").alias("b")), "component_id"))
+    found = connected_components(links.select("a", "b")).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return rows.join(found, "root", "left").select("doc_id", "text_hash", F.coalesce("top", "root").alias("root"))
+
+
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH,
                 similarity: float = SIMILARITY) -> DataFrame:
-    """`docs` with one row of each group of near copies, one with the smallest id.
+    """`docs` with one row of each group of near copies, by SimHash or by shingles, one with the smallest id.
 
     Rows are known by id and text, so an id that different texts repeat costs no other group its row.
     Rows without an id take no part and stay.  All columns are kept as they are.
     """
     named = docs.where(F.col(doc_id).isNotNull())
-    kept = near_copies(named, doc_id, text, width, similarity).groupBy("root").agg(
+    rows = joined_with(near_copies(named, doc_id, text, width, similarity), named, text)
+    kept = rows.groupBy("root").agg(
         F.min(F.struct("doc_id", "text_hash")).alias("m")).select(
         F.col("m.doc_id").alias("__kept"), F.col("m.text_hash").alias("__text"))
     order = F.row_number().over(Window.partitionBy("__kept", "__text").orderBy(F.col(text)))

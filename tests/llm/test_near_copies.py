@@ -80,3 +80,14 @@ def test_one_of_each_on_awkward_rows(spark):
     # Equal texts (1, 2, 2) leave one, wordless ones (3, 4, 5, 51, 52) leave one, the row without an id stays.
     assert [i for _, i in ids] == [1, 3, 6, 7, 8, 9, 10, 11, 50, None]
     assert shingles.one_of_each(table.limit(0)).count() == 0
+
+
+def test_the_stage_joins_what_simhash_links(spark):
+    """Texts of one repeated passage with tails of their own: equal in most shingles, not in their set of shingles."""
+    import corpus_pipeline
+
+    passage = " ".join(words(31, 7)) + " "
+    texts = [passage * 60 + " ".join(words(80, 20 + i)) for i in range(3)] + [" ".join(words(90, 40 + i)) for i in range(3)]
+    table = docs(spark, [(i, t, None, None) for i, t in enumerate(texts)])
+    assert set(plain_copies(dict(enumerate(texts))).values()) == set(range(6))
+    assert sorted(r.doc_id for r in corpus_pipeline.one_of_near_copies(spark, table, "").collect()) == [0, 3, 4, 5]
