@@ -137,9 +137,12 @@ def _states(spark: SparkSession) -> None:
 
 
 def _batches(spark: SparkSession, folder: str, df: DataFrame, batch: str, numbers) -> None:
-    """Append the rows of each batch number to a folder, one file for each, in the order of the numbers."""
+    """Append the rows of each batch number to a folder, one file for each, in the order of the numbers.
+
+    All tasks read and filter the rows; only the file of a batch is written by one.
+    """
     for number in numbers:
-        df.where(F.expr(batch) == number).coalesce(1).write.mode("append").parquet(folder)
+        df.where(F.expr(batch) == number).repartition(1).write.mode("append").parquet(folder)
 
 
 def _by_file(spark: SparkSession, folder: str, schema) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -51,6 +52,8 @@ def write_detected(messages: DataFrame, settings: Callable[[SparkSession], DataF
         latest = store.latest_settings(settings(batch.sparkSession))
         # At most the packs that exist.
         packs = [r["item"] for r in store.read_disabled_packs(latest).select("item").distinct().collect()]
+        # A micro-batch may be a single file, which one task would read and scan.
+        batch = batch.repartition(batch.sparkSession.sparkContext.defaultParallelism)
         found = detect_all(batch, disabled_packs=packs)
         found = detect_terms(found, store.read_watchlist(latest), term="item", out="__terms")
         merged = merge_spans(found, "spans", "__terms").drop("__terms")
@@ -111,6 +114,8 @@ def stream_alias(spans: DataFrame, ttl_ms: int | None = None) -> DataFrame:
 
 #: Place of the row that brings a response's alias map, before its first chunk.
 MAP_SEQ = -1
+#: Chunks that are kept in state together; a chunk by itself costs several calls to the state's server.
+EARLY_BLOCK = 256
 
 
 class CarryState(StatefulProcessor):
@@ -122,12 +127,14 @@ class CarryState(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.place = handle.getValueState("place", "next int, tail string, waiting int, timer bigint")
-        self.reverse = handle.getMapState("reverse", "alias string", "raw string")
-        self.early = handle.getMapState("early", "seq int", "event string, delta string")
+        self.reverse = handle.getValueState("reverse", "pairs string")
+        self.early = handle.getMapState("early", "block int", "chunks string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        following, tail, waiting, timer = self.place.get() if self.place.exists() else (MAP_SEQ, "", 0, None)
-        pairs = {a[0]: r[0] for a, r in self.reverse.iterator()} if following > MAP_SEQ else {}
+        following, tail, waiting, timer = self.place.get() or (MAP_SEQ, "", 0, None)
+        pairs = dict(json.loads((self.reverse.get() or ("[]",))[0])) if following > MAP_SEQ else {}
+        # Blocks of early chunks that were read; no more than the one that is given out and those that arrive.
+        blocks: dict[int, dict[int, tuple]] = {}
         done = False
         for frame in rows:
             arrived = {}
@@ -139,24 +146,32 @@ class CarryState(StatefulProcessor):
             while not done:
                 if following in arrived:
                     event, delta, given = arrived.pop(following)
-                elif waiting and self.early.containsKey((following,)):
-                    (event, delta), given = self.early.getValue((following,)), None
-                    self.early.removeKey((following,))
+                elif waiting and following in self._block(blocks, following):
+                    (event, delta), given = blocks[following // EARLY_BLOCK].pop(following), None
                     waiting -= 1
+                    if not blocks[following // EARLY_BLOCK]:
+                        self.early.removeKey((following // EARLY_BLOCK,))
                 else:
                     break
                 if following == MAP_SEQ:
-                    for pair in given if given is not None else ():
-                        pairs[pair["alias"]] = pair["raw"]
-                        self.reverse.updateValue((pair["alias"],), (pair["raw"],))
+                    pairs = {pair["alias"]: pair["raw"] for pair in given} if given is not None else {}
+                    if pairs:
+                        self.reverse.update((json.dumps(list(pairs.items())),))
                 else:
                     emitted, tail, done = _carried(event, delta, tail, pairs)
                     out.append((key[0], following, event, emitted))
                 following += 1
+            touched = set()
             for seq, (event, delta, _) in arrived.items():
-                if not done and not self.early.containsKey((seq,)):
-                    self.early.updateValue((seq,), (event, delta))
+                block = {} if done else self._block(blocks, seq)
+                if not done and seq not in block:
+                    block[seq] = (event, delta)
+                    touched.add(seq // EARLY_BLOCK)
                     waiting += 1
+            for number in touched:
+                self.early.updateValue((number,), (json.dumps(list(blocks[number].items())),))
+            # What was given out of a block stays in the stored form until then; it is passed over when read.
+            blocks.clear()
             yield pd.DataFrame(out, columns=["msg_id", "seq", "event", "emitted"])
         if timer is not None:
             self.handle.deleteTimer(timer)
@@ -169,12 +184,20 @@ class CarryState(StatefulProcessor):
             self.handle.registerTimer(timer)
         self.place.update((following, tail, waiting, timer))
 
+    def _block(self, blocks: dict, seq: int) -> dict[int, tuple]:
+        """The early chunks of the block that a chunk belongs to, read once a frame."""
+        number = seq // EARLY_BLOCK
+        if number not in blocks:
+            stored = self.early.getValue((number,)) if self.early.containsKey((number,)) else ("[]",)
+            blocks[number] = {n: tuple(chunk) for n, chunk in json.loads(stored[0])}
+        return blocks[number]
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """What waited too long is given out as it is, aliases and all: nothing raw leaves with a gap before it."""
         following, tail, waiting, _ = self.place.get()
         out = [(key[0], following, "Expired", tail)] if tail else []
         if waiting:
-            early = sorted((s[0], delta) for s, (event, delta) in self.early.iterator())
+            early = sorted((n, delta) for _, stored in self.early.iterator() for n, (event, delta) in json.loads(stored[0]) if n >= following)
             out += [(key[0], seq, "Expired", delta) for seq, delta in early]
         self._forget()
         yield pd.DataFrame(out, columns=["msg_id", "seq", "event", "emitted"])

@@ -167,3 +167,42 @@ def test_detection_on_a_stream_equals_the_batch(spark, tmp_path):
     df = spark.createDataFrame([(f"m{i}", "mail a@b.co", i % 2) for i in range(6)], "msg_id string, text string, batch int")
     got = run(spark, tmp_path, df, jobs.stream_detect, 2)
     assert sorted(r.msg_id for r in got.collect()) == sorted(r.msg_id for r in S.detect_patterns(df).collect())
+
+
+def test_early_chunks_cost_a_call_for_a_block(spark):
+    """120 chunks that wait for the first: one stored block, given out in order when the first arrives."""
+    calls = []
+
+    class Counted(Held):
+        def updateValue(self, key, value):
+            calls.append(key)
+            super().updateValue(key, value)
+
+        def containsKey(self, key):
+            calls.append(key)
+            return key in self
+
+        def iterator(self):
+            return iter(list(self.items()))
+
+    class Value:
+        held = None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+        def clear(self):
+            self.held = None
+
+    state = jobs.CarryState(None)
+    state.place, state.reverse, state.early = Value(), Value(), Counted()
+    frame = [(n, "Token", f"{n} ", None) for n in range(1, 121)]
+    columns = ["seq", "event", "delta", "reverse"]
+    early = list(state.handleInputRows(("m",), iter([pd.DataFrame(random.sample(frame, len(frame)), columns=columns)]), None))
+    assert not len(early[0]) and len(calls) < 5
+    first = [(jobs.MAP_SEQ, "Map", "", [{"alias": "7", "raw": "x"}]), (0, "Token", "0 ", None)]
+    out = pd.concat(state.handleInputRows(("m",), iter([pd.DataFrame(first, columns=columns)]), None))
+    assert list(out["seq"]) == list(range(121)) and out["emitted"].iloc[17] == "1x " and len(calls) < 10
