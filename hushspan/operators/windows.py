@@ -6,6 +6,7 @@ asks for, so a very long text needs no more memory than a block, and the scores
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -15,13 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushspan.functions import arrays as A
+from hushspan.functions.words import places
 from hushspan.kinds import SPANS_TYPE
-from hushspan.operators.candidates import MAX_WIDTH, MODEL_LABELS, SCORE_THRESHOLD, words_sql
-from hushspan.operators.scan import _CLEAN, _LOW, computed, with_scan_columns
+from hushspan.operators.candidates import MAX_WIDTH, MODEL_LABELS, SCORE_THRESHOLD
 
 #: Words whose windows are scored at once.
 BLOCK = 4096
+#: No window whose logit is less is over the threshold.
+_LOGIT = math.log(SCORE_THRESHOLD / (1 - SCORE_THRESHOLD)) - 1e-3
 
 
 class Scorer(Protocol):
@@ -55,10 +57,13 @@ def scored(scorer: Scorer, words: list[str], max_width: int, block: int = BLOCK)
         low = max(0, at - scorer.context)
         count = min(block, len(words) - at)
         logits = np.asarray(scorer(words[low:at + count + max_width - 1], at - low, count), float)[:, :max_width]
-        chance = probabilities(logits)
         inside = (at + np.arange(count))[:, None] + np.arange(logits.shape[1]) < len(words)
-        start, width, label = np.nonzero((chance > SCORE_THRESHOLD) & inside[:, :, None])
-        yield start + at, width + 1, label, logits[start, width, label], chance[start, width, label]
+        # Probabilities rise with logits and are only worked out where they may be over the threshold.
+        start, width, label = np.nonzero(~(logits < _LOGIT) & inside[:, :, None])
+        logit = logits[start, width, label]
+        chance = probabilities(logit)
+        over = chance > SCORE_THRESHOLD
+        yield start[over] + at, width[over] + 1, label[over], logit[over], chance[over]
 
 
 def chosen(start: np.ndarray, width: np.ndarray, label: np.ndarray, chance: np.ndarray, words: int) -> np.ndarray:
@@ -76,20 +81,14 @@ def chosen(start: np.ndarray, width: np.ndarray, label: np.ndarray, chance: np.n
     return np.array(sorted(kept, key=start.__getitem__), np.int64)
 
 
-def _worded(df: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, text, starts, ends): where the words of each text are."""
-    df = with_scan_columns(df.select(F.col(doc).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")), "text")
-    df = computed(df, "words", words_sql("text")).drop(_CLEAN, _LOW)
-    w = A.name("w")
-    return df.select("doc", "text", F.expr(f"transform(words, {w} -> {w}.start)").alias("starts"),
-                     F.expr(f"transform(words, {w} -> {w}.end)").alias("ends"))
+def _given(df: DataFrame, doc: str, text: str) -> DataFrame:
+    return df.select(F.col(doc).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, str, np.ndarray, np.ndarray, list[str]]]:
     """(row, text, starts, ends, words) of every text of a batch."""
-    for i in range(batch.num_rows):
-        text = batch.column(1)[i].as_py()
-        starts, ends = (np.asarray(batch.column(c)[i].values) for c in (2, 3))
+    for i, text in enumerate(batch.column(1).to_pylist()):
+        starts, ends = places(text)
         yield i, text, starts, ends, [text[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
 
 
@@ -117,7 +116,7 @@ def score_windows(df: DataFrame, load: Callable[[], Scorer], doc: str = "doc_id"
                          pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(raw, pa.string())],
                         ["doc", "word_start", "width", "label_idx", "logit", "start", "end", "raw"])
 
-    return _worded(df, doc, text).mapInArrow(
+    return _given(df, doc, text).mapInArrow(
         run, f"doc {kind}, word_start int, width int, label_idx int, logit double, start int, end int, raw string"
     ).withColumnRenamed("doc", doc)
 
@@ -149,4 +148,4 @@ def detect_windows(df: DataFrame, load: Callable[[], Scorer], doc: str = "doc_id
                                                 for i in chosen(start, width, label, chance, len(words)))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, _SPAN)], ["doc", "spans"])
 
-    return _worded(df, doc, text).mapInArrow(run, f"doc {kind}, spans {SPANS_TYPE}").withColumnRenamed("doc", doc)
+    return _given(df, doc, text).mapInArrow(run, f"doc {kind}, spans {SPANS_TYPE}").withColumnRenamed("doc", doc)

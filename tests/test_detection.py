@@ -359,3 +359,69 @@ def test_the_table_gate_loses_no_block(spark, monkeypatch):
     monkeypatch.setattr(T, "_BLOCKS", ("",) * len(T.DELIMITERS))
     assert gated == T.detect_structured(table).select("doc_id", "spans").collect()
     assert sum(bool(r.spans) for r in gated) > 100
+
+
+# ---- scans and words in Arrow batches --------------------------------------------------------------
+def test_places_where_rules_start_lose_no_value():
+    import random
+    import re
+
+    from hushspan.functions import textscan as C
+    from hushspan.functions.rules import RULES
+
+    random.seed(5)
+    some = [v[1] for v in VECTORS] + ["x", "_", "-", " ", ".", "\n", "\x1c", "\u2003", "é", "É", "ſ", "\u0663", "\u0301", "😀", "İ", "ı"]
+    numbers = tuple(range(1, len(RULES) + 1))
+    for _ in range(1500):
+        text = "".join(random.choice(some) for _ in range(random.randrange(1, 9)))
+        flags = int(re.ASCII) if text.isascii() else 0
+        seen = C.read(text)
+        assert len(seen) == len(text)
+        wanted = [(*m.span(1), i) for i, r in enumerate(RULES, 1) for m in C.value_pattern(r, flags).finditer(seen)]
+        assert sorted(h[:3] for h in C.hits(text, numbers)) == sorted(wanted)
+
+
+def test_no_jvm_pattern_is_left_in_a_plan(spark):
+    plan = S.detect_patterns(texts(spark, "a"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "AccountKey" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_words_of_odd_texts(spark):
+    import random
+
+    import regex
+
+    random.seed(6)
+    some = ["a", "-", "_", " ", "é", "😀", "\u0301", ".", "9", "\ue000", "İ", "\x85", "\x1c", "\n", "--", "⟦"]
+    given = ["".join(random.choice(some) for _ in range(random.randrange(30))) for _ in range(500)] + [None, ""]
+    word = r"[\p{Alphabetic}\p{M}\p{Nd}\p{Pc}\u200c\u200d]"
+    pattern = regex.compile(rf"{word}+(?:[-_]{word}+)*|\P{{White_Space}}")
+    got = {r.doc_id: r.words for r in N.tokenize_words(texts(spark, *given)).collect()}
+    for i, text in enumerate(given):
+        assert (got[i] is None) == (text is None)
+        assert [tuple(w) for w in got[i] or []] == [(m.start(), m.end(), m.group()) for m in pattern.finditer(text or "")]
+    windows = N.candidate_word_spans(N.tokenize_words(texts(spark, *given)), max_width=3).collect()
+    wanted = [(i, a, b - a + 1, w[a].start, w[b].end) for i, w in got.items() if w for a in range(len(w)) for b in range(a, min(a + 3, len(w)))]
+    assert sorted(map(tuple, windows)) == sorted(wanted)
+
+
+def test_many_scored_windows_of_one_text_are_chosen_in_time(spark):
+    """40,000 candidates that lie apart and as many that overlap them."""
+    rows = [(0, 2 * n, w, n % 6, 3.0 - w, 20 * n, 20 * n + 9 * w, f"r{n}") for n in range(40_000) for w in (1, 2)]
+    table = spark.createDataFrame(rows, "doc_id long, word_start int, width int, label_idx int, logit double, start int, end int, raw string")
+    began = time.perf_counter()
+    found = spans(N.decode_scored_spans(table))[0]
+    assert time.perf_counter() - began < 60
+    assert [s[:2] for s in found] == [(20 * n, 20 * n + 9) for n in range(40_000)] and found[5][2] == "PERSON_NER"
+
+
+def test_a_long_term_table_is_never_sent(spark, monkeypatch):
+    """Every term goes through the join, whatever the filter lets through, and no index is made."""
+    from hushspan.operators import termindex as X
+
+    monkeypatch.setattr(X, "FILTER_BITS", 1 << 7)
+    monkeypatch.setattr(X, "_pass", None)
+    table = spark.range(3000).select(F.concat(F.lit("ref "), "id").alias("term")).union(spark.createDataFrame([("Ref 5 ref 6",), ("x-ray",)], "term string"))
+    df = texts(spark, "REF 5 ref 6, ref 2999, ref 3000", None, "x-ray X-RAY x-rays", "")
+    got = {i: [s[3] for s in v] for i, v in spans(X.detect_terms(df, table, index_bytes=100)).items()}
+    assert got == {0: ["REF 5 ref 6", "ref 2999"], 1: [], 2: ["x-ray", "X-RAY"], 3: []}
