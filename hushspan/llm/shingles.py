@@ -20,9 +20,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hushspan.llm import simhash
 from hushspan.llm.common import settled, shared_folder, text_batches
 from hushspan.llm.components import connected_components
-from hushspan.llm.simhash import near_duplicates
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 5
@@ -59,15 +59,18 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return np.array(keys, np.uint64).view(np.int64)
 
 
-def _described(width: int):
+def _described(width: int, by_simhash: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py(), width) for t in batch.column(1)]
+            texts = [t.as_py() for t in batch.column(1)]
+            sets = [shingles(t, width) for t in texts]
             whole = pa.array([_name(s) for s in sets], pa.int64())
             keys = pa.array([bands(s) for s in sets], pa.list_(pa.int64()))
+            fps = np.fromiter((simhash.fingerprint(t) if by_simhash else 0 for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), whole, pa.array([len(s) for s in sets], pa.int32()), keys],
-                ["doc_id", "text_hash", "whole", "n", "keys"])
+                [batch.column(0), batch.column(2), whole, pa.array([len(s) for s in sets], pa.int32()), keys,
+                 pa.array(fps.view(np.int64))],
+                ["doc_id", "text_hash", "whole", "n", "keys", "fp"])
     return run
 
 
@@ -155,35 +158,46 @@ def _crowded(sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def links(keyed: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, root) for every linked text of `keyed` (key, whole, n), as all similar pairs that share a key join them.
+    """Links (a, b) that join the texts of `keyed` (key, whole, n, c) as all similar pairs that share a key do.
 
-    Pairs of a key of CROWD texts or fewer are compared if their sizes allow it; the texts of larger
-    keys go through the exact filter together.  Neither loses a pair or compares all of a group's.
+    Pairs of a key of CROWD texts or fewer (`c` counts them) are compared if their sizes allow it; the texts
+    of larger keys go through the exact filter together.  Neither loses a pair or compares all of a group's.
     """
-    shared = keyed.join(keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key")
-    shared = settled(shared)
-    few = _pairs(shared.where(F.col("c") <= CROWD).drop("c"), _near_in_size(F.col("n"), F.col("to_n"), similarity))
-    crowd = shared.where(F.col("c") > CROWD).select("whole").distinct()
+    few = _pairs(keyed.where(F.col("c") <= CROWD).drop("c"), _near_in_size(F.col("n"), F.col("to_n"), similarity))
+    crowd = keyed.where(F.col("c") > CROWD).select("whole").distinct()
     many = sets.join(crowd, "whole", "left_semi")
-    return connected_components(settled(_alike(few, sets, similarity)).union(_crowded(settled(many), similarity)))
+    return settled(_alike(few, sets, similarity)).union(_crowded(settled(many), similarity))
+
+
+def simhash_links(rows: DataFrame) -> DataFrame:
+    """Links (a, b) that join the sets of `rows` (whole, fp) as fingerprints equal or within the radius do."""
+    both = settled(rows.select("fp", "whole").distinct())
+    first = settled(both.groupBy("fp").agg(F.min("whole").alias("first")))
+    equal = both.join(first, "fp").where("whole != first").select(F.col("first").alias("a"), F.col("whole").alias("b"))
+    near = (simhash.links(first.select("fp"))
+            .join(first.select(F.col("fp").alias("a"), F.col("first").alias("a_first")), "a")
+            .join(first.select(F.col("fp").alias("b"), F.col("first").alias("b_first")), "b"))
+    return equal.union(near.select("a_first", "b_first"))
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH,
-                similarity: float = SIMILARITY) -> DataFrame:
+                similarity: float = SIMILARITY, by_simhash: bool = False) -> DataFrame:
     """(doc_id, text_hash, root) of every row: `root` stands for its group, `text_hash` for its text.
 
     Texts with equal sets of shingles are one before anything is compared; null and wordless texts
-    have the empty set and are equal.  Other columns of `docs` are not read.
+    have the empty set and are equal.  With `by_simhash` the links of SimHash fingerprints join groups as
+    well: it counts repeats and sets of shingles do not, so each finds copies that the other misses.  A text
+    is read once for both, and all links are joined at once.  Other columns of `docs` are not read.
     """
     spark = docs.sparkSession
     given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"),
                         F.xxhash64(text).alias("text_hash"))
     kind = dict(given.dtypes)["doc_id"]
     rows = settled(text_batches(given).mapInArrow(
-        _described(width), f"doc_id {kind}, text_hash long, whole long, n int, keys array<long>"))
+        _described(width, by_simhash), f"doc_id {kind}, text_hash long, whole long, n int, keys array<long>, fp long"))
     classes = rows.groupBy("whole").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.min("text_hash").alias("text_hash"))
     keyed = settled(classes.select("whole", "n", "text_hash", F.explode("keys").alias("key")))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     keyed = settled(keyed.join(shared, "key"))
     # One text of each class that has a candidate is read again; from files Spark knows the list's size
     # and broadcasts it only if it is small.
@@ -192,27 +206,15 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     again = given.join(spark.read.parquet(folder), "text_hash", "left_semi")
     listed = text_batches(again.select("text")).mapInArrow(_listed(width), "whole long, found array<long>")
     sets = settled(listed.dropDuplicates(["whole"]))
-    roots = links(keyed.select("key", "whole", "n"), sets, similarity)
+    found = links(keyed.select("key", "whole", "n", "c"), sets, similarity)
+    if by_simhash:
+        found = found.union(simhash_links(rows))
+    roots = connected_components(found)
     return rows.select("doc_id", "text_hash", "whole").join(
         roots.withColumnRenamed("node", "whole"), "whole", "left").select(
         "doc_id", "text_hash", F.coalesce("root", "whole").alias("root"))
 
 
-def joined_with(rows: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """The groups `rows` (doc_id, text_hash, root) of `docs`, joined by the links of SimHash fingerprints as well.
-
-    SimHash counts repeats and sets of shingles do not, so each finds copies that the other misses.
-    """
-    rows = settled(rows)
-    alike = near_duplicates(docs.select(F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")), "text_hash", "text")
-    roots = rows.select("text_hash", "root").distinct()
-    links = (alike.select(F.col("doc_id").alias("text_hash"), "component_id").where("text_hash != component_id").distinct()
-             .join(roots.withColumnRenamed("root", "a"), "text_hash")
-             .join(roots.select(F.col("text_hash").alias("component_id"), F.col("root").alias("b")), "component_id"))
-    found = connected_components(links.select("a", "b")).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    return rows.join(found, "root", "left").select("doc_id", "text_hash", F.coalesce("top", "root").alias("root"))
-
-
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH,
                 similarity: float = SIMILARITY) -> DataFrame:
     """`docs` with one row of each group of near copies, by SimHash or by shingles, one with the smallest id.
@@ -221,7 +223,7 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     Rows without an id take no part and stay.  All columns are kept as they are.
     """
     named = docs.where(F.col(doc_id).isNotNull())
-    rows = joined_with(near_copies(named, doc_id, text, width, similarity), named, text)
+    rows = near_copies(named, doc_id, text, width, similarity, by_simhash=True)
     kept = rows.groupBy("root").agg(
         F.min(F.struct("doc_id", "text_hash")).alias("m")).select(
         F.col("m.doc_id").alias("__kept"), F.col("m.text_hash").alias("__text"))

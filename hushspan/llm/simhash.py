@@ -65,16 +65,29 @@ def _signed(bits: int) -> int:
     return bits - (1 << 64) if bits >> 63 else bits
 
 
-def _distance_table(fps: DataFrame) -> DataFrame:
-    """(fp, d): the distances to the pivots, eight to a long after the one to zero."""
-    far = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(p)).cast("long"))).cast("long") for p in PIVOTS]
-    packed = []
-    for start in range(1, len(PIVOTS), 8):
-        word = far[start]
-        for k in range(1, 8):
-            word = word.bitwiseOR(F.shiftleft(far[start + k], 8 * k))
-        packed.append(word)
-    return fps.select("fp", far[0].alias("d0"), *[w.alias(f"d{i + 1}") for i, w in enumerate(packed)])
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fp, d0 to d4, key): the distances to the pivots, eight to a long after the one to zero, once for each key.
+
+    There is one key for each choice of three groups: which groups, and their counts of set bits.  A
+    pair of bits has (d(f, 0) + 2 - d(f, pivot)) / 2 bits set.  Linked fingerprints differ in two
+    counts at most, so some three of the five groups agree.
+    """
+    pivots = np.array(PIVOTS, np.uint64)
+    choices = list(combinations(GROUPS, 3))
+    for batch in batches:
+        fps = batch.column(0).to_numpy()
+        far = np.bitwise_count(fps.view(np.uint64)[:, None] ^ pivots)
+        packed = np.ascontiguousarray(far[:, 1:]).view("<i8")
+        counts = (far[:, :1].astype(np.int64) + 2 - far[:, 1:]) >> 1
+        keys = np.empty((len(fps), len(choices)), np.int64)
+        for number, groups in enumerate(choices):
+            key = np.full(len(fps), number, np.int64)
+            for j in (j for group in groups for j in group):
+                key = key << 2 | counts[:, j]
+            keys[:, number] = key
+        table = [fps, far[:, 0].astype(np.int64), *packed.T]
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(c, len(choices))) for c in table] + [pa.array(keys.reshape(-1))],
+                                         ["fp", "d0", "d1", "d2", "d3", "d4", "key"])
 
 
 def _pivot_distance(j: int, side: str = "") -> Column:
@@ -84,22 +97,6 @@ def _pivot_distance(j: int, side: str = "") -> Column:
     return F.shiftright(F.col(f"{side}d{(j - 1) // 8 + 1}"), 8 * ((j - 1) % 8)).bitwiseAND(F.lit(255))
 
 
-def _keys() -> Column:
-    """One key for each choice of three groups: which groups, and their counts of set bits.
-
-    A pair of bits has (d(f, 0) + 2 - d(f, pivot)) / 2 bits set.  Linked fingerprints differ in two
-    counts at most, so some three of the five groups agree.
-    """
-    counts = [F.shiftright(_pivot_distance(0) + 2 - _pivot_distance(j + 1), 1) for j in range(32)]
-    keys = []
-    for number, groups in enumerate(combinations(GROUPS, 3)):
-        key = F.lit(number).cast("long")
-        for j in (j for group in groups for j in group):
-            key = F.shiftleft(key, 2).bitwiseOR(counts[j])
-        keys.append(key)
-    return F.array(*keys)
-
-
 def links(fps: DataFrame) -> DataFrame:
     """Links (a, b) that join the distinct fingerprints `fps` (fp) as all pairs within the radius do.
 
@@ -109,9 +106,11 @@ def links(fps: DataFrame) -> DataFrame:
     65 fingerprints share such a reference, and those are within the radius of each other.  Both
     ways are exact, and every link is either found or implied by a chain of found ones.
     """
-    keyed = _distance_table(fps).withColumn("key", F.explode(_keys()))
-    shared = settled(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    few = keyed.join(shared.where(F.col("n") <= CROWD).select("key"), "key")
+    # The table and the keys are made in tasks, once: as columns they would make plans of thousands of terms.
+    keyed = settled(fps.select("fp").mapInArrow(_keyed, "fp long, d0 long, d1 long, d2 long, d3 long, d4 long, key long"))
+    counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = settled(keyed.join(counts, "key"))
+    few = shared.where(F.col("n") <= CROWD)
     left = few.select("key", *[F.col(c).alias(f"a_{c}") for c in ("fp", "d0", "d1", "d2", "d3", "d4")])
     right = few.select("key", *[F.col(c).alias(f"b_{c}") for c in ("fp", "d0", "d1", "d2", "d3", "d4")])
     apart = F.greatest(*[F.abs(_pivot_distance(j, "a_") - _pivot_distance(j, "b_")) for j in range(len(PIVOTS))])
@@ -119,7 +118,7 @@ def links(fps: DataFrame) -> DataFrame:
     compared = (left.join(right, (left["key"] == right["key"]) & (F.col("a_fp") < F.col("b_fp"))
                           & (apart <= RADIUS) & near)
                 .select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b")))
-    crowded = keyed.join(shared.where(F.col("n") > CROWD).select("key"), "key").select("fp").distinct()
+    crowded = shared.where(F.col("n") > CROWD).select("fp").distinct()
     steps = F.array(*[F.lit(_signed(1 << k)).cast("long") for k in range(BITS)], F.lit(0).cast("long"))
     around = crowded.select("fp", F.explode(steps).alias("step")).select(
         "fp", F.col("fp").bitwiseXOR(F.col("step")).alias("reference"))

@@ -89,6 +89,21 @@ def test_simhash_links_join_what_all_pairs_join(spark, monkeypatch, crowd):
     assert set(map(tuple, links)) <= {x for a, b in every for x in ((a, b), (b, a))}
 
 
+def test_pivot_tables_keep_plans_small(spark):
+    """The distance table and the keys are data that tasks make, not columns whose terms every plan repeats."""
+    fps = [0, 1, 3, 7 << 20, -1, (1 << 63) - 1, 0x123456789ABCDEF]
+    found = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"))
+    assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 40_000
+    keyed = spark.createDataFrame([(f,) for f in fps], "fp long").mapInArrow(
+        simhash._keyed, "fp long, d0 long, d1 long, d2 long, d3 long, d4 long, key long").collect()
+    assert len(keyed) == 10 * len(fps)
+    for r in keyed:
+        far = [(r.fp % (1 << 64) ^ p).bit_count() for p in simhash.PIVOTS]
+        assert [r.d0] == far[:1] and [w >> 8 * k & 255 for w in r[2:6] for k in range(8)] == far[1:]
+    agree = {(a.fp, b.fp) for a in keyed for b in keyed if a.key == b.key}
+    assert {(0, 1), (0, 3), (1, 3)} <= agree and (0, -1) not in agree
+
+
 def test_one_of_each_keeps_columns_and_one_row(spark):
     table = awkward(spark)
     kept = simhash.one_of_each(table)
