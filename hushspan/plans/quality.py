@@ -40,8 +40,9 @@ CONFIGS = ["patterns", "patterns and model"]
 
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    K.load_dealt(spark, sf_dir, "orders")
+    df = S.detect_patterns(spark.sql(PROMPTS))
     K.load(spark, sf_dir, "orders", "events")
-    df = S.detect_patterns(K.over_cores(spark.sql(PROMPTS)))
     return S.explode_spans(df).select("prompt_id", "kind", "raw")
 
 

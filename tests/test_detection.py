@@ -425,3 +425,28 @@ def test_a_long_term_table_is_never_sent(spark, monkeypatch):
     df = texts(spark, "REF 5 ref 6, ref 2999, ref 3000", None, "x-ray X-RAY x-rays", "")
     got = {i: [s[3] for s in v] for i, v in spans(X.detect_terms(df, table, index_bytes=100)).items()}
     assert got == {0: ["REF 5 ref 6", "ref 2999"], 1: [], 2: ["x-ray", "X-RAY"], 3: []}
+
+
+def test_rows_are_dealt_before_texts_are_made(spark, tmp_path):
+    """A table of one row group: its lines are made by all cores, each line by few branches, and equal DuckDB's."""
+    import duckdb
+    from hushspan.plans import corpus, detection, quality
+
+    tables = {"orders": ("o_orderkey long, o_custkey long", [(k, 3 * k) for k in range(130)]),
+              "documents": ("doc_id long, text string", [(1, "one"), (2, None)]), "pages": ("page_id long, html string", [(1, "<p>")]),
+              "customer": ("c_custkey long, c_name string, c_acctbal double", [(1, "a", 1.5)]), "events": ("event_id long", [(1,)]),
+              "conversations": ("conv_id long, turn int, role string, text string", [(k, k % 4, "user", "t") for k in range(70)])}
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    given = (corpus.texts(spark, str(tmp_path)), corpus.turns(spark, str(tmp_path)), detection.tabular_texts(spark, str(tmp_path)),
+             quality._found(spark, str(tmp_path)))
+    for df, made in zip(given, ("array_join", "array_join", "array_join", "Mail ")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        first = next(i for i, line in enumerate(plan) if made in line)
+        assert any("Repartition" in line for line in plan[first + 1:])
+    assert "% 57 WHEN" not in corpus.texts_sql(corpus.SPARK)
+    con = duckdb.connect()
+    for name in tables:
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    for df, sql in ((given[0], corpus.texts_sql(corpus.DUCKDB)), (given[1], corpus.turns_sql(corpus.DUCKDB))):
+        assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, con.execute(sql).fetchall()))
