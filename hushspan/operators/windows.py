@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushspan.functions.words import places
+from hushspan.functions.words import places, together
 from hushspan.kinds import SPANS_TYPE
 from hushspan.operators.candidates import MAX_WIDTH, MODEL_LABELS, SCORE_THRESHOLD
 
@@ -87,9 +87,13 @@ def _given(df: DataFrame, doc: str, text: str) -> DataFrame:
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, str, np.ndarray, np.ndarray, list[str]]]:
     """(row, text, starts, ends, words) of every text of a batch."""
-    for i, text in enumerate(batch.column(1).to_pylist()):
-        starts, ends = places(text)
-        yield i, text, starts, ends, [text[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+    row = 0
+    for some in together(batch.column(1).to_pylist()):
+        counts, starts, ends, words = places(some)
+        words, at = words.to_pylist(), 0
+        for text, count in zip(some, counts.tolist()):
+            yield row, text, starts[at:at + count], ends[at:at + count], words[at:at + count]
+            row, at = row + 1, at + count
 
 
 def score_windows(df: DataFrame, load: Callable[[], Scorer], doc: str = "doc_id", text: str = "text",

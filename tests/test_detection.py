@@ -450,3 +450,65 @@ def test_rows_are_dealt_before_texts_are_made(spark, tmp_path):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
     for df, sql in ((given[0], corpus.texts_sql(corpus.DUCKDB)), (given[1], corpus.turns_sql(corpus.DUCKDB))):
         assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, con.execute(sql).fetchall()))
+
+
+# ---- windows and words of many texts at once -------------------------------------------------------
+def test_md5_of_columns():
+    import hashlib
+    import random
+
+    import numpy as np
+
+    from hushspan.functions.digests import md5_heads
+
+    random.seed(7)
+    edges = sorted({max(0, 10 ** k + d) for k in range(10) for d in (-1, 0, 1)} | {2 ** 31 - 1})
+    for top in (10_000_000, 2 ** 31):
+        some = [n for n in edges if n < top]
+        rows = [[random.choice(some) for _ in range(3)] for _ in range(40_000)] + [[5, 5, n] for n in some]
+        wanted = [int(hashlib.md5("|".join(map(str, row)).encode()).hexdigest()[:8], 16) for row in rows]
+        assert md5_heads(*np.array(rows, np.int32).T).tolist() == wanted
+    assert len(md5_heads(*np.empty((3, 0), np.int32))) == 0
+
+
+def test_windows_are_summed_where_they_are_made(spark, tmp_path, monkeypatch):
+    """Rows that share an id, have none or no words, texts over several lists: what leaves the worker is a row a text."""
+    import hashlib
+    from collections import Counter
+
+    from hushspan.functions import words as V
+    from hushspan.plans import detection as D
+
+    monkeypatch.setattr(N, "WINDOW_WORDS", 5)
+    monkeypatch.setattr(V, "TOGETHER", 40)
+    given = [(1, "a-b c- -d e_f"), (1, "one"), (None, "x é😀 y"), (None, None), (2, ""), (3, "w " * 40), (4, "-"), (5, "- a")]
+    spark.createDataFrame(given, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    found = D.candidate_word_spans(spark, str(tmp_path))
+    windows, digest = Counter(), Counter()
+    for doc, text in given:
+        words = [(r.start, r.end) for r in N.explode_words(N.tokenize_words(texts(spark, text))).orderBy("word_no").collect()]
+        for a in range(len(words)):
+            for b in range(a, min(a + N.MAX_WIDTH, len(words))):
+                key = (doc and f"doc-{doc}", b - a + 1)
+                windows[key] += 1
+                digest[key] += int(hashlib.md5(f"{a}|{words[a][0]}|{words[b][1]}".encode()).hexdigest()[:8], 16)
+    assert {(r.doc_id, r.width): (r.windows, r.digest) for r in found.collect()} == {k: (n, digest[k]) for k, n in windows.items()}
+    assert found.dtypes == [("doc_id", "string"), ("width", "int"), ("windows", "bigint"), ("digest", "bigint")]
+    sizes = N.candidate_word_spans(N.tokenize_words(D.K.texts(spark, str(tmp_path))), each=D._window_sums, each_type=", ".join(
+        ["doc_id string", *(f"{c} long" for c in D._SUMS)])).select(F.expr("+".join(D._SUMS[:N.MAX_WIDTH])).alias("n")).collect()
+    assert max(r.n for r in sizes) <= 5 * N.MAX_WIDTH and sum(r.n for r in sizes) == sum(windows.values())
+
+
+def test_words_do_not_reach_over_texts(monkeypatch):
+    import pyarrow as pa
+
+    from hushspan.functions import words as V
+
+    given = ["a-", "-b", "c", "d-e", "", None, "é", "-", "😀f", "g "]
+    wanted = [V.word_lists(pa.array([text], pa.string())).to_pylist()[0] for text in given]
+    for size in (1, 3, 1 << 18):
+        monkeypatch.setattr(V, "TOGETHER", size)
+        assert V.word_lists(pa.array(given)).to_pylist() == wanted
+    assert [w["word"] for w in wanted[0]] == ["a", "-"] and wanted[5] is None and wanted[8][1] == {"start": 1, "end": 2, "word": "f"}
