@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -116,6 +117,9 @@ def stream_alias(spans: DataFrame, ttl_ms: int | None = None) -> DataFrame:
 MAP_SEQ = -1
 #: Chunks that are kept in state together; a chunk by itself costs several calls to the state's server.
 EARLY_BLOCK = 256
+#: Groups of responses that never expire, each a key, and pages of responses in a group; both stay while a stream lives.
+CARRY_GROUPS = 1024
+CARRY_PAGES = 16
 
 
 class CarryState(StatefulProcessor):
@@ -211,6 +215,92 @@ class CarryState(StatefulProcessor):
         pass
 
 
+class CarryGroups(StatefulProcessor):
+    """What `CarryState` keeps, for a group of responses that never expire.
+
+    A key by itself costs frames, and every call to the state's server far more than a chunk, so responses share keys,
+    and some of them a page: the chunk that comes next, the held-back tail, the alias map and the early chunks of the
+    next one's block.  Early chunks of later blocks are in `early`, so a long response does not weigh on its page.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.pages = handle.getMapState("pages", "page int", "responses string")
+        self.early = handle.getMapState("early", "msg_id string, block int", "chunks string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        ended: set[str | None] = set()
+        for frame in rows:
+            arrived: dict[str | None, list[tuple]] = {}
+            for msg, *chunk in zip(*(frame[c].tolist() for c in ("msg_id", "seq", "event", "delta", "reverse"))):
+                arrived.setdefault(msg, []).append(chunk)
+            pages: dict[int, list[str | None]] = {}
+            for msg in arrived:
+                # A chunk that comes behind the end of its response says nothing new.
+                if msg not in ended:
+                    pages.setdefault(zlib.crc32((msg or "").encode()) % CARRY_PAGES, []).append(msg)
+            out: list[tuple] = []
+            for page, msgs in pages.items():
+                known = self.pages.containsKey((page,))
+                held = {msg: state for msg, *state in json.loads(self.pages.getValue((page,))[0])} if known else {}
+                for msg in msgs:
+                    state = self._taken(msg, arrived[msg], held.pop(msg, (MAP_SEQ, "", 0, [], [])), out)
+                    if state:
+                        held[msg] = state
+                    else:
+                        ended.add(msg)
+                if held:
+                    self.pages.updateValue((page,), (json.dumps([(msg, *state) for msg, state in held.items()]),))
+                elif known:
+                    self.pages.removeKey((page,))
+            yield pd.DataFrame(out, columns=["msg_id", "seq", "event", "emitted"])
+
+    def _taken(self, msg: str | None, chunks: list[tuple], state: tuple, out: list[tuple]) -> tuple | None:
+        """Add what the chunks of a response let out; what is kept of it, none behind its end."""
+        following, tail, later, pairs, near = state
+        pairs, near = dict(pairs), dict(near)
+        arrived = {int(seq): chunk for seq, *chunk in chunks if seq >= following}
+        done = False
+        while not done:
+            if following in arrived:
+                event, delta, given = arrived.pop(following)
+            elif following in near:
+                (event, delta), given = near[following], None
+            else:
+                break
+            near.pop(following, None)
+            if following == MAP_SEQ:
+                pairs = {pair["alias"]: pair["raw"] for pair in given} if given is not None else {}
+            else:
+                emitted, tail, done = _carried(event, delta, tail, pairs)
+                out.append((msg, following, event, emitted))
+            following += 1
+            if later and following and following % EARLY_BLOCK == 0 and self.early.containsKey((msg, following // EARLY_BLOCK)):
+                near = dict(json.loads(self.early.getValue((msg, following // EARLY_BLOCK))[0]))
+                self.early.removeKey((msg, following // EARLY_BLOCK))
+                later -= 1
+        if done:
+            if later:
+                # Chunks far behind the end of their response.
+                for place in [place for place in self.early.keys() if place[0] == msg]:
+                    self.early.removeKey(place)
+            return None
+        blocks: dict[int, dict[int, tuple]] = {}
+        for seq, (event, delta, _) in arrived.items():
+            number = seq // EARLY_BLOCK
+            block = near if number <= max(following, 0) // EARLY_BLOCK else blocks.setdefault(number, {})
+            block.setdefault(seq, (event, delta))
+        for number, block in blocks.items():
+            if later and self.early.containsKey((msg, number)):
+                block |= dict(json.loads(self.early.getValue((msg, number))[0]))
+            else:
+                later += 1
+            self.early.updateValue((msg, number), (json.dumps(list(block.items())),))
+        return following, tail, later, list(pairs.items()), list(near.items())
+
+    def close(self) -> None:
+        pass
+
+
 def _carried(event: str, delta: str, tail: str, pairs: dict[str, str]) -> tuple[str, str, bool]:
     """(text given out, tail held back, was it the last chunk) of one chunk."""
     if event != "Token":
@@ -231,11 +321,16 @@ def stream_rehydrate(chunks: DataFrame, patience_ms: int | None = None) -> DataF
     are numbered from 0.  A chunk that comes before one of its predecessors, or before the map, waits in
     state, over as many micro-batches as it takes; one that comes again is passed over.  `Done` and
     `Error` end a response and free its state.  With `patience_ms` the stream needs a watermark: a
-    response without a new chunk for so long in event time is given out as it is, as `Expired`.
+    response without a new chunk for so long in event time is given out as it is, as `Expired`.  Timers belong to
+    keys, so responses share keys only without it.
     """
-    return chunks.groupBy("msg_id").transformWithStateInPandas(
-        statefulProcessor=CarryState(patience_ms), outputMode="Append",
-        timeMode="None" if patience_ms is None else "EventTime",
+    if patience_ms is None:
+        group = F.pmod(F.xxhash64("msg_id"), F.lit(CARRY_GROUPS)).cast("int")
+        keyed, state = chunks.withColumn("__group", group).groupBy("__group"), CarryGroups()
+    else:
+        keyed, state = chunks.groupBy("msg_id"), CarryState(patience_ms)
+    return keyed.transformWithStateInPandas(
+        statefulProcessor=state, outputMode="Append", timeMode="None" if patience_ms is None else "EventTime",
         outputStructType="msg_id string, seq int, event string, emitted string")
 
 

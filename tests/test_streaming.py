@@ -206,3 +206,50 @@ def test_early_chunks_cost_a_call_for_a_block(spark):
     first = [(jobs.MAP_SEQ, "Map", "", [{"alias": "7", "raw": "x"}]), (0, "Token", "0 ", None)]
     out = pd.concat(state.handleInputRows(("m",), iter([pd.DataFrame(first, columns=columns)]), None))
     assert list(out["seq"]) == list(range(121)) and out["emitted"].iloc[17] == "1x " and len(calls) < 10
+
+
+def test_responses_share_calls(monkeypatch):
+    """40 responses in one group, some longer than a block: given out in order, with a call or two for a page and micro-batch."""
+    monkeypatch.setattr(jobs, "EARLY_BLOCK", 8)
+    monkeypatch.setattr(jobs, "CARRY_PAGES", 3)
+    random.seed(8)
+    calls = []
+
+    class Pages(Held):
+        def containsKey(self, key):
+            calls.append(key)
+            return key in self
+
+        def updateValue(self, key, value):
+            calls.append(key)
+            super().updateValue(key, value)
+
+        def keys(self):
+            return iter(list(super().keys()))
+
+    rows, wanted, pairs = [], [], {"⟦email_01⟧": "x@y.co"}
+    for k in range(40):
+        msg, tail = (f"m{k}" if k else None), ""
+        deltas = [random.choice(["⟦email_01⟧", "⟦ema", "il_01⟧", "é😀", " "]) for _ in range(random.choice([0, 3, 30]))]
+        sent = [(n, "Token", d) for n, d in enumerate(deltas)] + [(len(deltas), "Done", "")]
+        rows += [(msg, -1, "Map", "", [{"alias": a, "raw": r} for a, r in pairs.items()])] + [(msg, *r, None) for r in sent]
+        rows += [(msg, *r, None) for r in sent[:-1][:2]] + [(msg, len(sent) + 40, "Token", "late", None)]
+        for n, event, delta in sent:
+            emitted, tail, _ = jobs._carried(event, delta, tail, pairs)
+            wanted.append((msg, n, event, emitted))
+    ends = {r[0]: n for n, r in enumerate(rows) if r[2] == "Done"}
+    order = random.sample(range(len(rows)), len(rows))
+    # A row that comes again, or after the end, does so before its response ends.
+    order.sort(key=lambda n: n in ends.values())
+    state = jobs.CarryGroups()
+    state.pages, state.early = Pages(), Pages()
+    out = []
+    for at in range(0, len(order), 200):
+        frame = pd.DataFrame([rows[n] for n in order[at:at + 200]], columns=["msg_id", "seq", "event", "delta", "reverse"])
+        before = len(calls)
+        out += [tuple(r) for f in state.handleInputRows((1,), iter([frame.iloc[:90], frame.iloc[90:]]), None) for r in f.itertuples(index=False)]
+        assert len([c for c in calls[before:] if len(c) == 1]) <= 2 * 3 * 2
+    by_place = [(str(r[0]), *r[1:]) for r in out]
+    assert sorted(by_place) == sorted((str(r[0]), *r[1:]) for r in wanted)
+    assert all([r[1] for r in by_place if r[0] == m] == sorted(r[1] for r in by_place if r[0] == m) for m in {r[0] for r in by_place})
+    assert not state.pages and not state.early
