@@ -9,6 +9,8 @@ from __future__ import annotations
 import math
 import pickle
 from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 from typing import Protocol
 
 import numpy as np
@@ -21,13 +23,17 @@ from hushspan.kinds import SPANS_TYPE
 from hushspan.operators.candidates import MAX_WIDTH, MODEL_LABELS, SCORE_THRESHOLD
 
 #: Words whose windows are scored at once.
-BLOCK = 4096
+BLOCK = 1024
 #: No window whose logit is less is over the threshold.
 _LOGIT = math.log(SCORE_THRESHOLD / (1 - SCORE_THRESHOLD)) - 1e-3
 
 
 class Scorer(Protocol):
-    """Scores windows of words.  `context` words before a window may count, and the window itself."""
+    """Scores windows of words.  `context` words before a window may count, and the window itself.
+
+    A scorer may name as `separator` a word that counts before a window as none does, and never is a word of a text;
+    texts are then scored many at once, with it between them.
+    """
 
     context: int
 
@@ -51,15 +57,21 @@ def probabilities(logits: np.ndarray) -> np.ndarray:
         return (1 / (1 + np.exp(-logits.astype(float)))).astype(np.float32)
 
 
-def scored(scorer: Scorer, words: list[str], max_width: int, block: int = BLOCK) -> Iterator[tuple[np.ndarray, ...]]:
-    """(word_start, width, label, logit, probability) of the windows over the threshold, block by block."""
+def scored(scorer: Scorer, words: list[str], max_width: int, block: int = BLOCK, last: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """(word_start, width, label, logit, probability) of the windows over the threshold, block by block.
+
+    No window reaches over the place that `last` gives for its first word, the end of the words by default.
+    """
+    if last is None:
+        last = np.full(len(words), len(words))
     for at in range(0, len(words), block):
         low = max(0, at - scorer.context)
         count = min(block, len(words) - at)
         logits = np.asarray(scorer(words[low:at + count + max_width - 1], at - low, count), float)[:, :max_width]
-        inside = (at + np.arange(count))[:, None] + np.arange(logits.shape[1]) < len(words)
         # Probabilities rise with logits and are only worked out where they may be over the threshold.
-        start, width, label = np.nonzero(~(logits < _LOGIT) & inside[:, :, None])
+        start, width, label = np.unravel_index(np.flatnonzero(~(logits < _LOGIT)), logits.shape)
+        inside = start + width + at < last[start + at]
+        start, width, label = start[inside], width[inside], label[inside]
         logit = logits[start, width, label]
         chance = probabilities(logit)
         over = chance > SCORE_THRESHOLD
@@ -85,15 +97,37 @@ def _given(df: DataFrame, doc: str, text: str) -> DataFrame:
     return df.select(F.col(doc).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, str, np.ndarray, np.ndarray, list[str]]]:
-    """(row, text, starts, ends, words) of every text of a batch."""
+def _windows(scorer: Scorer, batch: pa.RecordBatch, max_width: int) -> Iterator[tuple]:
+    """(row, place among the words of these texts, word_start, width, label, logit, probability, start, end, texts of these rows, first of these rows) of the
+    windows over the threshold, for some texts at once."""
+    gap = scorer.context
+    separator = getattr(scorer, "separator", None)
     row = 0
     for some in together(batch.column(1).to_pylist()):
-        counts, starts, ends, words = places(some)
-        words, at = words.to_pylist(), 0
-        for text, count in zip(some, counts.tolist()):
-            yield row, text, starts[at:at + count], ends[at:at + count], words[at:at + count]
-            row, at = row + 1, at + count
+        for texts in [some] if separator is not None else ([text] for text in some):
+            counts, starts, ends, words = places(texts)
+            upto = np.cumsum(counts)
+            words = words.dictionary_encode()
+            words = np.array(words.dictionary.to_pylist(), object)[words.indices.to_numpy()].tolist()
+            between, joined = [separator] * gap, []
+            for end, count in zip(upto.tolist(), counts.tolist()):
+                joined += words[end - count:end]
+                joined += between
+            # Places of the joined words: of each text's first and last, and of each word's text.
+            first = upto - counts + gap * np.arange(len(texts))
+            of = np.repeat(np.arange(len(texts)), counts + gap)
+            last = (first + counts)[of]
+            if separator is None:
+                joined, last = words, None
+            for at, width, label, logit, chance in scored(scorer, joined, max_width, BLOCK, last):
+                text = of[at]
+                word = at - gap * text
+                yield text + row, at, at - first[text], width, label, logit, chance, starts[word], ends[word + width - 1], texts, row
+            row += len(texts)
+
+
+_SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("raw", pa.string()),
+                            ("alias", pa.string()), ("confidence", pa.float32())]))
 
 
 def score_windows(df: DataFrame, load: Callable[[], Scorer], doc: str = "doc_id", text: str = "text",
@@ -110,25 +144,18 @@ def score_windows(df: DataFrame, load: Callable[[], Scorer], doc: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = loaded(made)
         for batch in batches:
-            for i, text, starts, ends, words in _texts(batch):
-                for start, width, label, logit, _ in scored(scorer, words, max_width):
-                    low, high = starts[start], ends[start + width - 1]
-                    raw = [text[a:b] for a, b in zip(low.tolist(), high.tolist())]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([batch.column(0)[i].as_py()] * len(start), batch.schema.field(0).type), pa.array(start, pa.int32()),
-                         pa.array(width, pa.int32()), pa.array(label, pa.int32()), pa.array(logit, pa.float64()),
-                         pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(raw, pa.string())],
-                        ["doc", "word_start", "width", "label_idx", "logit", "start", "end", "raw"])
+            for rows, _, start, width, label, logit, _, low, high, texts, begin in _windows(scorer, batch, max_width):
+                raw = [texts[row][a:b] for row, a, b in zip((rows - begin).tolist(), low.tolist(), high.tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(rows)), pa.array(start, pa.int32()), pa.array(width, pa.int32()), pa.array(label, pa.int32()),
+                     pa.array(logit, pa.float64()), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(raw, pa.string())],
+                    ["doc", "word_start", "width", "label_idx", "logit", "start", "end", "raw"])
 
     return _given(df, doc, text).mapInArrow(
         run, f"doc {kind}, word_start int, width int, label_idx int, logit double, start int, end int, raw string"
     ).withColumnRenamed("doc", doc)
 
 
-_SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("raw", pa.string()),
-                            ("alias", pa.string()), ("confidence", pa.float32())]))
-
-
 def detect_windows(df: DataFrame, load: Callable[[], Scorer], doc: str = "doc_id", text: str = "text",
                    max_width: int = MAX_WIDTH) -> DataFrame:
     """(doc, spans): the windows that a scorer finds and the greedy choice takes, for every row.
@@ -139,17 +166,27 @@ def detect_windows(df: DataFrame, load: Callable[[], Scorer], doc: str = "doc_id
     made = pickle.dumps(load)
     kind = df.schema[doc].dataType.simpleString()
 
+    def taken(parts: list[tuple]) -> tuple:
+        """Row, start, end, label, raw and probability of what is taken of some texts' windows; no two texts share a place."""
+        rows, at, _, width, label, _, chance, low, high = (np.concatenate(p) for p in list(zip(*parts))[:9])
+        texts, begin = parts[0][9:]
+        kept = chosen(at, width, label, chance, int((at + width).max(initial=0)))
+        rows, low, high = rows[kept], low[kept], high[kept]
+        raw = [texts[row][a:b] for row, a, b in zip((rows - begin).tolist(), low.tolist(), high.tolist())]
+        return rows, low, high, label[kept], pa.array(raw, pa.string()), chance[kept]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = loaded(made)
         for batch in batches:
-            rows = []
-            for _, text, starts, ends, words in _texts(batch):
-                parts = list(zip(*scored(scorer, words, max_width)))
-                start, width, label, _, chance = (np.concatenate(p) for p in parts) if parts else [np.empty(0, np.int64)] * 5
-                rows.append([{"start": int(starts[s]), "end": int(ends[s + n - 1]), "kind": MODEL_LABELS[k],
-                              "raw": text[starts[s]:ends[s + n - 1]], "alias": "", "confidence": c}
-                             for s, n, k, c in ((int(start[i]), int(width[i]), int(label[i]), float(chance[i]))
-                                                for i in chosen(start, width, label, chance, len(words)))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, _SPAN)], ["doc", "spans"])
+            found = [taken(list(parts)) for _, parts in groupby(_windows(scorer, batch, max_width), key=itemgetter(10))]
+            rows, low, high, label, raw, chance = zip(*found) if found else ([np.empty(0, np.int64)],) * 4 + ([pa.array([], pa.string())], [np.empty(0, np.float32)])
+            counts = np.bincount(np.concatenate(rows), minlength=batch.num_rows)
+            size = int(counts.sum())
+            columns = [pa.array(np.concatenate(low), pa.int32()), pa.array(np.concatenate(high), pa.int32()),
+                       pa.array(MODEL_LABELS, pa.string()).take(pa.array(np.concatenate(label))), pa.concat_arrays(raw),
+                       pa.array([""] * size, pa.string()), pa.array(np.concatenate(chance), pa.float32())]
+            spans = pa.StructArray.from_arrays(columns, fields=list(_SPAN.value_type))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, spans)], ["doc", "spans"])
 
     return _given(df, doc, text).mapInArrow(run, f"doc {kind}, spans {SPANS_TYPE}").withColumnRenamed("doc", doc)
