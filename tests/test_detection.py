@@ -512,3 +512,43 @@ def test_words_do_not_reach_over_texts(monkeypatch):
         monkeypatch.setattr(V, "TOGETHER", size)
         assert V.word_lists(pa.array(given)).to_pylist() == wanted
     assert [w["word"] for w in wanted[0]] == ["a", "-"] and wanted[5] is None and wanted[8][1] == {"start": 1, "end": 2, "word": "f"}
+
+
+def _apart(words, first, count):
+    """Scores by the word before and the last word, of any words."""
+    import numpy as np
+
+    ends = np.minimum(first + np.arange(count)[:, None] + np.arange(4), len(words) - 1)
+    before = np.array([len(words[n - 1]) if n else 9 for n in range(first, first + count)], float)
+    return np.stack([before[:, None] - 2.5 * np.vectorize(lambda n: len(words[n]))(ends)] * 2, axis=2)
+
+
+class _Counted:
+    """A scorer that keeps what it was called with; with a separator it sees texts at once, without one text by text."""
+
+    context = 1
+
+    def __init__(self):
+        self.calls = []
+
+    def __call__(self, words, first, count):
+        self.calls.append(list(words))
+        return _apart([w or "x" * 9 for w in words], first, count)
+
+
+def test_texts_are_scored_at_once_as_one_by_one():
+    import pyarrow as pa
+
+    from hushspan.operators import windows as X
+
+    given = ["a bb ccc", "", None, "dd e", "f", "-", "ggg h-h ii é😀 k"] * 30
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(given))), pa.array(given)], ["doc", "text"])
+    seen = []
+    for separator in (None, ""):
+        scorer = _Counted()
+        if separator is not None:
+            scorer.separator = separator
+        found = [tuple(map(int, r)) for part in X._windows(scorer, batch, 3) for r in zip(part[0], part[2], part[3], part[4], part[7], part[8])]
+        seen.append((found, len(scorer.calls)))
+    assert seen[0][0] == seen[1][0] and len(seen[0][0]) > 100
+    assert seen[0][1] == 150 and seen[1][1] == 1
