@@ -552,3 +552,26 @@ def test_texts_are_scored_at_once_as_one_by_one():
         seen.append((found, len(scorer.calls)))
     assert seen[0][0] == seen[1][0] and len(seen[0][0]) > 100
     assert seen[0][1] == 150 and seen[1][1] == 1
+
+
+def test_units_that_start_no_term_are_passed_over(monkeypatch):
+    """What a unit is counts at places where a term may start only."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from hushspan.operators import termindex as X
+
+    asked = []
+    monkeypatch.setattr(X, "_WORD", SimpleNamespace(match=lambda unit, word=X.WORD: asked.append(unit) or word.match(unit)))
+    value = "no such word, " * 500 + "ref 7 and .x a.x"
+    assert [m[:2] for m in X.TermIndex(["ref 7", ".x"]).matches(value)] == [(7000, 7005), (7014, 7016)]
+    assert len(asked) < 50
+    marks = bytearray(1 << 13)
+    for text in ("\0ref", "ref 7", "\0.", ".x"):
+        for place in X._bits(text, 1 << 16):
+            marks[place >> 3] |= 1 << (place & 7)
+    batch = pa.RecordBatch.from_arrays([pa.array([3, 4]), pa.array([value, None])], ["__row", "text"])
+    asked.clear()
+    (found,) = X._candidates(SimpleNamespace(value=bytes(marks)), [2, 3], 1 << 16)(iter([batch]))
+    assert [(r["__row"], r["folded"]) for r in found.to_pylist()] == [(3, "ref 7"), (3, ".x")] and len(asked) < 100
